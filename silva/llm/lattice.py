@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from .common import stage, text_batches
 
 #: Words that are pieces of their own, and are broadcast; a bound, not a share.
-FREQUENT = 100_000
+FREQUENT = 200_000
+#: Rounds of expected counts.
+ROUNDS = 2
+#: Marked words of up to so many characters are safe from underflow without logs.
+SHORT = 60
 #: Distinct words that a worker gathers or remembers before it starts afresh.
 GATHERED = 400_000
 LN10 = math.log(10)
@@ -107,19 +111,39 @@ def log_probability(word: str, vocabulary: Pieces, score: list[float]) -> float:
     return forward(vocabulary.arcs(MARK + word), score)[-1]
 
 
-def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[float], into: np.ndarray) -> None:
-    """Add ``count`` times the expected use of each piece in the word."""
+def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[float], weight: list[float], into: list[float]) -> None:
+    """Add ``count`` times the expected use of each piece in the word. ``weight`` holds the exponentials of ``score``; short words need no logs."""
     arcs = vocabulary.arcs(MARK + word)
-    ahead = forward(arcs, score)
     n = len(arcs)
+    if n > SHORT:
+        ahead = forward(arcs, score)
+        back = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            terms = [sum([score[k] for k in ids]) + back[j] for j, ids in arcs[i]]
+            back[i] = _add(terms)
+            for (_, ids), t in zip(arcs[i], terms):
+                use = count * math.exp(ahead[i] + t - ahead[n])
+                for k in ids:
+                    into[k] += use
+        return
+    ahead, used = [0.0] * (n + 1), []
+    ahead[0] = 1.0
+    for i, own in enumerate(arcs):
+        here = ahead[i]
+        for j, ids in own:
+            p = weight[ids[0]]
+            for k in ids[1:]:
+                p *= weight[k]
+            ahead[j] += here * p
+            used.append((i, j, ids, p))
     back = [0.0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        terms = [sum([score[k] for k in ids]) + back[j] for j, ids in arcs[i]]
-        back[i] = _add(terms)
-        for (j, ids), t in zip(arcs[i], terms):
-            use = count * math.exp(ahead[i] + t - ahead[n])
-            for k in ids:
-                into[k] += use
+    back[n] = count / ahead[n]
+    for i, j, ids, p in reversed(used):
+        p *= back[j]
+        back[i] += p
+        p *= ahead[i]
+        for k in ids:
+            into[k] += p
 
 
 def tokens(text: str) -> list[bytes]:
@@ -194,27 +218,32 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     ends = docs.where(rest != fold[1]).count()
     own = pieces(vocabulary)
     known = spark.sparkContext.broadcast(frozenset(top))
-    first = own.start
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, score, skip = pieces(vocabulary), first.tolist(), known.value
-        into = np.zeros(len(first))
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in skip:
-                    expected_counts(_string(word), n, table, score, into)
-        at = np.flatnonzero(into)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(into[at], pa.float64())], ["piece", "n"])
-
-    expected = np.full(len(first), 0.01)
-    for r in counts.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # the vocabulary bounds it
-        expected[r.piece] += r.n
+    log_p = own.start
+
+    def counter(first: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, score, weight, skip = pieces(vocabulary), first.tolist(), np.exp(first).tolist(), known.value
+            into = [0.0] * len(first)
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if word not in skip:
+                        expected_counts(_string(word), n, table, score, weight, into)
+            found = np.array(into)
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.float64())], ["piece", "n"])
+
+        return run
+
+    for _ in range(ROUNDS):
+        expected = np.full(len(log_p), 0.01)
+        for r in counts.mapInArrow(counter(log_p), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # the vocabulary bounds it
+            expected[r.piece] += r.n
+        log_p = np.log(expected / expected.sum())
     # frequent words and ends are pieces too; a share of the tokens is left to spelled words at least
     share = (sum(top.values())) / max(1, total) if top else 0.0
     share = min(share, 1 - (distinct + 1) / (total + distinct + 2)) if top else 0.0
     end = (ends + 1) / (total + ends + 2)
-    score = np.log(expected / expected.sum())
-    model = Model(vocabulary, top, score, total, distinct, share * (1 - end))
+    model = Model(vocabulary, top, log_p, total, distinct, share * (1 - end))
     model.score[own.end] = math.log(end)
     return model, counts
 
