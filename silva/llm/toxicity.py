@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_batches
 
-#: The bounded sample to fit on: labelled documents of each class.
+#: The bounded sample to fit on: toxic documents, and twice as many clean ones.
 PER_CLASS = 6000
 #: Word beginnings of these lengths are features, besides whole words; FEATURES bounds how many are kept.
 HEADS = (4, 5, 6)
 FEATURES = 20_000
-LEAST_TOXIC, LEAST_WEIGHT = 4, 2.5
+LEAST_TOXIC, LEAST_WEIGHT, DEVIATIONS = 4, 2.0, 2.0
+#: Documents of one class with the same words of smallest hash count once in fitting: copies are no evidence.
+SMALLEST = 4
 #: Distinct words that a worker remembers at most; then it starts afresh.
 REMEMBERED = 500_000
 
@@ -192,16 +195,20 @@ class Scorer:
         return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.intercept + self.slope * self.total(text)))))
 
 
+def _sketch(words: list[str]) -> str:
+    return " ".join(sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:SMALLEST])
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: tuple[int, int], per_class: int) -> DataFrame:
-    """id, text, y of at most ``per_class`` documents of each class outside the fold, by a hash of the id."""
+    """id, text, y of at most ``per_class`` toxic and twice as many clean documents outside the fold, by a hash of the id."""
     rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(fold[0]))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (rest != fold[1]))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     there = known.join(texts.select("id").distinct(), "id", "left_semi")
     order = F.xxhash64(F.lit(11), "id")
-    sample = there.where("y = 1").orderBy(order, "id").limit(per_class).unionByName(there.where("y = 0").orderBy(order, "id").limit(per_class))
-    return texts.join(F.broadcast(sample), "id")  # 2 * per_class bounds it
+    sample = there.where("y = 1").orderBy(order, "id").limit(per_class).unionByName(there.where("y = 0").orderBy(order, "id").limit(2 * per_class))
+    return texts.join(F.broadcast(sample), "id")  # 3 * per_class bounds it
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] = (5, 0), per_class: int = PER_CLASS) -> tuple[Deobfuscator, Scorer]:
@@ -214,9 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         fix = shared.value
         for batch in batches:
             rows = [(i, y, sorted(set(_WORD.findall(fix(text or ""))))) for i, text, y in zip(*[batch.column(k).to_pylist() for k in range(3)])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([" ".join(r[2]) for r in rows], pa.string())], ["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([" ".join(r[2]) for r in rows], pa.string()), pa.array([_sketch(r[2]) for r in rows], pa.string())], ["id", "y", "words", "sketch"])
 
-    sample = stage(_labelled(docs, labels, id_col, text_col, label_col, fold, per_class).select("id", "text", "y").mapInArrow(restored, "id long, y int, words string"), "toxic-sample")
+    sample = stage(_labelled(docs, labels, id_col, text_col, label_col, fold, per_class).select("id", "text", "y").mapInArrow(restored, "id long, y int, words string, sketch string"), "toxic-sample")
+    sample = stage(sample.groupBy("y", "sketch").agg(F.min("id").alias("id")).join(sample.drop("y", "sketch"), "id").dropDuplicates(["id"]), "toxic-distinct")
     half = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
     counts = sample.where(half == 0).select("y", "words").mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    # so many standard deviations below the estimate: what was seen a few times only weighs little
+    weight = weight - DEVIATIONS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = counts.where(F.col("toxic") >= LEAST_TOXIC).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("toxic"), "feature").limit(FEATURES)
     scorer = Scorer({r.feature: r.w for r in kept.collect()})
     fitted = spark.sparkContext.broadcast(scorer)  # FEATURES bounds it
