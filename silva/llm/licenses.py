@@ -42,7 +42,7 @@ OTHER = [
     "He lost his driving license last year", "The bar has a liquor license", "She asked for permission to leave the room", "You need a fishing license here", "The public gathered in the square", "An apache helicopter flew over",
     "He studied at mit and later at the university", "They fought for equal rights", "The bill of rights was read aloud", "The table was reserved for six guests", "A copyright lawsuit was filed in court", "The source of the river is in the hills",
     "Redistribution of land was promised", "The domain name was sold", "The public library opens at nine", "A gnu grazed on the plain", "The warranty of the car ran out", "Licensed doctors may practice", "The common people praised the creative work", "The general spoke in public",
-    "License plates are made there", "Commercial traffic may use the road", "It is not permitted to smoke", "The terms of the treaty were met", "Free entry for any person", "The software was sold to a firm", "cc the whole team by email", "The license fee rose by four percent",
+    "Er kam mit dem Zug", "mit der Zeit wurde es besser", "und mit den anderen", "sie ging mit", "ein Haus mit Garten", "das mit dem Hund", "License plates are made there", "Commercial traffic may use the road", "It is not permitted to smoke", "The terms of the treaty were met", "Free entry for any person", "The software was sold to a firm", "cc the whole team by email", "The license fee rose by four percent",
 ]
 # Every feature holds one of these words.
 CUES = "license licence licensed licensing copyright rights reserved permission permitted redistribution redistribute warranty spdx apache bsd mit gnu gpl lgpl agpl mpl mozilla cc cc0 commons attribution noncommercial sharealike proprietary confidential public domain unencumbered reproduced".split()
