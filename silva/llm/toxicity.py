@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -41,12 +41,14 @@ SUBSTITUTE, DOUBLED, DRAWN_OUT, GAP = 1.0, 1.5, 0.5, 2.0
 _SIGNS = "".join(LEET)
 _ORDER = "abcdefghijklmnopqrstuvwxyz0123456789" + "@$!|+"
 SYMBOLS = len(_ORDER) + 2  # 0: between words; the last: all other letters
+_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")  # letters spaced apart
 _DISGUISED = re.compile(
-    r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\S)"  # letters spaced apart
+    r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])"  # letters with marks between them
     r"|[a-z]*(?:[a-z][0134578@$!|+]+|[013457@$!|+]+[a-z])[a-z0-9@$!|+]*[a-z]"  # signs among letters
     r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # letters drawn out
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"\S+")
 
 
 def _codes() -> np.ndarray:
@@ -150,19 +152,33 @@ class Deobfuscator:
         return {"array": self.array, "nested": None, "known": {}}
 
     def _one(self, match: re.Match) -> str:
-        span = match.group()
-        found = self.known.get(span)
+        if self.nested is None:
+            self.nested = self.array.tolist()
+        return restore(match.group(), self.nested)
+
+    def _token(self, match: re.Match) -> str:
+        """A run without white space, restored; remembered."""
+        token = match.group()
+        found = self.known.get(token)
         if found is None:
-            if self.nested is None:
-                self.nested = self.array.tolist()
             if len(self.known) > REMEMBERED:
                 self.known = {}
-            found = self.known[span] = restore(span, self.nested)
+            found = self.known[token] = _DISGUISED.sub(self._one, token)
         return found
 
     def __call__(self, text: str) -> str:
         """The lower-case text with its disguised spans restored."""
-        return _DISGUISED.sub(self._one, text.lower())
+        return _TOKEN.sub(self._token, _SPACED.sub(self._one, text.lower()))
+
+    def pieces(self, text: str) -> set[str]:
+        """The distinct runs without white space of the lower-case text, spaced letters joined first."""
+        low = text.lower()
+        found = set(low.split())
+        if any(len(t) == 1 for t in found):
+            joined = _SPACED.sub(self._one, low)
+            if joined != low:
+                return set(joined.split())
+        return found
 
 
 def features(word: str) -> list[str]:
@@ -174,25 +190,32 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], intercept: float = 0.0, slope: float = 1.0):
         self.weights, self.intercept, self.slope = weights, intercept, slope
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def total(self, text: str) -> float:
-        found = 0.0
-        known = self.known
-        for word in set(_WORD.findall(text)):
-            w = known.get(word)
-            if w is None:
+    def weight(self, word: str) -> float:
+        return max([0.0, *[self.weights.get(f, 0.0) for f in features(word)]])
+
+    def total(self, words: Iterable[str]) -> float:
+        return sum(map(self.weight, words))
+
+    def text_total(self, text: str, fix: Deobfuscator) -> float:
+        """The same of a text's distinct restored words; each distinct token is looked at once per worker."""
+        known, marked = self.known, {}
+        for token in fix.pieces(text):
+            hits = known.get(token)
+            if hits is None:
                 if len(known) > REMEMBERED:
                     known.clear()
-                w = known[word] = max([0.0, *[self.weights.get(f, 0.0) for f in features(word)]])
-            found += w
-        return found
+                hits = known[token] = tuple((w, v) for w in _WORD.findall(_DISGUISED.sub(fix._one, token)) if (v := self.weight(w)))
+            if hits:
+                marked.update(hits)
+        return sum(marked.values())
 
-    def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.intercept + self.slope * self.total(text)))))
+    def score(self, total: float) -> float:
+        return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.intercept + self.slope * total))))
 
 
 def _sketch(words: list[str]) -> str:
@@ -254,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fitted.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(own.total(w), 1) for w in batch.column(1).to_pylist()], pa.float64())], ["y", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(own.total(filter(None, w.split(" "))), 1) for w in batch.column(1).to_pylist()], pa.float64())], ["y", "total"])
 
     seen = sample.where(half == 1).select("y", "words").mapInArrow(totals, "y int, total double").groupBy(F.least("total", F.lit(100.0)).alias("total"), "y").agg(F.count("*").alias("n")).collect()  # at most 2000 rows
     prior = _prior(labels, id_col, label_col, fold)
@@ -290,7 +313,7 @@ def calibrate(seen: list[tuple[float, int, int]], prior: float) -> tuple[float,
 
 
 def score(docs: DataFrame, model: tuple[Deobfuscator, Scorer], id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 0), with_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), restored_words (words that restoring changed), and the restored text if asked for.
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), and the restored text if asked for.
 
     Null and empty texts get the score of a text without marked words. A null id is never held out.
     Other columns are ignored; an empty table gives no rows; repeated rows are scored alike.
@@ -300,15 +323,9 @@ def score(docs: DataFrame, model: tuple[Deobfuscator, Scorer], id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix, own = shared.value
         for ids, texts in text_batches(batches):
-            scores, changed, kept = [], [], []
-            for text in texts:
-                low = text.lower()
-                fixed = fix(text)
-                scores.append(own.score(fixed))
-                changed.append(0 if fixed == low else len(set(_WORD.findall(fixed)) - set(_WORD.findall(low))))
-                kept.append(fixed if with_text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(changed, pa.int64()), *[pa.array(kept, pa.string())] * with_text], ["doc_id", "score", "restored_words", *["restored"] * with_text])
-
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double, restored_words long" + ", restored string" * with_text)
+            scores = [own.score(own.text_total(text, fix)) for text in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), *[pa.array([fix(text) for text in texts], pa.string()) for _ in range(with_text)]], ["doc_id", "score", *["restored"] * with_text])
+
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double" + ", restored string" * with_text)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "restored_words", *["restored"] * with_text)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["restored"] * with_text)
