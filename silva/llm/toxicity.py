@@ -28,7 +28,7 @@ PER_CLASS = 6000
 #: Word beginnings of these lengths are features, besides whole words; FEATURES bounds how many are kept.
 HEADS = (4, 5, 6)
 FEATURES = 20_000
-LEAST_TOXIC, LEAST_WEIGHT, DEVIATIONS = 4, 2.0, 2.0
+LEAST_TOXIC, LEAST_WEIGHT, DEVIATIONS = 4, 1.2, 2.0
 #: Documents of one class with the same words of smallest hash count once in fitting: copies are no evidence.
 SMALLEST = 4
 #: Distinct words that a worker remembers at most; then it starts afresh.
