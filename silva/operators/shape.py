@@ -165,7 +165,7 @@ def _radial(xyz: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def fit_cylinders(points: DataFrame, cluster: str = "clstr", tries: int = 100, at_most: int = 20_000) -> DataFrame:
-    """clstr, radius, x, y, z, cv, cnt per cluster. RANSAC is a sampling operator: it sees at most ``at_most`` points of a cluster, by a hash; cnt counts all."""
+    """clstr, radius (null if none is found), x, y, z, cv, cnt per cluster. RANSAC is a sampling operator: it sees at most ``at_most`` points of a cluster, by a hash; cnt counts all."""
     w = Window.partitionBy(cluster)
     order = F.row_number().over(w.orderBy(F.xxhash64("pid"), "pid"))
     seen = points.withColumns({"_n": order, "_cnt": F.count("*").over(w)}).where(F.col("_n") <= at_most).select(F.col(cluster).cast("long").alias("clstr"), "pid", "x", "y", "z", "_cnt")
