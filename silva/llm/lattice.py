@@ -6,7 +6,8 @@ arc across the whole lattice. Pieces start from the vocabulary's own scores; exp
 words, by a forward and a backward pass, then set their probabilities. A text's words and its end are independent given the pieces.
 
 Word counts are summed by Spark over the whole training side. Only the FREQUENT most frequent words are broadcast,
-which also takes the hot keys out of the join; all other words meet their counts in a shuffled join.
+which also takes the hot keys out of the join; all other words are spelled once each and meet
+their counts and spellings in a shuffled join.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ FREQUENT = 200_000
 ROUNDS = 2
 #: Marked words of up to so many characters are safe from underflow without logs.
 SHORT = 60
-#: Distinct words that a worker gathers or remembers before it starts afresh.
+#: Distinct words that a worker gathers before it hands them on.
 GATHERED = 400_000
 LN10 = math.log(10)
 MARK = "▁"  # stands before a word in the vocabulary
@@ -111,11 +112,42 @@ def log_probability(word: str, vocabulary: Pieces, score: list[float]) -> float:
     return forward(vocabulary.arcs(MARK + word), score)[-1]
 
 
-def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[float], weight: list[float], into: list[float]) -> None:
-    """Add ``count`` times the expected use of each piece in the word. ``weight`` holds the exponentials of ``score``; short words need no logs."""
-    arcs = vocabulary.arcs(MARK + word)
-    n = len(arcs)
+def arc_table(vocabulary: Pieces, weight: list[float]) -> dict[str, tuple[int, float]]:
+    """Every beginning of a piece with its id (-1 if it is no piece) and probability."""
+    return {k: (i, weight[i] if i >= 0 else 0.0) for k, i in vocabulary.heads.items()}
+
+
+def short_lattice(word: str, table: dict, vocabulary: Pieces, weight: list[float]) -> tuple[list[float], list[tuple]]:
+    """Probabilities of all ways to each place of a marked word of SHORT characters at most, and its arcs (from, to, ids, probability): no product here underflows, so logs can wait."""
+    n, get = len(word), table.get
+    ahead, used = [0.0] * (n + 1), []
+    ahead[0] = 1.0
+    for i in range(n):
+        here, single = ahead[i], False
+        for j in range(i + 1, n + 1):
+            found = get(word[i:j])
+            if found is None:
+                break
+            k, p = found
+            if k >= 0:
+                single = single or j == i + 1
+                ahead[j] += here * p
+                used.append((i, j, k, p))
+        if not single:
+            ids, p = tuple(vocabulary.byte[b] for b in word[i].encode("utf-8", "surrogatepass")), 1.0
+            for k in ids:
+                p *= weight[k]
+            ahead[i + 1] += here * p
+            used.append((i, i + 1, ids, p))
+    return ahead, used
+
+
+def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[float], weight: list[float], table: dict, into: list[float]) -> None:
+    """Add ``count`` times the expected use of each piece in the word. ``weight`` holds the exponentials of ``score``, ``table`` its arc table."""
+    word = MARK + word
+    n = len(word)
     if n > SHORT:
+        arcs = vocabulary.arcs(word)
         ahead = forward(arcs, score)
         back = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
@@ -126,24 +158,25 @@ def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[flo
                 for k in ids:
                     into[k] += use
         return
-    ahead, used = [0.0] * (n + 1), []
-    ahead[0] = 1.0
-    for i, own in enumerate(arcs):
-        here = ahead[i]
-        for j, ids in own:
-            p = weight[ids[0]]
-            for k in ids[1:]:
-                p *= weight[k]
-            ahead[j] += here * p
-            used.append((i, j, ids, p))
+    ahead, used = short_lattice(word, table, vocabulary, weight)
     back = [0.0] * (n + 1)
     back[n] = count / ahead[n]
-    for i, j, ids, p in reversed(used):
+    for i, j, k, p in reversed(used):
         p *= back[j]
         back[i] += p
         p *= ahead[i]
-        for k in ids:
+        if k.__class__ is int:
             into[k] += p
+        else:
+            for x in k:
+                into[x] += p
+
+
+def word_score(word: str, vocabulary: Pieces, score: list[float], weight: list[float], table: dict) -> float:
+    """The same as :func:`log_probability`, by the short lattice where that is safe."""
+    if len(word) >= SHORT:
+        return log_probability(word, vocabulary, score)
+    return math.log(short_lattice(MARK + word, table, vocabulary, weight)[0][-1])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -156,23 +189,39 @@ def _string(word: bytes) -> str:
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, fold: tuple[int, int]) -> DataFrame:
-    """word (binary), n over the texts of the training side."""
+    """word (binary) of all texts, n over the texts of the training side."""
     rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-        found: Counter = Counter()
-        for _, texts in text_batches(batches):
-            for text in texts:
-                found.update(tokens(text))
-                if len(found) > GATHERED:
-                    yield out(found)
-                    found = Counter()
-        yield out(found)
-
-    return docs.where(rest != fold[1]).select(F.lit(0), F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def out() -> pa.RecordBatch:
+            words = [*found[1], *(w for w in found[0] if w not in found[1])]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([found[1][w] for w in words], pa.int64())], ["word", "n"])
+
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for learn, texts in text_batches(batches):
+            for yes, text in zip(learn, texts):
+                found[yes].update(tokens(text))
+                if len(found[1]) + len(found[0]) > GATHERED:
+                    yield out()
+                    found = (Counter(), Counter())
+        yield out()
+
+    return docs.select(rest != fold[1], F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words, ``most`` at most: all whose count reaches the least count that keeps to it."""
+    sizes = counts.where("n > 1").groupBy("n").agg(F.count("*").alias("words"))
+    # counts of counts: their number grows with the root of the total at most
+    room, least = most, None
+    for n, words in sorted(((r.n, r.words) for r in sizes.collect()), reverse=True):
+        room -= words
+        if room < 0:
+            break
+        least = n
+    if least is None:
+        return {}
+    return {bytes(r.word): r.n for r in counts.where(F.col("n") >= least).collect()}
 
 
 class Model:
@@ -180,10 +229,6 @@ class Model:
 
     def __init__(self, path: str, frequent: dict[bytes, int], score: np.ndarray, total: int, distinct: int, share: float):
         self.path, self.frequent, self.score, self.total, self.distinct, self.share = path, frequent, score, total, distinct, share
-        self.spelled: dict[bytes, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"spelled": {}}
 
     @property
     def base_floor(self) -> float:
@@ -196,24 +241,19 @@ class Model:
         mass = max(1, sum(self.frequent.values()))
         whole = math.log(max(1e-12, self.share))
         self.end = self.list[self.vocabulary.end] / LN10
-        self.prepared = {w: ((math.log10(c + 0.1) - self.base_floor), _add([whole + math.log(c / mass), rest + log_probability(_string(w), self.vocabulary, self.list)]) / LN10) for w, c in self.frequent.items()}
-        self.rest = rest
-
-    def spell(self, word: bytes) -> float:
-        found = self.spelled.get(word)
-        if found is None:
-            if len(self.spelled) > GATHERED:
-                self.spelled = {}
-            found = self.spelled[word] = (self.rest + log_probability(_string(word), self.vocabulary, self.list)) / LN10
-        return found
+        weight = self.score.copy()
+        weight = np.exp(weight).tolist()
+        table = arc_table(self.vocabulary, weight)
+        spelled = {w: rest + word_score(_string(w), self.vocabulary, self.list, weight, table) for w in self.frequent}
+        self.prepared = {w: ((math.log10(c + 0.1) - self.base_floor), _add([whole + math.log(c / mass), spelled[w]]) / LN10) for w, c in self.frequent.items()}
 
 
 def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0), frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts."""
+    """The model, and a table of all words but the frequent ones: word, n, spelled (log10 of the marginal probability), each word spelled once."""
     spark = docs.sparkSession
     counts = stage(word_counts(docs, id_col, text_col, fold), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = {bytes(r.word): r.n for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(frequent).collect()}  # FREQUENT bounds it
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    top = frequent_words(counts, frequent)  # FREQUENT bounds it
     rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold[0]))
     ends = docs.where(rest != fold[1]).count()
     own = pieces(vocabulary)
@@ -222,12 +262,13 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     def counter(first: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, score, weight, skip = pieces(vocabulary), first.tolist(), np.exp(first).tolist(), known.value
+            own_pieces, score, weight, skip = pieces(vocabulary), first.tolist(), np.exp(first).tolist(), known.value
+            table = arc_table(own_pieces, weight)
             into = [0.0] * len(first)
             for batch in batches:
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if word not in skip:
-                        expected_counts(_string(word), n, table, score, weight, into)
+                    if n and word not in skip:
+                        expected_counts(_string(word), n, own_pieces, score, weight, table, into)
             found = np.array(into)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.float64())], ["piece", "n"])
@@ -245,7 +286,17 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     end = (ends + 1) / (total + ends + 2)
     model = Model(vocabulary, top, log_p, total, distinct, share * (1 - end))
     model.score[own.end] = math.log(end)
-    return model, counts
+    spelling, left = spark.sparkContext.broadcast(model.score), math.log(max(1e-12, 1 - model.share))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_pieces, score, weight, skip = pieces(vocabulary), spelling.value.tolist(), np.exp(spelling.value).tolist(), known.value
+        table = arc_table(own_pieces, weight)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in skip]
+            scores = [(left + word_score(_string(w), own_pieces, score, weight, table)) / LN10 for w, _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64()), pa.array(scores, pa.float64())], ["word", "n", "spelled"])
+
+    return model, stage(counts.mapInArrow(spell, "word binary, n long, spelled double"), "rare")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0)) -> DataFrame:
@@ -276,7 +327,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 for word, c in found.items():
                     pair = get(word)
                     if pair is None:
-                        s += c * own.spell(word)
                         tail.append(word)
                         tail_n.append(c)
                     else:
@@ -298,9 +348,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     first = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
     first = stage(first.withColumn("row", F.monotonically_increasing_id()), "scores")  # written once, so the numbers hold
     rare = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("c"))
-    met = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("c") * (F.log10(F.col("n") + 0.1) - F.log10(F.lit(0.1)))).alias("gain"), F.sum("c").alias("met"))
+    met = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("c") * (F.log10(F.col("n") + 0.1) - F.log10(F.lit(0.1)))).alias("gain"), F.sum(F.when(F.col("n") > 0, F.col("c"))).alias("met"), F.sum(F.col("c") * F.col("spelled")).alias("spelled"))
     unmet = F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y) * (math.log10(0.1) - floor)
     out = first.join(met, "row", "left")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
     base = F.col("base") + unmet + F.coalesce("gain", F.lit(0.0))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("spelled", F.lit(0.0))).alias("score"))

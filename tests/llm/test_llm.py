@@ -76,7 +76,11 @@ def test_lattice_sums_all_segmentations():
 
     assert lattice.log_probability("thing", v, score) == pytest.approx(math.log(ways(0)))
     into = [0.0] * len(score)
-    lattice.expected_counts("thing", 2.0, v, score, np.exp(v.start).tolist(), into)
+    weight = np.exp(v.start).tolist()
+    table = lattice.arc_table(v, weight)
+    lattice.expected_counts("thing", 2.0, v, score, weight, table, into)
+    for w in ("thing", "日本x", "a" * 200):
+        assert lattice.word_score(w, v, score, weight, table) == pytest.approx(lattice.log_probability(w, v, score))
     assert sum(len(p) * into[i] for p, i in v.names.items()) == pytest.approx(2.0 * len(word))
 
 
