@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 PICKS = 6
 #: Open buckets of more members are compared in blocks of this many.
-BLOCK = 32
+BLOCK = 128
 #: Members of one bucket that may share a hub; larger buckets have several, joined in the next round.
 FAN = 512
 
@@ -148,25 +148,31 @@ def _block_pairs(least: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those ``pairs`` (a, b) whose texts (id, text; one row per id) align with similarity ``least`` or more, with the similarity."""
+def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The shingle hashes, in order, of texts (id, text): id, hashes (8 bytes each). A null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_batches(batches):
+            words, counts = word_hashes(texts)
+            own = [shingle_hashes(w, shingle).tobytes() for w in np.split(words, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], ["id", "hashes"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Those ``pairs`` (a, b) whose shingles (id, hashes; one row per id) align with similarity ``least`` or more, with the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
-            for i in range(len(a)):
-                one, two = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if last[0] != b[i]:
-                    last = (b[i], shingle_hashes(word_hashes([two])[0], shingle))
-                found.append(similarity(shingle_hashes(word_hashes([one])[0], shingle), last[1], least))
-            keep = np.flatnonzero(np.array(found) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.float64())], ["a", "b", "similarity"])
-
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+            one, two = batch.column(2), batch.column(3)
+            found = np.array([similarity(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), least) for x, y in zip(one, two)])
+            keep = pa.array(np.flatnonzero(found > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(found).take(keep)], ["a", "b", "similarity"])
+
+    one = shingles.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a"))
+    two = shingles.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b")
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -191,10 +197,10 @@ def near_duplicates(
     shared = buckets.groupBy("j", "value").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     members = stage(buckets.join(shared, ["j", "value"]).select("j", "value", "size", "hub", "id", "n"), "buckets")
 
-    # texts of the documents that share a bucket, once each
+    # shingles of the documents that share a bucket, once each
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    texts = stage(texts.dropDuplicates(["id"]), "texts")
+    shingles = stage(shingled(texts.dropDuplicates(["id"]), shingle), "shingles")
 
     # round 1: each document with the smallest hub of all its buckets; a large bucket has hubs of its parts, which hang on the bucket's
     small, large = members.where(F.col("size") <= FAN).select("id", "hub"), members.where(F.col("size") > FAN)
@@ -204,7 +210,7 @@ def near_duplicates(
         small = small.unionByName(parted.join(near, ["j", "value", "part"]).select("id", F.col("near_hub").alias("hub"))).unionByName(parted.join(near, ["j", "value", "part"]).select(F.col("near_hub").alias("id"), "hub").distinct())
     hubs = stage(small.where("id <> hub").distinct(), "hubs")
     first = hubs.groupBy("id").agg(F.min("hub").alias("b")).select(F.col("id").alias("a"), "b")
-    links = stage(verified(first, texts, least, shingle).select("a", "b"), "links")
+    links = stage(verified(first, shingles, least).select("a", "b"), "links")
     labels = stage(connected_components(links), "labels")
 
     def label(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -212,7 +218,7 @@ def near_duplicates(
 
     # round 2: every other hub of a bucket that lies in another component
     rest = label(label(hubs, "id", "c1"), "hub", "c2").where("c1 <> c2").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    more = stage(verified(rest, texts, least, shingle).select("a", "b"), "links")
+    more = stage(verified(rest, shingles, least).select("a", "b"), "links")
     links = stage(links.unionByName(more), "links")
     labels = stage(connected_components(links), "labels")
 
@@ -230,7 +236,7 @@ def near_duplicates(
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     pairs = pairs.unionByName(blocks.groupBy("j", "value", "p", "q").applyInPandas(_block_pairs(least), "a long, b long"))
     pairs = pairs.select("a", "b").distinct().join(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
-    last = verified(pairs, texts, least, shingle).select("a", "b")
+    last = verified(pairs, shingles, least).select("a", "b")
     done = connected_components(links.unionByName(last).unionByName(copies))
     out = sketched.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(done.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     class_id = F.coalesce("component", "doc_id")
