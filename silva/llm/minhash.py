@@ -15,7 +15,7 @@ Groups. Exact copies collapse first. A bucket then links each document to the bu
 one, not to all others; only pairs that still lie in one bucket but different components are
 compared in the last round, so no link found by any bucket is lost and no bucket is expanded
 into all its pairs. Large buckets are compared there in blocks, and a pair goes on only if its
-counts of shingles by hash byte allow the threshold: the sum of their differences never exceeds
+counts of shingles by hash prefix allow the threshold: the sum of their differences never exceeds
 the number of shingles that the pair doesn't share, so this drops no link.
 """
 
@@ -36,8 +36,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKS = 6
-#: Open buckets of more members are compared in blocks of this many.
-BLOCK = 128
+#: Open buckets of more members than FEW are compared in blocks of at most BLOCK.
+FEW, BLOCK = 16, 128
+#: Counts of shingles by hash that a document in such a block carries, and the coarser ones that are tried first.
+BINS, FEWER = 1024, 256
 #: Members of one bucket that may share a hub; larger buckets have several, joined in the next round.
 FAN = 512
 
@@ -108,24 +110,23 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, picks: int = PICKS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: id, n (its shingles), digest (of its words in order, 16 bytes as two longs), sketch (array<long>, empty if n is 0), bins (256 counts, at most 255, of shingles by their hash's first byte)."""
+    """One row per document: id, n (its shingles), digest (of its words in order, 16 bytes as two longs), sketch (array<long>, empty if n is 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             words, counts = word_hashes(texts)
             ends = np.cumsum(counts)
-            n, first, second, kept, bins = [], [], [], [], []
+            n, first, second, kept = [], [], [], []
             for count, end in zip(counts.tolist(), ends.tolist()):
                 own = shingle_hashes(words[end - count : end], shingle)
                 n.append(len(own))
                 place = np.arange(1, len(own) + 1, dtype=np.uint64)
                 first.append(int(np.sum(mix64(own + place)).view(np.int64)) if len(own) else 0)
                 second.append(int(np.sum(mix64(own ^ mix64(place))).view(np.int64)) if len(own) else 0)
-                bins.append(np.minimum(np.bincount((own >> np.uint64(56)).view(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 kept.append(order_minhash(own, sketches, picks).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(bins, pa.binary())], ["id", "n", "digest_a", "digest_b", "sketch", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], ["id", "n", "digest_a", "digest_b", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, digest_a long, digest_b long, sketch array<long>, bins binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, digest_a long, digest_b long, sketch array<long>")
 
 
 def _block_pairs(least: float):
@@ -133,13 +134,15 @@ def _block_pairs(least: float):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         one, two = rows[rows.part == key[2]], rows[rows.part == key[3]]
-        counts = np.frombuffer(b"".join(two.bins), dtype=np.uint8).reshape(len(two), 256).astype(np.int16)
+        fine1, fine2 = (np.frombuffer(b"".join(x.bins), dtype=np.uint8).reshape(len(x), BINS).astype(np.int16) for x in (one, two))
+        coarse1, coarse2 = (x.reshape(len(x), FEWER, -1).sum(axis=2, dtype=np.int16) for x in (fine1, fine2))
         n2, c2, id2 = two.n.to_numpy(), two.c.to_numpy(), two.id.to_numpy()
         a, b = [], []
-        for i, n, c, own in zip(one.id, one.n, one.c, one.bins):
-            apart = np.abs(counts - np.frombuffer(own, dtype=np.uint8).astype(np.int16)).sum(axis=1)
+        for k, (i, n, c) in enumerate(zip(one.id, one.n, one.c)):
             free = (n + n2) * (1 - least) / (1 + least) + 1e-6
-            hit = np.flatnonzero((c2 != c) & (apart <= free) & (np.abs(n2 - n) <= free) & ((id2 < i) | (key[2] != key[3])))
+            hit = np.flatnonzero((c2 != c) & (np.abs(n2 - n) <= free) & ((id2 < i) | (key[2] != key[3])))
+            hit = hit[np.abs(coarse2[hit] - coarse1[k]).sum(axis=1) <= free[hit]]
+            hit = hit[np.abs(fine2[hit] - fine1[k]).sum(axis=1) <= free[hit]]
             a.append(np.full(len(hit), i))
             b.append(id2[hit])
         a, b = np.concatenate(a) if a else np.zeros(0, dtype=np.int64), np.concatenate(b) if b else np.zeros(0, dtype=np.int64)
@@ -160,6 +163,18 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
+def binned(shingles: DataFrame) -> DataFrame:
+    """For each row of ``shingles`` (id, hashes): id, bins (BINS counts, at most 255, of shingles by their hash's first bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [(np.frombuffer(x.as_buffer(), dtype=np.uint64) >> np.uint64(64 - BINS.bit_length() + 1)).view(np.int64) for x in batch.column(1)]
+            bins = [np.minimum(np.bincount(x, minlength=BINS), 255).astype(np.uint8).tobytes() for x in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], ["id", "bins"])
+
+    return shingles.select("id", "hashes").mapInArrow(run, "id long, bins binary")
+
+
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     """Those ``pairs`` (a, b) whose shingles (id, hashes; one row per id) align with similarity ``least`` or more, with the similarity."""
 
@@ -226,13 +241,13 @@ def near_duplicates(
     placed = label(members, "id", "c")
     split = placed.groupBy("j", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("j", "value", "many")
     open_ = stage(placed.join(split, ["j", "value"]).select("j", "value", "many", "id", "n", "c"), "open")
-    few = open_.where(F.col("many") <= BLOCK).drop("many")
+    few = open_.where(F.col("many") <= FEW).drop("many")
     left, right = few.toDF("j", "value", "a", "na", "ca"), few.toDF("j", "value", "b", "nb", "cb")
     alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
     pairs = left.join(right, ["j", "value"]).where(alike).select("a", "b")
-    bins = sketched.select("id", "bins").join(open_.where(F.col("many") > BLOCK).select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    bins = binned(shingles.join(open_.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi"))
     parts = F.ceil(F.col("many") / BLOCK)
-    blocks = open_.where(F.col("many") > BLOCK).withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
+    blocks = open_.where(F.col("many") > FEW).withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     pairs = pairs.unionByName(blocks.groupBy("j", "value", "p", "q").applyInPandas(_block_pairs(least), "a long, b long"))
     pairs = pairs.select("a", "b").distinct().join(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
