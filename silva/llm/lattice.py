@@ -27,8 +27,8 @@ from .common import stage, text_batches
 FREQUENT = 200_000
 #: Rounds of expected counts.
 ROUNDS = 2
-#: Marked words of up to so many characters are safe from underflow without logs.
-SHORT = 60
+#: Marked words of up to so many characters are tried without logs; a sum under TINY may have lost ways to underflow and is done again in logs.
+SHORT, TINY = 60, 1e-280
 #: Distinct words that a worker gathers before it hands them on.
 GATHERED = 400_000
 LN10 = math.log(10)
@@ -118,7 +118,7 @@ def arc_table(vocabulary: Pieces, weight: list[float]) -> dict[str, tuple[int, f
 
 
 def short_lattice(word: str, table: dict, vocabulary: Pieces, weight: list[float]) -> tuple[list[float], list[tuple]]:
-    """Probabilities of all ways to each place of a marked word of SHORT characters at most, and its arcs (from, to, ids, probability): no product here underflows, so logs can wait."""
+    """Probabilities of all ways to each place of a marked word of SHORT characters at most, and its arcs (from, to, ids, probability). Valid if the last of them reaches TINY."""
     n, get = len(word), table.get
     ahead, used = [0.0] * (n + 1), []
     ahead[0] = 1.0
@@ -146,7 +146,8 @@ def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[flo
     """Add ``count`` times the expected use of each piece in the word. ``weight`` holds the exponentials of ``score``, ``table`` its arc table."""
     word = MARK + word
     n = len(word)
-    if n > SHORT:
+    ahead, used = short_lattice(word, table, vocabulary, weight) if n <= SHORT else ([0.0], [])
+    if ahead[-1] < TINY:
         arcs = vocabulary.arcs(word)
         ahead = forward(arcs, score)
         back = [0.0] * (n + 1)
@@ -158,7 +159,6 @@ def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[flo
                 for k in ids:
                     into[k] += use
         return
-    ahead, used = short_lattice(word, table, vocabulary, weight)
     back = [0.0] * (n + 1)
     back[n] = count / ahead[n]
     for i, j, k, p in reversed(used):
@@ -174,9 +174,8 @@ def expected_counts(word: str, count: float, vocabulary: Pieces, score: list[flo
 
 def word_score(word: str, vocabulary: Pieces, score: list[float], weight: list[float], table: dict) -> float:
     """The same as :func:`log_probability`, by the short lattice where that is safe."""
-    if len(word) >= SHORT:
-        return log_probability(word, vocabulary, score)
-    return math.log(short_lattice(MARK + word, table, vocabulary, weight)[0][-1])
+    found = short_lattice(MARK + word, table, vocabulary, weight)[0][-1] if len(word) < SHORT else 0.0
+    return math.log(found) if found >= TINY else log_probability(word, vocabulary, score)
 
 
 def tokens(text: str) -> list[bytes]:

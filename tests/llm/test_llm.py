@@ -84,6 +84,24 @@ def test_lattice_sums_all_segmentations():
     assert sum(len(p) * into[i] for p, i in v.names.items()) == pytest.approx(2.0 * len(word))
 
 
+def test_lattice_of_unseen_characters_does_not_underflow(spark):
+    v = lattice.pieces(lattice.default_vocabulary())
+    rare = np.full(len(v.start), math.log(1e-9))
+    for start in (v.start, rare):
+        score, weight = start.tolist(), np.exp(start).tolist()
+        table = lattice.arc_table(v, weight)
+        for word in ("\u4e02" * 19, "\U0001f9ff" * 15, "\u4e02\U0001f9ff" * 29, "ab" * 29):
+            assert lattice.word_score(word, v, score, weight, table) == pytest.approx(lattice.log_probability(word, v, score))
+            into = [0.0] * len(score)
+            lattice.expected_counts(word, 3.0, v, score, weight, table, into)
+            named = sum(len(p) * into[i] for p, i in v.names.items())
+            assert named + sum(into[i] for i in v.byte) >= 3.0 * len(word) and all(map(math.isfinite, into))
+    rows = [(i, "plain words " + "\u4e02" * 40 + " " + "\U0001f9ff" * 30 + f" {i}") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lattice.score(table, *lattice.train(table, lattice.default_vocabulary())).collect()
+    assert len(got) == 30 and all(math.isfinite(r.score) for r in got)
+
+
 def test_lattice_scores(spark, docs):
     got = lattice.score(docs, *lattice.train(docs, lattice.default_vocabulary(), frequent=50)).collect()
     rows = docs.collect()
