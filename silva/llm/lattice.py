@@ -1,13 +1,14 @@
 """Language-model scores from a subword lattice.
 
 The pieces of an existing public vocabulary spell every word in many ways; the probability of a word is the sum over
-all of them, by a forward recursion in log space. A frequent word of the corpus is also a piece of its own: one more
-arc across the whole lattice. Pieces start from the vocabulary's own scores; expected counts over all the corpus's rarer
-words, by a forward and a backward pass, then set their probabilities. A text's words and its end are independent given the pieces.
-
-Word counts are summed by Spark over the whole training side. Only the FREQUENT most frequent words are broadcast,
-which also takes the hot keys out of the join; all other words are spelled once each and meet
-their counts and spellings in a shuffled join.
+all of them, by a forward recursion in log space. Every word of the training side is also a piece of its own: one more
+arc across the whole lattice, as likely as the word is frequent. The vocabulary's scores are ranks of merges (BPE), so Zipf's law makes starting
+probabilities of them; expected counts over all the distinct words, by a forward and a backward pass, then replace these. A word counts once there: its
+arc stands for its further occurrences, and spelling is for words not met yet. A text's words and its end are independent given the pieces.
+
+Word counts are summed by Spark over the whole training side. The FREQUENT most frequent words are broadcast, which
+takes the hot keys out of the join; all other words are scored once each and meet their scores in a shuffled
+join. Which words are broadcast doesn't change any score.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_batches
 
-#: Words that are pieces of their own, and are broadcast; a bound, not a share.
+#: Words that are broadcast at most; an aid of the join that changes no score.
 FREQUENT = 200_000
 #: Rounds of expected counts.
 ROUNDS = 2
@@ -224,7 +225,7 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 class Model:
-    """What scoring needs: counts of frequent words, the log probabilities of pieces, and totals."""
+    """What scoring needs: counts of frequent words, the log probabilities of pieces, totals, and the share of tokens that whole words have."""
 
     def __init__(self, path: str, frequent: dict[bytes, int], score: np.ndarray, total: int, distinct: int, share: float):
         self.path, self.frequent, self.score, self.total, self.distinct, self.share = path, frequent, score, total, distinct, share
@@ -233,22 +234,27 @@ class Model:
     def base_floor(self) -> float:
         return math.log10(self.total + 0.1 * (self.distinct + 1))
 
-    def prepare(self) -> None:
+    def open(self) -> None:
+        """Make a worker's tables."""
         self.list = self.score.tolist()
         self.vocabulary = pieces(self.path)
-        rest = math.log(max(1e-12, 1 - self.share))
-        mass = max(1, sum(self.frequent.values()))
-        whole = math.log(max(1e-12, self.share))
         self.end = self.list[self.vocabulary.end] / LN10
-        weight = self.score.copy()
-        weight = np.exp(weight).tolist()
-        table = arc_table(self.vocabulary, weight)
-        spelled = {w: rest + word_score(_string(w), self.vocabulary, self.list, weight, table) for w in self.frequent}
-        self.prepared = {w: ((math.log10(c + 0.1) - self.base_floor), _add([whole + math.log(c / mass), spelled[w]]) / LN10) for w, c in self.frequent.items()}
+        self.weight = np.exp(self.score).tolist()
+        self.table = arc_table(self.vocabulary, self.weight)
+        self.whole, self.rest = math.log(max(1e-300, self.share)), math.log1p(-self.share)
+
+    def word(self, word: bytes, n: int) -> float:
+        """log10 probability of a word that the training side has ``n`` times: as a whole, or spelled."""
+        spelled = self.rest + word_score(_string(word), self.vocabulary, self.list, self.weight, self.table)
+        return (_add([self.whole + math.log(n / self.total), spelled]) if n else spelled) / LN10
+
+    def prepare(self) -> None:
+        self.open()
+        self.prepared = {w: (math.log10(c + 0.1) - self.base_floor, self.word(w, c)) for w, c in self.frequent.items()}
 
 
 def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0), frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model, and a table of all words but the frequent ones: word, n, spelled (log10 of the marginal probability), each word spelled once."""
+    """The model, and a table of all words but the frequent ones: word, n, spelled (log10 of the probability over the whole word and all spellings), each word once."""
     spark = docs.sparkSession
     counts = stage(word_counts(docs, id_col, text_col, fold), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
@@ -261,13 +267,13 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     def counter(first: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_pieces, score, weight, skip = pieces(vocabulary), first.tolist(), np.exp(first).tolist(), known.value
+            own_pieces, score, weight = pieces(vocabulary), first.tolist(), np.exp(first).tolist()
             table = arc_table(own_pieces, weight)
             into = [0.0] * len(first)
             for batch in batches:
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if n and word not in skip:
-                        expected_counts(_string(word), n, own_pieces, score, weight, table, into)
+                    if n:
+                        expected_counts(_string(word), 1.0, own_pieces, score, weight, table, into)
             found = np.array(into)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.float64())], ["piece", "n"])
@@ -279,21 +285,20 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         for r in counts.mapInArrow(counter(log_p), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # the vocabulary bounds it
             expected[r.piece] += r.n
         log_p = np.log(expected / expected.sum())
-    # frequent words and ends are pieces too; a share of the tokens is left to spelled words at least
-    share = (sum(top.values())) / max(1, total) if top else 0.0
-    share = min(share, 1 - (distinct + 1) / (total + distinct + 2)) if top else 0.0
+    # words and ends are pieces too; spelling keeps the share of tokens that were new when they came
+    share = 1 - (distinct + 1) / (total + distinct + 2) if total else 0.0
     end = (ends + 1) / (total + ends + 2)
     model = Model(vocabulary, top, log_p, total, distinct, share * (1 - end))
     model.score[own.end] = math.log(end)
-    spelling, left = spark.sparkContext.broadcast(model.score), math.log(max(1e-12, 1 - model.share))
+    spelling = spark.sparkContext.broadcast(Model(vocabulary, {}, model.score, total, distinct, model.share))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_pieces, score, weight, skip = pieces(vocabulary), spelling.value.tolist(), np.exp(spelling.value).tolist(), known.value
-        table = arc_table(own_pieces, weight)
+        rule, skip = spelling.value, known.value
+        if not hasattr(rule, "table"):
+            rule.open()
         for batch in batches:
             rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in skip]
-            scores = [(left + word_score(_string(w), own_pieces, score, weight, table)) / LN10 for w, _ in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64()), pa.array(scores, pa.float64())], ["word", "n", "spelled"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64()), pa.array([rule.word(w, n) for w, n in rows], pa.float64())], ["word", "n", "spelled"])
 
     return model, stage(counts.mapInArrow(spell, "word binary, n long, spelled double"), "rare")
 

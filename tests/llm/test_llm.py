@@ -120,6 +120,20 @@ def test_lattice_scores(spark, docs):
     assert len(got) == len(rows) and all(g.score < 0 and g.train_tokens == total for g in got)
 
 
+def test_lattice_scores_do_not_depend_on_the_broadcast(spark, docs):
+    by = []
+    for frequent in (3, 10_000):
+        model, rare = lattice.train(docs, lattice.default_vocabulary(), frequent=frequent)
+        by.append(sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lattice.score(docs, model, rare).collect()))
+    assert [r[:2] for r in by[0]] == [r[:2] for r in by[1]]
+    assert [r[2] for r in by[0]] == pytest.approx([r[2] for r in by[1]])
+    # a counted word has its own arc, however many words are more frequent
+    rows = spark.createDataFrame([(i, "common words come here zyxwvq") for i in range(40)], "doc_id long, text string")
+    model, rare = lattice.train(rows, lattice.default_vocabulary(), frequent=0)
+    row = rare.where(F.col("word") == F.lit(b"zyxwvq")).first()
+    assert row.n and row.spelled >= math.log10(model.share * row.n / model.total)
+
+
 def brute_leaks(docs, items):
     import re
 
