@@ -4,9 +4,14 @@ Sketches. A document is the sequence of its 5-word shingles. Each shingle is lab
 often it has occurred before, so repeats count. Each of ``sketches`` hash functions picks the
 ``picks`` labelled shingles with the smallest values and keeps them in text order; two documents
 with equal picks in equal order under any function are candidates. At an ordered similarity of
-0.8 a sketch of 6 agrees with probability 0.26 or more, so 32 sketches miss about 6 in 100,000
+0.8 a sketch of 6 agrees with probability 0.24 or more, so 32 sketches miss 6 to 15 in 100,000
 pairs; a passage that fills two fifths of two documents makes them candidates in one pair of eight.
 
+Short documents. Picks are made without replacement, so sketches lose far more pairs of few shingles, and
+all pairs of unequal length below PICKS. Pairs whose shorter text has SHORT shingles at most are found by prefixes
+instead, without loss: of n labelled shingles at least 0.8 n must be common, so if each document orders its own from
+the rarest to the commonest, two near ones share one of their first n - ceil(0.8 n) + 1.
+
 Verification. Similarity is m / (n1 + n2 - m), where m is the longest common subsequence of the two
 shingle sequences. Reaching the threshold leaves few insertions and deletions, so cells farther from
 the diagonal than that count are outside the band and never matter.
@@ -42,6 +47,8 @@ FEW, BLOCK = 16, 128
 BINS, FEWER = 1024, 256
 #: Members of one bucket that may share a hub; larger buckets have several, joined in the next round.
 FAN = 512
+#: Pairs whose shorter text has so many shingles at most are found by prefixes.
+SHORT = 40
 
 
 def _occurrences(shingles: np.ndarray) -> np.ndarray:
@@ -57,10 +64,15 @@ def _occurrences(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled_shingles(shingles: np.ndarray) -> np.ndarray:
+    """The shingles, each mixed with how often it has occurred before: all distinct."""
+    return mix64(shingles + _occurrences(shingles) * np.uint64(0xA24BAED4963EE407))
+
+
 def order_minhash(shingles: np.ndarray, sketches: int, picks: int) -> np.ndarray:
     """The ``sketches`` values of one document's shingles (not empty), as uint64."""
     seeds = mix64(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    labelled = mix64(shingles + _occurrences(shingles) * np.uint64(0xA24BAED4963EE407))
+    labelled = labelled_shingles(shingles)
     values = labelled[None, :] ^ seeds[:, None]
     values *= np.uint64(0xD6E8FEB86659FD93)
     values ^= values >> np.uint64(32)
@@ -109,14 +121,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return found if m >= needed and found >= least - 1e-12 else 0.0
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, picks: int = PICKS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: id, n (its shingles), digest (of its words in order, 16 bytes as two longs), sketch (array<long>, empty if n is 0)."""
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, picks: int = PICKS, shingle: int = SHINGLE, label_up_to: int = 0) -> DataFrame:
+    """One row per document: id, n (its shingles), digest (of its words in order, 16 bytes as two longs), sketch (array<long>, empty if n is 0), labelled (its labelled shingles, null if n exceeds ``label_up_to``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             words, counts = word_hashes(texts)
             ends = np.cumsum(counts)
-            n, first, second, kept = [], [], [], []
+            n, first, second, kept, labelled = [], [], [], [], []
             for count, end in zip(counts.tolist(), ends.tolist()):
                 own = shingle_hashes(words[end - count : end], shingle)
                 n.append(len(own))
@@ -124,9 +136,19 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sket
                 first.append(int(np.sum(mix64(own + place)).view(np.int64)) if len(own) else 0)
                 second.append(int(np.sum(mix64(own ^ mix64(place))).view(np.int64)) if len(own) else 0)
                 kept.append(order_minhash(own, sketches, picks).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], ["id", "n", "digest_a", "digest_b", "sketch"])
+                labelled.append(labelled_shingles(own).view(np.int64) if 0 < len(own) <= label_up_to else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(labelled, pa.list_(pa.int64()))], ["id", "n", "digest_a", "digest_b", "sketch", "labelled"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, digest_a long, digest_b long, sketch array<long>, labelled array<long>")
+
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, digest_a long, digest_b long, sketch array<long>")
+def prefixes(labelled: DataFrame, least: float) -> DataFrame:
+    """id, n, value: the rarest n - ceil(least * n) + 1 labelled shingles of each document (id, n, labelled), without those that no other has."""
+    each = labelled.select("id", "n", F.explode("labelled").alias("value"))
+    often = each.groupBy("value").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    return ranked.select("id", "n", F.explode(first).alias("x")).where("x.often > 1").select("id", "n", "x.value")
 
 
 def _block_pairs(least: float):
@@ -201,14 +223,16 @@ def near_duplicates(
     document for this purpose: they share a class (by their text with the smallest digest).
     Letter case (A-Z) and punctuation don't count. Other columns of ``docs`` are ignored. An empty table gives no rows.
     """
-    sketched = stage(sketch(docs, id_col, text_col, sketches, picks, shingle), "sketch")
+    # a text within reach of a short one has its shingles labelled too
+    sketched = stage(sketch(docs, id_col, text_col, sketches, picks, shingle, int(SHORT / least)), "sketch")
     # one text per id and one id per text; minima are combined before the shuffle
     known = sketched.where("id is not null and n > 0")
     classes = known.groupBy("digest_a", "digest_b", "n").agg(F.min("id").alias("rep"))
     lead = known.join(classes, ["digest_a", "digest_b", "n"])
     copies = lead.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = lead.where("id = rep").groupBy("id").agg(F.min(F.struct("digest_a", "digest_b", "n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
+    reps = lead.where("id = rep").groupBy("id").agg(F.min(F.struct("digest_a", "digest_b", "n", "sketch", "labelled")).alias("s")).select("id", "s.n", "s.sketch", "s.labelled")
     buckets = reps.select("id", "n", F.posexplode("sketch").alias("j", "value"))
+    buckets = buckets.unionByName(stage(prefixes(reps, least), "prefixes").withColumn("j", F.lit(-1)))
     shared = buckets.groupBy("j", "value").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     members = stage(buckets.join(shared, ["j", "value"]).select("j", "value", "size", "hub", "id", "n"), "buckets")
 

@@ -38,6 +38,34 @@ def test_minhash_classes(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_finds_all_near_pairs_of_short_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in range(6, 26):
+        for _ in range(6):
+            own = [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+            rows += [own, [*own, "more"], ["more", "still", *own], ["other", *own[1:]], [*own[:-2], "else", "where"]]
+    for _ in range(20):  # repeated words
+        own = [rng.choice("xyz") for _ in range(rng.randint(6, 25))]
+        rows += [own, [*own, rng.choice("xyz")]]
+    tables = [minhash.shingle_hashes(minhash.word_hashes([" ".join(w)])[0], 5) for w in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if minhash.similarity(tables[i], tables[j], 0.8):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {i: find(i) for i in range(len(rows))}
+    assert len({find(i) for i in range(len(rows))}) < len(rows) - 200
+
+
 def test_similarity_equals_common_subsequence():
     rng = random.Random(1)
     for _ in range(30):
