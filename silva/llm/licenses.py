@@ -5,15 +5,19 @@ paragraphs. It is fitted on the driver to the templates below, whole and with wo
 a cue word are features, so a paragraph without any cue word has no feature: it is unknown by the intercepts alone, and the scan
 skips it by one pattern. The temperature that fits held-out variants best calibrates the probabilities; a paragraph whose best
 family has less than CONFIDENT is unknown. A prediction is confirmed if the paragraph holds enough of one of the family's templates.
+
+A notice may stand on one line or be wrapped over several. So each line is judged, and so is each run of lines without
+a blank line between, joined by spaces; a run is reported if it is confirmed as a family that none of its lines is confirmed as.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -24,14 +28,14 @@ VARIANTS = 40
 
 # Short public notices by licence family.
 TEMPLATES: dict[str, list[str]] = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "agpl": ["This program is licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Released under the AGPLv3", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPLv3"],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Released under the LGPLv2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved", "This document is confidential and proprietary; all rights reserved", "No part of this publication may be reproduced without the prior written permission of the publisher"],
@@ -45,14 +49,16 @@ OTHER = [
     "Er kam mit dem Zug", "mit der Zeit wurde es besser", "und mit den anderen", "sie ging mit", "ein Haus mit Garten", "das mit dem Hund", "License plates are made there", "Commercial traffic may use the road", "It is not permitted to smoke", "The terms of the treaty were met", "Free entry for any person", "The software was sold to a firm", "cc the whole team by email", "The license fee rose by four percent",
 ]
 # Every feature holds one of these words.
-CUES = "license licence licensed licensing copyright rights reserved permission permitted redistribution redistribute warranty spdx apache bsd mit gnu gpl lgpl agpl mpl mozilla cc cc0 commons attribution noncommercial sharealike proprietary confidential public domain unencumbered reproduced".split()
+CUES = "license licence licensed licensing copyright rights reserved permission permitted redistribution redistribute warranty spdx apache bsd mit gnu gpl lgpl agpl mpl mozilla cc commons attribution noncommercial sharealike proprietary confidential public domain unencumbered reproduced".split()
 
 _CUE = set(CUES)
+#: The v between a name and its version number.
+VERSION = r"([a-z])v(?=\.?[0-9])"
 
 
 def word_list(text: str) -> list[str]:
-    """Runs of ASCII letters and digits, lower case; the DataFrame side splits alike."""
-    return re.findall(r"[a-z0-9]+", text.lower())
+    """Runs of ASCII letters and of digits, lower case, a version's v apart (gplv3: gpl v 3); the DataFrame side splits alike."""
+    return re.findall(r"[a-z]+|[0-9]+", re.sub(VERSION, r"\1 v ", text.lower()))
 
 
 def grams(words: list[str]) -> set[str]:
@@ -123,26 +129,55 @@ def _tables(spark: SparkSession, model: Classifier, templates: dict[str, list[st
     return weights, spark.createDataFrame(rows, "family string, pairs array<string>")
 
 
+def _needed(templates: dict[str, list[str]], confirmed: float) -> list[str]:
+    """Word pairs of which every text has one that holds ``confirmed`` of a template's: of each template so many that the others don't suffice, those with cue words and long ones first."""
+    found = set()
+    for own in (word_list(t) for texts in templates.values() for t in texts):
+        pairs = sorted({" ".join(x) for x in zip(own, own[1:])}, key=lambda x: (_CUE.isdisjoint(x.split(" ")), -len(x), x))
+        found.update(pairs[: len(pairs) - math.ceil(confirmed * len(pairs) - 1e-9) + 1])
+    return sorted(found)
+
+
 def scan(docs: DataFrame, model: Classifier, templates: dict[str, list[str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", confident: float = CONFIDENT, confirmed: float = CONFIRMED) -> DataFrame:
-    """One row per paragraph with a cue word: doc_id, paragraph (from 0), family, probability, template_share, confirmed.
+    """One row per paragraph with a cue word: doc_id, paragraph (the number of its first line, from 0), lines, family, probability, template_share, confirmed.
 
-    Paragraphs are lines. family is ``unknown`` if unknown is likeliest or the likeliest family has less than ``confident``; probability is
+    Paragraphs are lines, and those runs of lines without a blank one that are confirmed as a family that none of their lines is confirmed as. family is ``unknown`` if unknown is likeliest or the likeliest family has less than ``confident``; probability is
     that of the likeliest class. template_share is the greatest share of a template's word pairs that the
     paragraph holds, of the predicted family; confirmed if it is ``confirmed`` or more (never for unknown). Null or empty texts
     have no paragraph. Rows that share an id and a paragraph number are reported each. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     weights, pairs = _tables(spark, model, templates)
-    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(CUES) + r")(?![a-z0-9])"
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line")).where(F.rlike("line", F.lit(cue)))
-    lines = lines.withColumn("words", F.array_remove(F.split(F.lower("line"), "[^a-z0-9]+"), ""))
-    lines = lines.withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "paragraph", "copy", "words")
-
-    def runs(n: int):
-        last = F.size("words") - n
-        made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("words", i + 1, n)))
+    cue = r"(?i)(?<![a-z])(?:" + "|".join(CUES) + r")(?![a-uw-z]|v(?!\.?[0-9]))"
+
+    def words(text: Column) -> Column:
+        apart = F.regexp_replace(F.lower(text), VERSION, "$1 v ")
+        return F.array_remove(F.split(apart, "[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])"), "")
+
+    def joined(words: Column, n: int) -> Column:
+        last = F.size(words) - n
+        made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))
         return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
 
+    def runs(n: int) -> Column:
+        return joined(F.col("words"), n)
+
+    # a part is a run of lines, after a blank line at most
+    blank = r"\A[^\S\n]*\n"
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text"))
+    lines = texts.select("doc_id", "copy", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.rlike("line", F.lit(cue)))
+    lines = lines.select("doc_id", "copy", "paragraph", F.lit(1).alias("lines"), words(F.col("line")).alias("words"))
+    parts = F.split("text", r"\n(?=[^\S\n]*(?:\n|\z))")
+    ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    wrapped = F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, blank, "").alias("run"), F.rlike(x, F.lit(blank)).cast("int").alias("skip"))), lambda x: F.contains(x["run"], F.lit("\n")))
+    folded = texts.where(F.contains("text", F.lit("\n")) & F.rlike("text", F.lit(cue))).select("doc_id", "copy", parts.alias("parts")).select("doc_id", "copy", F.transform("parts", lambda x: ends(x) + 1).alias("sizes"), F.explode(wrapped).alias("x"))
+    folded = folded.where(F.rlike("x.run", F.lit(cue))).select("doc_id", "copy", "sizes", "x", words(F.col("x.run")).alias("words"))
+    # most runs have too little of any template: only those that may be confirmed are scored
+    folded = folded.where(F.arrays_overlap(runs(2), F.array(*[F.lit(x) for x in _needed(templates, confirmed)])))
+    first = F.aggregate(F.slice("sizes", F.lit(1), F.col("x.i")), F.lit(0), lambda a, b: a + b) + F.col("x.skip")
+    folded = folded.select("doc_id", "copy", first.alias("paragraph"), (ends(F.col("x.run")) + 1).alias("lines"), "words")
+    lines = lines.unionByName(folded)
+
     # one score per distinct paragraph: a notice that a third of all documents repeat is scored once
     bodies = lines.select("words").distinct()
     features = bodies.select("words", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]))).alias("gram"))
@@ -157,5 +192,8 @@ def scan(docs: DataFrame, model: Classifier, templates: dict[str, list[str]] = T
     own = F.array_distinct(runs(2))
     held = scored.join(F.broadcast(pairs), "family", "left").withColumn("share", F.size(F.array_intersect("pairs", own)) / F.size("pairs"))
     held = held.groupBy("words", "family", "probability").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("template_share"))
-    out = lines.join(held, "words")
-    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "template_share", (F.col("template_share") >= confirmed).alias("confirmed"))
+    out = lines.join(held, "words").select("doc_id", "copy", F.col("paragraph").cast("long").alias("paragraph"), F.col("lines").cast("long").alias("lines"), "family", "probability", "template_share", (F.col("template_share") >= confirmed).alias("confirmed"))
+    alone = F.collect_list(F.when(F.col("confirmed") & (F.col("lines") == 1), F.col("paragraph"))).over(Window.partitionBy("copy", "family"))
+    covered = F.exists("alone", lambda p: (p >= F.col("paragraph")) & (p < F.col("paragraph") + F.col("lines")))
+    out = out.withColumn("alone", alone).where((F.col("lines") == 1) | (F.col("confirmed") & ~covered))
+    return out.drop("copy", "alone")
