@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation and a lexical score.
 
-A character trigram model is counted over all documents. Spans that look disguised (leetspeak inside
-words, letters drawn out, letters spaced apart) become a lattice: each symbol stands for itself or for the
+A character trigram model is counted over all documents. Spans that may be disguised (a sign or digit that imitates
+a letter beside any letter, letters drawn out, letters apart) become a lattice: each symbol stands for itself or for the
 letters it imitates, a run of letters for one or two, a gap for nothing or a space, each at a cost. Viterbi finds
 the cheapest reading under the channel costs and the trigram model. The restored text's words are then
 scored by weights of word beginnings and words, learned from labelled documents.
@@ -41,12 +41,13 @@ SUBSTITUTE, DOUBLED, DRAWN_OUT, GAP = 1.0, 1.5, 0.5, 2.0
 _SIGNS = "".join(LEET)
 _ORDER = "abcdefghijklmnopqrstuvwxyz0123456789" + "@$!|+"
 SYMBOLS = len(_ORDER) + 2  # 0: between words; the last: all other letters
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")  # letters spaced apart
-_DISGUISED = re.compile(
-    r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])"  # letters with marks between them
-    r"|[a-z]*(?:[a-z][0134578@$!|+]+|[013457@$!|+]+[a-z])[a-z0-9@$!|+]*[a-z]"  # signs among letters
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # letters drawn out
-)
+_MARKS = ".-_*"
+_UNIT = r"(?:[^\W_]|[@$!|+])"  # a letter, a digit or a sign that imitates one
+_ALONE, _ENDS = r"(?<![^\W_])(?<![@$!|+])", r"(?![^\W_]|[@$!|+])"
+_SPACED = re.compile(rf"{_ALONE}{_UNIT}(?:[\s.\-_*]+{_UNIT}){{2,}}{_ENDS}")  # letters with blanks or marks between them
+_SPAN = re.compile(rf"{_UNIT}+")
+_DISGUISED = re.compile(r"[^\W\d_][01345789@$!|+]|[01345789@$!|+][^\W\d_]|([^\W\d_])\1\1")  # signs beside letters, letters drawn out
+_JOINED = re.compile(_UNIT)
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 
@@ -123,6 +124,11 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 def restore(span: str, cost: list) -> str:
     """The cheapest reading of a lower-case span; of equally cheap ones the first by text. cost: nested lists by three symbols."""
+    return cheapest(span, cost)[1]
+
+
+def cheapest(span: str, cost: list) -> tuple[float, str]:
+    """The reading that :func:`restore` gives, after its cost."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in lattice(span):
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -137,7 +143,7 @@ def restore(span: str, cost: list) -> str:
                 if (x, y) not in after or found < after[x, y]:
                     after[x, y] = found
         states = after
-    return min((total + cost[a][b][0], text) for (a, b), (total, text) in states.items())[1]
+    return min((total + cost[a][b][0], text) for (a, b), (total, text) in states.items())
 
 
 class Deobfuscator:
@@ -156,6 +162,21 @@ class Deobfuscator:
             self.nested = self.array.tolist()
         return restore(match.group(), self.nested)
 
+    def _span(self, match: re.Match) -> str:
+        span = match.group()
+        if not _DISGUISED.search(span):
+            return span
+        found, body = self._one(match), span.rstrip("!")
+        if not body or body == span:
+            return found
+        # an exclamation mark at the end may be just that
+        alone, whole = cheapest(body, self.nested), cheapest(span, self.nested)
+        return alone[1] + span[len(body) :] if alone[0] <= whole[0] else found
+
+    def token(self, token: str) -> str:
+        """A run without white space, its disguised spans restored; spaced letters are joined already."""
+        return _SPAN.sub(self._span, token) if _DISGUISED.search(token) else token
+
     def _token(self, match: re.Match) -> str:
         """A run without white space, restored; remembered."""
         token = match.group()
@@ -163,7 +184,7 @@ class Deobfuscator:
         if found is None:
             if len(self.known) > REMEMBERED:
                 self.known = {}
-            found = self.known[token] = _DISGUISED.sub(self._one, token)
+            found = self.known[token] = self.token(token)
         return found
 
     def __call__(self, text: str) -> str:
@@ -174,13 +195,21 @@ class Deobfuscator:
         """The distinct runs without white space of the lower-case text, spaced letters joined first."""
         low = text.lower()
         found = set(low.split())
-        if any(len(t) == 1 for t in found):
+        if any(map(_lone, found)):
             joined = _SPACED.sub(self._one, low)
             if joined != low:
                 return set(joined.split())
         return found
 
 
+def _lone(token: str) -> bool:
+    """Whether spaced letters may begin in the token: they need one with nothing but marks or the token's end before the next."""
+    if len(token) == 1:
+        return True
+    bare = token.strip(_MARKS)
+    return len(bare) == 1 or (len(bare) > 1 and not _JOINED.match(bare[-2]))
+
+
 def features(word: str) -> list[str]:
     return [f"{word}$", *[word[:n] for n in HEADS if len(word) >= n]]
 
@@ -209,7 +238,7 @@ class Scorer:
             if hits is None:
                 if len(known) > REMEMBERED:
                     known.clear()
-                hits = known[token] = tuple((w, v) for w in _WORD.findall(_DISGUISED.sub(fix._one, token)) if (v := self.weight(w)))
+                hits = known[token] = tuple((w, v) for w in _WORD.findall(fix.token(token)) if (v := self.weight(w)))
             if hits:
                 marked.update(hits)
         return sum(marked.values())

@@ -243,6 +243,21 @@ def test_toxicity_finds_disguised_words(spark):
     assert restored == {1: "the moron ha", 2: "an idiot st", 3: "re stupid on"}
 
 
+def test_toxicity_restores_all_disguises(spark):
+    words = "hate ass idiots morons stupid ignorant ugly bastard idiot moron the an er in tion rest hash well".split()
+    rng = random.Random(6)
+    table = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60)) + " blöde") for i in range(200)], "doc_id long, text string")
+    fix = toxicity.Deobfuscator(toxicity.costs(toxicity.trigram_counts(table)))
+    odd = {"h4t3": "hate", "a55": "ass", "idi07": "idiot", "m0r0n5": "morons", "stup1d0": "stupido", "i9norant": "ignorant", "u91y": "ugly", "8astard": "bastard", "blöd3": "blöde", "id!0t": "idiot", "i-d-i-o-t": "idiot"}
+    odd |= {"i  d  i  o  t": "idiot", "i\td\ti\to\tt": "idiot", "i\u00a0d\u00a0i\u00a0o\u00a0t": "idiot", "i-d i-o t": "idiot", "i_d i.o-t": "idiot", "(m 0 r 0 n)": "(moron)"}
+    for seen, meant in odd.items():
+        assert fix(f"the {seen} er") == f"the {meant} er"
+        assert {fix.token(t) for t in fix.pieces(f"the {seen} er")} == {"the", meant, "er"}
+    for plain in ("well! in the end", "the idiot's (rest)", "in 1999 er 20 30", "b2b", ""):
+        assert fix(plain) == plain
+    assert fix("you idiot! the h4te!!") == "you idiot! the hate!!"
+
+
 def test_licences(spark):
     rows = [(1, "plain words\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "He lost his driving license last year"), (6, "und mit der zeit kam er an"), (7, "All rights reserved.")]
     model = licenses.fit()
