@@ -6,13 +6,13 @@ few phrases. The count of phrases per symbol estimates the cross entropy, and th
 
 The automaton's transitions are a table, in which a missing transition already holds the state after a new
 phrase begins, so one lookup advances one text in one language, and numpy advances thousands of
-text blocks in all languages at once. Blocks bound the steps: a phrase ends at its block's end.
+text blocks in all languages at once. Blocks bound the steps: a phrase ends at its block's end. Symbols are the bytes
+of letters in UTF-8, so no script is folded; a table has columns for the bytes of its own sample alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-#: The bounded sample: documents per language, characters taken of each, symbols per language and in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, ALL_SYMBOLS = 64, 2000, 20_000, 400_000
-WIDTH = 64
+#: The bounded sample: distinct texts per language, characters taken of each from any place, symbols per language and in all.
+SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, ALL_SYMBOLS = 64, 4000, 48_000, 800_000
+WIDTH = 256
 BLOCK = 2048
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,51 +64,63 @@ def suffix_automaton(symbols: list[int], width: int = WIDTH) -> np.ndarray:
     return table
 
 
+def spread(texts: list[np.ndarray], most: int) -> list[int]:
+    """The first symbols of all texts, ``most`` in all: what short ones leave falls to the others in equal parts."""
+    quota, left = {}, most
+    order = sorted(range(len(texts)), key=lambda k: (len(texts[k]), k))
+    for done, k in enumerate(order):
+        quota[k] = min(len(texts[k]), left // (len(order) - done))
+        left -= quota[k]
+    return [c for k, t in enumerate(texts) for c in t[: quota[k]].tolist()]
+
+
 class CrossParser:
     """All languages' tables in one, and the alphabet."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         each = min(SYMBOLS, ALL_SYMBOLS // max(1, len(samples)))
-        common = Counter(c for own in samples.values() for t in own for c in t.lower() if c.isalpha())
-        self.alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: WIDTH - 2]]
-        self._codes = None
-        tables, roots, at = [], [], 0
+        self._letters = None
+        tables, roots, columns, at = [], [], [], 0
         for language in self.languages:
-            symbols: list[int] = []
-            for text in samples[language]:
-                symbols += self.symbols([text])[0].tolist()
-                if len(symbols) >= each:
-                    break
-            table = suffix_automaton(symbols[:each]).astype(np.int64)
-            table = np.vstack((table, np.full((1, WIDTH), -1)))  # the last state lies between phrases: any symbol begins one
+            symbols = spread([self.symbols([t])[0] for t in samples[language]], each)
+            own = sorted(set(symbols))
+            column = np.full(WIDTH, len(own), dtype=np.int32)  # the last column is any byte that the sample lacks
+            column[own] = np.arange(len(own))
+            width = len(own) + 1
+            table = suffix_automaton(column[symbols].tolist(), width).astype(np.int64)
+            table = np.vstack((table, np.full((1, width), -1)))  # the last state lies between phrases: any symbol begins one
             begun = np.where(table[0] < 0, len(table) - 1, table[0])  # a symbol that the sample lacks is a phrase alone
-            table = np.where(table < 0, -((begun[None, :] + at) * WIDTH) - 1, (table + at) * WIDTH)
-            tables.append(table)
-            roots.append((at + len(table) - 1) * WIDTH)
-            at += len(table)
-        self.flat = (np.concatenate(tables) if tables else np.zeros((0, WIDTH))).astype(np.int32).ravel()
+            table = np.where(table < 0, -(begun[None, :] * width + at) - 1, table * width + at)
+            tables.append(table.astype(np.int32).ravel())
+            roots.append((len(table) - 1) * width + at)
+            columns.append(column)
+            at += table.size
+        self.flat = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
         self.roots = np.array(roots, dtype=np.int32)
+        self.columns = np.array(columns, dtype=np.int32).reshape(-1, WIDTH)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_codes": None}
+        return self.__dict__ | {"_letters": None}
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts and the count of each: 0 for any run of other characters than letters, WIDTH - 1 for letters outside the alphabet."""
-        if self._codes is None:
-            codes = np.full(0x110000, 255, dtype=np.uint8)
-            codes[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
-            self._codes = codes
-        points = np.frombuffer("\n".join([t.lower() for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        out = self._codes[points]
+        """Symbols of all texts and the count of each: 0 for any run of other characters than letters, the bytes of a letter in UTF-8."""
+        if self._letters is None:
+            self._letters = np.full(0x110000, 255, dtype=np.uint8)
+        low = [t.lower() for t in texts]
+        points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out = self._letters[points]
         for c in np.unique(points[out == 255]).tolist():
-            self._codes[c] = WIDTH - 1 if chr(c).isalpha() else 0
-        out = self._codes[points]
-        ends = np.cumsum(np.array([len(t.lower()) for t in texts])) + np.arange(len(texts))
+            self._letters[c] = chr(c).isalpha()
+        out = self._letters[points]
+        ends = np.cumsum(np.array([len(t) for t in low])) + np.arange(len(texts))
         text_of = np.searchsorted(ends, np.arange(len(points)), "left") if len(texts) > 1 else np.zeros(len(points), dtype=np.int64)
         keep = (out != 0) | (np.concatenate(([0], out[:-1])) != 0)
         keep[ends[:-1]] = False  # the line ends that join the texts
-        return out[keep], np.bincount(text_of[keep], minlength=len(texts))
+        points, text_of = np.where(out != 0, points, 0).astype(np.uint32)[keep], text_of[keep]
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        made = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return np.frombuffer(made, dtype=np.uint8), np.bincount(text_of, weights=size, minlength=len(texts)).astype(np.int64)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language (languages x texts), and symbols of each text."""
@@ -127,7 +139,7 @@ class CrossParser:
         cuts = np.zeros((many, len(owner)), dtype=np.int32)
         for t in range(steps):
             k = active[t]
-            got = self.flat[state[:, :k] + symbols[begin[:k] + t]]
+            got = self.flat[state[:, :k] + self.columns[:, symbols[begin[:k] + t]]]
             new = got >> 31
             cuts[:, :k] -= new
             state[:, :k] = got ^ new
@@ -138,17 +150,24 @@ class CrossParser:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (4, 2)) -> CrossParser:
-    """Fit on about SAMPLE_DOCS labelled documents per language whose crc32(id as text) mod fold[0] is not fold[1]."""
+    """Fit on about SAMPLE_DOCS distinct labelled texts per language whose crc32(id as text) mod fold[0] is not fold[1].
+
+    A text gives a passage of SAMPLE_CHARS characters at most, from a place by its hash; the passages share the language's SYMBOLS.
+    """
     rest = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold[0]))
     known = docs.where(F.col(lang_col).isNotNull() & (rest != fold[1]) & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row per language
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(17), text_col).alias("h"))
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()}  # a row per language
     if not sizes:
         return CrossParser({})
-    dealt = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])[F.col(lang_col)], F.lit(0.0))
-    rows = known.where(dealt <= share).select(F.col(lang_col), F.substring(F.col(text_col), 1, SAMPLE_CHARS), F.xxhash64(id_col)).collect()
+    dealt = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.coalesce(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / max(1, n))))])[F.col("lang")], F.lit(0.0))
+    place = F.pmod(F.xxhash64(F.lit(23), "h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    passages = known.where(dealt <= share).select("lang", "h", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("passage"))
+    # copies share their hash, so they are one text here
+    rows = passages.groupBy("lang", "h").agg(F.min("passage")).collect()
     samples: dict[str, list[str]] = {k: [] for k in sizes}
-    for lang, text, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+    for lang, _, text in sorted(rows, key=lambda r: (r[1], r[2])):
         samples[lang].append(text)
     return CrossParser({k: v for k, v in samples.items() if any(_LETTER.search(t) for t in v)})
 

@@ -302,6 +302,37 @@ def test_cross_parsing_equals_longest_matches(spark, docs):
     assert got[60].lang_pred == "und" and got[62].lang_pred == "und" and len(got) == 67
 
 
+def test_languages_of_any_script_are_learned_from_all_texts(spark):
+    rng = random.Random(21)
+    scripts = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщ", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת", "zh": "".join(map(chr, range(0x4E00, 0x4E80))), "ja": "".join(map(chr, range(0x3041, 0x3090))), "ko": "".join(map(chr, range(0xAC00, 0xAC80)))}
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(n))
+
+    rows = [(k * 1000 + i, words(v, 40), lang) for k, (lang, v) in enumerate(scripts.items()) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
+    assert [got[i] for i, _, _ in rows] == [lang for _, _, lang in rows]
+
+    # a third of the rows are one text, and what tells a text apart lies behind its first 2,000 characters
+    a, b = scripts["en"][:13], scripts["en"][13:]
+    head = words(scripts["en"], 600)
+    rows = [(i, head if i % 3 == 0 else head[:2100] + " " + words(a, 30_000 // 4), "a") for i in range(30)]
+    rows += [(100 + i, head[:2100] + " " + words(b, 30_000 // 4), "b") for i in range(30)]
+    seen = []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = language.CrossParser
+    language.CrossParser = lambda samples: seen.append(samples) or made(samples)
+    try:
+        parser = language.train(docs)
+    finally:
+        language.CrossParser = made
+    assert len(set(seen[0]["a"])) == len(seen[0]["a"]) > 10
+    odd = spark.createDataFrame([(1000, words(a, 300)), (1001, words(b, 300))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(odd, parser).collect()} == {1000: "a", 1001: "b"}
+    assert language.spread([np.arange(3), np.arange(100), np.arange(100)], 43) == [*range(3), *range(20), *range(20)]
+
+
 def test_packing_fills_and_keeps_all(spark, docs):
     out = packing.pack(packing.pieces(docs, tokens.default_tokenizer(), capacity=256), 256).collect()
     by = {}
