@@ -27,14 +27,14 @@ def energy(labels: DataFrame, costs: DataFrame, edges: DataFrame, strength: floa
     return own + strength * cut
 
 
-def smooth(costs: DataFrame, edges: DataFrame, strength: float, sweeps: int = 50) -> DataFrame:
-    """pid and label (1 wood) after sweeps of local moves from the cheaper unary label; every sweep lowers the energy, or the last one ends it.
+def smooth(costs: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
+    """pid and label (1 wood) after sweeps of local moves from the cheaper unary label; every sweep lowers the energy, until no point wants to move.
 
     In a sweep a point moves if that lowers the energy and no neighbour with a smaller hash wants to move too, so moves never meet. The result is a local
-    minimum; a global min-cut would hand a component as a whole to one task.
+    minimum (``edges`` hold each pair both ways); a global min-cut would hand a component as a whole to one task.
     """
     labels = stage(costs.select("pid", (F.col("u1") < F.col("u0")).cast("int").alias("label")), "labels")
-    for _ in range(sweeps):
+    while True:  # the energy falls with each sweep, so none comes back
         there = edges.join(labels.select(F.col("pid").alias("dst"), F.col("label").alias("other")), "dst")
         pull = there.groupBy(F.col("src").alias("pid")).agg(F.sum(F.when(F.col("other") == 1, F.col("w")).otherwise(-F.col("w"))).alias("pull"))
         gain = F.col("u1") - F.col("u0") - strength * F.coalesce("pull", F.lit(0.0))

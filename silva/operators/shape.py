@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import eigenvalues, wood_vote
 from . import neighbors
+from .tables import stage
 
 PAIRS = ("xx", "yy", "zz", "xy", "xz", "yz")
 #: Points of one cluster that a hull or a cylinder is computed from at most in one task; more are thinned by voxels first by the caller.
@@ -165,17 +166,129 @@ def _radial(xyz: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def fit_cylinders(points: DataFrame, cluster: str = "clstr", tries: int = 100, at_most: int = 20_000) -> DataFrame:
-    """clstr, radius (null if none is found), x, y, z, cv, cnt per cluster. RANSAC is a sampling operator: it sees at most ``at_most`` points of a cluster, by a hash; cnt counts all."""
-    w = Window.partitionBy(cluster)
-    order = F.row_number().over(w.orderBy(F.xxhash64("pid"), "pid"))
-    seen = points.withColumns({"_n": order, "_cnt": F.count("*").over(w)}).where(F.col("_n") <= at_most).select(F.col(cluster).cast("long").alias("clstr"), "pid", "x", "y", "z", "_cnt")
+    """clstr, radius (null if none is found), x, y, z, cv, cnt per cluster. A try samples 20 points; inliers, the fit to them and cv take all points.
+
+    A cluster of ``at_most`` points is one task's; the tries of a larger one sample a part of that size, and its sums are made by parts.
+    """
+    own = points.select(F.col(cluster).cast("long").alias("clstr"), "pid", "x", "y", "z")
+    sizes = stage(own.groupBy("clstr").agg(F.count("*").alias("cnt"), *[F.avg(a).alias(f"m{a}") for a in "xyz"]), "sizes")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("pid")
         radius, centre, cv = cylinder(own[["x", "y", "z"]].to_numpy(dtype=float), int(key[0]) & 0x7FFFFFFF, tries)
-        return pd.DataFrame({"clstr": [key[0]], "radius": [radius], "x": [centre[0]], "y": [centre[1]], "z": [centre[2]], "cv": [cv], "cnt": [int(own["_cnt"].iloc[0])]})
-
-    return seen.groupBy("clstr").applyInPandas(run, "clstr long, radius double, x double, y double, z double, cv double, cnt long")
+        return pd.DataFrame({"clstr": [key[0]], "radius": [radius], "x": [centre[0]], "y": [centre[1]], "z": [centre[2]], "cv": [cv], "cnt": [len(own)]})
+
+    schema = "clstr long, radius double, x double, y double, z double, cv double, cnt long"
+    # a null cluster is a group like others
+    placed = own.join(sizes, own.clstr.eqNullSafe(sizes.clstr)).drop(sizes.clstr)
+    small = placed.where(F.col("cnt") <= at_most).select(*own.columns).groupBy("clstr").applyInPandas(run, schema)
+    if sizes.where(F.col("cnt") > at_most).isEmpty():
+        return small
+    return small.unionByName(_large_cylinders(placed.where(F.col("cnt") > at_most), sizes, tries, at_most))
+
+
+#: Of one try: the sampled fit, the best and the tried parameters, then at the best the inliers' count, squared residuals, distances, squared distances, gradient and normal matrix; the damping and whether it goes on.
+_FIRST, _BEST, _TRIED, _SUMS, _DAMP, _LIVE, _STATE = slice(0, 5), slice(5, 10), slice(10, 15), slice(15, 49), 49, 50, 51
+
+
+def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: int, steps: int = 20) -> DataFrame:
+    """:func:`cylinder` of clusters too large for a task: each step of the damped fits of all tries is one grouped sum over parts."""
+    part = F.pmod(F.xxhash64("pid"), F.ceil(F.col("cnt") / at_most))
+    centred = points.select("clstr", part.alias("part"), "cnt", *[(F.col(a) - F.col(f"m{a}")).alias(a) for a in "xyz"])
+
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        xyz = rows[["x", "y", "z"]].sort_values(["x", "y", "z"]).to_numpy(dtype=float)
+        return pd.DataFrame({"clstr": [key[0]], "part": [key[1]], "cnt": [key[2]], "xyz": [np.ascontiguousarray(xyz).tobytes()]})
+
+    parts = stage(centred.groupBy("clstr", "part", "cnt").applyInPandas(packed, "clstr long, part long, cnt long, xyz binary"), "parts")
+
+    def begin(batches):
+        for rows in batches:
+            states = []
+            for clstr, raw in zip(rows.clstr, rows.xyz):
+                xyz, rng = np.frombuffer(raw).reshape(-1, 3), np.random.default_rng(int(clstr) & 0x7FFFFFFF if clstr == clstr else 0)
+                state = np.zeros((tries, _STATE))
+                for own in state:
+                    p = _fit(xyz[rng.choice(len(xyz), min(20, len(xyz)), replace=False)], np.zeros(5), 20)
+                    radius = np.sqrt(max(p[4], 0.0))
+                    own[_FIRST] = own[_BEST] = own[_TRIED] = p
+                    own[_DAMP], own[_LIVE] = 1e-3, bool(radius) and np.abs(p[:2]).max() <= 1.05 * radius
+                states.append(state.ravel().tolist())
+            yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states})
+
+    def summed(batches):
+        for rows in batches:
+            found = []
+            for raw, flat in zip(rows.xyz, rows.state):
+                xyz, out = np.frombuffer(raw).reshape(-1, 3), np.zeros((tries, 34))
+                for own, sums in zip(np.asarray(flat, dtype=float).reshape(tries, _STATE), out):
+                    if not own[_LIVE]:
+                        continue
+                    away = np.sqrt(np.maximum(_radial(xyz, own[_FIRST]), 0)) / np.sqrt(own[_FIRST][4])
+                    inside, p = xyz[(away >= 0.8) & (away <= 1.2)], own[_TRIED]
+                    square = _radial(inside, p)
+                    r, away = square - p[4], np.sqrt(np.maximum(square, 0))
+                    jac = np.stack([(_radial(inside, p + h) - (p + h)[4] - r) / 1e-6 for h in np.eye(5) * 1e-6], axis=1)
+                    sums[:4] = len(inside), r @ r, away.sum(), away @ away
+                    sums[4:9], sums[9:] = jac.T @ r, (jac.T @ jac).ravel()
+                found.append(out.ravel().tolist())
+            yield pd.DataFrame({"clstr": rows.clstr, "sums": found})
+
+    def stepped(first: bool):
+        def run(batches):
+            for rows in batches:
+                states = []
+                for cnt, flat, sums in zip(rows.cnt, rows.state, rows.sums):
+                    state = np.array(flat, dtype=float).reshape(tries, _STATE)
+                    for own, new in zip(state, np.asarray(sums, dtype=float).reshape(tries, 34)):
+                        if not own[_LIVE]:
+                            continue
+                        if first:
+                            own[_SUMS], own[_LIVE] = new, new[0] >= 0.2 * cnt
+                        elif new[1] < own[_SUMS][1]:
+                            own[_LIVE] = np.abs(own[_TRIED] - own[_BEST]).max() >= 1e-10
+                            own[_BEST], own[_SUMS] = own[_TRIED], new
+                            own[_DAMP] /= 3
+                        else:
+                            own[_DAMP] *= 4
+                            own[_LIVE] = own[_DAMP] <= 1e12
+                        if own[_LIVE]:
+                            gradient, normal = own[_SUMS][4:9], own[_SUMS][9:].reshape(5, 5)
+                            own[_TRIED] = own[_BEST] + np.linalg.lstsq(normal + own[_DAMP] * np.diag(np.diag(normal) + 1e-12), -gradient, rcond=None)[0]
+                        elif first:
+                            own[_SUMS] = 0  # too few inliers: no candidate
+                    states.append(state.ravel().tolist())
+                yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states})
+
+        return run
+
+    schema = "clstr long, cnt long, state array<double>"
+    states = stage(parts.where("part = 0").select("clstr", "cnt", "xyz").mapInPandas(begin, schema), "tries")
+    for step in range(steps + 1):
+        met = parts.join(states.select(F.col("clstr").alias("c"), "state"), F.col("clstr").eqNullSafe(F.col("c"))).select("clstr", "xyz", "state")
+        each = met.mapInPandas(summed, "clstr long, sums array<double>").select("clstr", F.posexplode("sums").alias("k", "v")).groupBy("clstr", "k").agg(F.sum("v").alias("v"))
+        sums = each.groupBy(F.col("clstr").alias("c")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")).select("c", F.transform("s", lambda x: x["v"]).alias("sums"))
+        states = stage(states.join(sums, F.col("clstr").eqNullSafe(F.col("c"))).select("clstr", "cnt", "state", "sums").mapInPandas(stepped(step == 0), schema), "tries")
+
+    def chosen(batches):
+        for rows in batches:
+            out = []
+            for flat in rows.state:
+                best = (float("nan"), 0.0, 0.0, float("inf"))
+                for own in np.asarray(flat, dtype=float).reshape(tries, _STATE):
+                    n, _, away, square = own[_SUMS][:4]
+                    p = own[_BEST]
+                    if n and away and p[4] > 0:
+                        cv = float(np.sqrt(max(square / n - (away / n) ** 2, 0.0)) / (away / n))
+                        if cv < best[3]:
+                            best = (float(np.sqrt(p[4])), p[0], p[1], cv)
+                out.append(best)
+            radius, x, y, cv = zip(*out)
+            yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "radius": radius, "x": x, "y": y, "cv": cv})
+
+    best = states.mapInPandas(chosen, "clstr long, cnt long, radius double, x double, y double, cv double")
+    middle = sizes.select(F.col("clstr").alias("c"), "mx", "my", "mz")
+    return best.join(middle, F.col("clstr").eqNullSafe(F.col("c"))).select("clstr", "radius", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"), F.col("mz").alias("z"), "cv", "cnt")
 
 
 def stem_nodes(cylinders: DataFrame, radius: float = 0.025, count: int = 200, cv: float = 0.15) -> DataFrame:

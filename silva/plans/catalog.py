@@ -549,7 +549,7 @@ def _smoothing(spark, d):
 
 @query("wood_leaf_pipeline")
 def _wood_leaf(spark, d):
-    return pipelines.wood_leaf(views.embed(spark, d).select("pid", "x", "y", "z"), rounds=2)
+    return pipelines.wood_leaf(views.embed(spark, d).select("pid", "x", "y", "z"))
 
 
 @query("separate_trees_pipeline")

@@ -106,6 +106,34 @@ def test_cylinder_radius(spark):
     assert got[2].radius is None and got[2].cnt == 30
 
 
+def test_cylinder_of_a_large_cluster_takes_all_points(spark):
+    rng = np.random.default_rng(3)
+    angle, r = rng.uniform(0, 2 * np.pi, 900), 0.1 + rng.normal(scale=0.003, size=900)
+    p = cloud(spark, np.stack([5 + r * np.cos(angle), 2 + r * np.sin(angle), rng.uniform(0, 0.2, 900)], axis=1), clstr=[1] * 900)
+    whole, parts = (shape.fit_cylinders(p, tries=4, at_most=n).first() for n in (1000, 150))
+    assert parts.cnt == whole.cnt == 900
+    for a in ("radius", "x", "y", "z", "cv"):
+        assert parts[a] == pytest.approx(whole[a], abs=1e-5)
+
+
+def test_wood_leaf_query_runs_all_rounds(monkeypatch):
+    import inspect
+
+    from silva.plans import catalog, pipelines
+
+    class Points:
+        def select(self, *_):
+            return self
+
+    seen = []
+    rule = inspect.signature(pipelines.wood_leaf)
+    monkeypatch.setattr(catalog.views, "embed", lambda *_: Points())
+    monkeypatch.setattr(catalog.pipelines, "wood_leaf", lambda *a, **k: seen.append(rule.bind(*a, **k)))
+    catalog._wood_leaf(None, "")
+    seen[0].apply_defaults()
+    assert seen[0].arguments["rounds"] == 10
+
+
 def test_branch_rules_pass_the_continuation_on(spark):
     rows = [(1, 1, 10, 20, 100, 200, True), (1, 2, 12, 30, 100, 200, True), (2, 1, 80, 90, 100, 200, True)]
     got = {(r.cut_id, r.comp_id): (r["class"], r.continuation) for r in shape.classify_components(spark.createDataFrame(rows, "cut_id int, comp_id int, base int, comp int, cut int, study int, goes_on boolean")).collect()}
@@ -129,6 +157,13 @@ def test_smoothing_lowers_the_energy(spark):
     assert regularize.energy(smooth, costs, edges, 0.5) <= regularize.energy(start, costs, edges, 0.5)
 
 
+def test_smoothing_settles_long_fronts(spark):
+    n = 54  # the front moves one point a sweep
+    costs = spark.createDataFrame([(i, 10.0 if i == 0 else 0.0, 0.0 if i == 0 else 0.001) for i in range(n)], "pid long, u0 double, u1 double")
+    edges = graph.symmetrise(spark.createDataFrame([(i, i + 1, 2 - i * 0.01) for i in range(n - 1)], "src long, dst long, w double"), ("w",))
+    assert {r.label for r in regularize.smooth(costs, edges, 0.5).collect()} == {1}
+
+
 def test_shift_goes_back_and_tiles_cover(spark):
     p = cloud(spark, np.random.default_rng(9).uniform(-8, 8, size=(40, 3)))
     back = {r.pid: r.x for r in voxel.shift(voxel.shift(p), back=True).collect()}
