@@ -45,6 +45,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def readers(spark: SparkSession, files: int) -> int:
+    """Tasks to read so many files back in. A small shuffle without a number of its own is merged into one task by adaptive execution."""
+    return max(1, min(files, 4 * spark.sparkContext.defaultParallelism))
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stage`, once nothing reads it any more."""
     spark = df.sparkSession

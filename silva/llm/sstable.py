@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, stage, text_batches
+from .common import new_path, readers, stage, text_batches
 from .tokens import encoder
 
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -231,7 +231,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     placed = manifest.withColumn("before", before).select("path", "before", "shard")
-    spread = placed.repartition(F.col("shard")).select("path", "before")
+    spread = placed.repartition(readers(manifest.sparkSession, manifest.count()), F.col("shard")).select("path", "before")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

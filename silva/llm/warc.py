@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import new_path, stage
+from .common import new_path, readers, stage
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
@@ -187,7 +187,7 @@ def read_archives(index: DataFrame) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(zip(*found), kinds)] if found else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i) for i in range(3, 7))], [*names, "url_key", "captured", "part", "seq"])
 
-    rows = index.select("path", "place", "size", "url_key", "captured", "part", "seq").repartition("path").sortWithinPartitions("path", "place")
+    rows = index.select("path", "place", "size", "url_key", "captured", "part", "seq").repartition(readers(index.sparkSession, index.select("path").distinct().count()), "path").sortWithinPartitions("path", "place")
     return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured timestamp, part long, seq long")
 
 

@@ -369,6 +369,14 @@ def test_shards_round_trip(spark, docs):
         at += len(ids)
 
 
+def test_files_are_read_back_by_several_tasks(spark):
+    manifest = spark.createDataFrame([(f"/none/{i}", i, 5) for i in range(40)], "path string, shard long, ids long").repartition(1)
+    assert sstable.read_shards(manifest).rdd.getNumPartitions() == min(40, 4 * spark.sparkContext.defaultParallelism)
+    rows = [(f"/none/{i}", 0, 1, "k", None, 0, 0) for i in range(40)]
+    index = spark.createDataFrame(rows, "path string, place long, size long, url_key string, captured timestamp, part long, seq long")
+    assert warc.read_archives(index).rdd.getNumPartitions() == min(40, 4 * spark.sparkContext.defaultParallelism)
+
+
 def test_archives(spark):
     import hashlib
 
