@@ -171,7 +171,7 @@ def scan(docs: DataFrame, model: Classifier, templates: dict[str, list[str]] = T
     ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     wrapped = F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, blank, "").alias("run"), F.rlike(x, F.lit(blank)).cast("int").alias("skip"))), lambda x: F.contains(x["run"], F.lit("\n")))
     folded = texts.where(F.contains("text", F.lit("\n")) & F.rlike("text", F.lit(cue))).select("doc_id", "copy", parts.alias("parts")).select("doc_id", "copy", F.transform("parts", lambda x: ends(x) + 1).alias("sizes"), F.explode(wrapped).alias("x"))
-    folded = folded.where(F.rlike("x.run", F.lit(cue))).select("doc_id", "copy", "sizes", "x", words(F.col("x.run")).alias("words"))
+    folded = folded.where(F.rlike("x.run", F.lit(cue))).select("doc_id", "copy", "sizes", "x", F.explode(F.array(words(F.col("x.run")))).alias("words"))  # exploded, so that words are made once and not for each pair
     # most runs have too little of any template: only those that may be confirmed are scored
     folded = folded.where(F.arrays_overlap(runs(2), F.array(*[F.lit(x) for x in _needed(templates, confirmed)])))
     first = F.aggregate(F.slice("sizes", F.lit(1), F.col("x.i")), F.lit(0), lambda a, b: a + b) + F.col("x.skip")
