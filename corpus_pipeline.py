@@ -6,42 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silva.llm import decontam, language, minhash, packing, toxicity
-from silva.llm.common import new_path
+from silva.llm.common import new_names, new_path, stage
 from silva.llm.tokens import default_tokenizer
 
 #: No SQL expresses a language automaton, a lattice decoder or a genetic algorithm.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id isn't among the rejected ones; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
-    found = language.identify(docs, language.train(docs))
-    return _without(docs, found.where(F.col("lang_pred") == language.UND))
+    """Rows in which a language is found; those without a letter (null and empty texts too) go. Each row is judged by its own text; no rows in, none out."""
+    names = new_names(docs, "lang", "score", "rate")
+    return language.annotate(docs, language.train(docs), names).where(F.col(names[0]) != language.UND).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Rows that aren't predicted toxic, each judged by its own text, whether or not it has an id; no rows in, none out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity.score(docs, toxicity.train(docs, labels)).where("predicted = 1"))
+    names = new_names(docs, "score")
+    return toxicity.annotate(docs, toxicity.train(docs, labels), names).where(F.col(names[0]) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One row of each group of near copies, whatever their ids; texts without a word stay. No rows in, none out."""
+    (row,) = new_names(docs, "row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so that numbers hold: ids may be null or repeated
+    gone = minhash.near_duplicates(numbered, id_col=row).where("not kept").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Rows whose text holds no benchmark item, whatever their ids; no rows in, none out."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, placed in sequences."""
+    """Pieces of the rows' tokens, placed in sequences: a null or empty text is one piece with the end alone; no rows in, none out."""
     return packing.pack(packing.pieces(docs, default_tokenizer()))
 
 

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that one numpy pass over texts holds at most, save for a single longer text.
-BATCH_CHARS = 4_000_000
+#: Bytes of text that one numpy pass holds at most, save for a single longer text; such a pass takes some 50 times as much memory.
+BATCH_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own bound is far above what a worker beside others may take.
+ARROW_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             found = kept.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="silva-checkpoint-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ARROW_BYTES at most, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/silva-{name}-{uuid.uuid4().hex}"
@@ -50,31 +62,34 @@ def readers(spark: SparkSession, files: int) -> int:
     return max(1, min(files, 4 * spark.sparkContext.defaultParallelism))
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stage`, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop_stages(*stages: DataFrame) -> None:
+    """Delete the files of tables made by :func:`stage`, once nothing reads them any more."""
+    for df in stages:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of at most BATCH_CHARS characters; a null text counts as empty. Columns: id, text."""
+def text_batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with the texts of one column, ``most`` bytes or one text; a null text counts as empty."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        own_ids: list = []
-        own: list[str] = []
-        n = 0
-        for i, text in zip(ids, texts):
-            text = text or ""
-            if own and n + len(text) > BATCH_CHARS:
-                yield own_ids, own
-                own_ids, own, n = [], [], 0
-            own_ids.append(i)
-            own.append(text)
-            n += len(text)
-        if own:
-            yield own_ids, own
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            part = batch.slice(at, stop - at)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            at = stop
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -145,7 +160,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = stage(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            drop_stages(e)
+            return out
         before = tuple(now)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -153,5 +170,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         after = stage(small.where("u <> v").distinct(), "edges")
-        drop_stage(e)
+        drop_stages(e)
         e = after

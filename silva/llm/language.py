@@ -2,7 +2,8 @@
 
 Each language has a suffix automaton of a sample of its labelled text. A text is parsed into phrases, each
 the longest run from its place that occurs in the sample; a language that resembles the text needs
-few phrases. The count of phrases per symbol estimates the cross entropy, and the least wins.
+few phrases. A phrase is named by a place in the sample, which takes the logarithm of the sample's size in bits, so phrases times
+that logarithm per symbol estimate the cross entropy, whatever the sizes of the samples. The least wins.
 
 The automaton's transitions are a table, in which a missing transition already holds the state after a new
 phrase begins, so one lookup advances one text in one language, and numpy advances thousands of
@@ -19,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import bound_batches, text_batches
 
 #: The bounded sample: distinct texts per language, characters taken of each from any place, symbols per language and in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, ALL_SYMBOLS = 64, 4000, 48_000, 800_000
 WIDTH = 256
 BLOCK = 2048
+#: Bytes of text that are parsed at once: a step costs much the same for a few texts as for many.
+PARSED_BYTES = 2 << 20
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -81,7 +85,7 @@ class CrossParser:
         self.languages = sorted(samples)
         each = min(SYMBOLS, ALL_SYMBOLS // max(1, len(samples)))
         self._letters = None
-        tables, roots, columns, at = [], [], [], 0
+        tables, roots, columns, sizes, at = [], [], [], [], 0
         for language in self.languages:
             symbols = spread([self.symbols([t])[0] for t in samples[language]], each)
             own = sorted(set(symbols))
@@ -95,10 +99,12 @@ class CrossParser:
             tables.append(table.astype(np.int32).ravel())
             roots.append((len(table) - 1) * width + at)
             columns.append(column)
+            sizes.append(len(symbols))
             at += table.size
         self.flat = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
         self.roots = np.array(roots, dtype=np.int32)
         self.columns = np.array(columns, dtype=np.int32).reshape(-1, WIDTH)
+        self.bits = np.log2(np.array(sizes, dtype=float) + 1)  # that name a place in each sample
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_letters": None}
@@ -172,23 +178,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return CrossParser({k: v for k, v in samples.items() if any(_LETTER.search(t) for t in v)})
 
 
-def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (4, 2)) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, lang_pred, score, phrases_per_symbol.
+def annotate(docs: DataFrame, parser: CrossParser, names: list[str], text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with three more of the given names, decided row by row without a shuffle: language, score, bits per symbol.
 
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned. Ties go to the
-    first language by name. The score is the runner-up's share of the phrases of the best two, so 0.5 is a tie;
-    with one language it is 1. A null id is never held out. Other columns are ignored.
+    first language by name. The score is the runner-up's share of the bits of the best two, so 0.5 is a tie;
+    with one language it is 1. Repeated rows are treated alike; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # ALL_SYMBOLS bounds it
     languages = parser.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for ids, texts in text_batches(batches):
+        for part, texts in text_batches(batches, PARSED_BYTES, column):
             named = np.array([bool(_LETTER.search(t)) for t in texts])
             lang, score, rate = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if languages and named.any():
-                found, counts = own.phrases(texts)
+                phrases, counts = own.phrases(texts)
+                found = phrases * own.bits[:, None]
                 best = np.argmin(found, axis=0)
                 first = found.min(axis=0)
                 second = np.partition(found, 1, axis=0)[1] if len(languages) > 1 else found[0] * 0
@@ -196,8 +204,18 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
                     score = np.where(named, second / (first + second) if len(languages) > 1 else 1.0, 0.0)
                     rate = np.where(named, first / counts, 0.0)
                 lang = [languages[b] if ok else UND for b, ok in zip(best.tolist(), named.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "phrases_per_symbol"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], whole)
+
+    column, whole = docs.columns.index(text_col), [*docs.columns, *names]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType())))])
+    return docs.mapInArrow(run, schema)
+
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double, phrases_per_symbol double")
+def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (4, 2)) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, lang_pred, score, bits_per_symbol, as :func:`annotate` decides.
+
+    A null id is never held out. Other columns are ignored.
+    """
+    out = annotate(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), parser, ["lang_pred", "score", "bits_per_symbol"])
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "phrases_per_symbol")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_symbol")

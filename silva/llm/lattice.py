@@ -198,8 +198,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, fold: tuple[int, in
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([found[1][w] for w in words], pa.int64())], ["word", "n"])
 
         found: tuple[Counter, Counter] = (Counter(), Counter())
-        for learn, texts in text_batches(batches):
-            for yes, text in zip(learn, texts):
+        for part, texts in text_batches(batches):
+            for yes, text in zip(part.column(0).to_pylist(), texts):
                 found[yes].update(tokens(text))
                 if len(found[1]) + len(found[0]) > GATHERED:
                     yield out()
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         if not hasattr(own, "prepared"):
             own.prepare()
         get, shift = own.prepared.get, own.base_floor - floor
-        for ids, texts in text_batches(batches):
+        for part, texts in text_batches(batches):
             n, known, base, scores, rare, times = [], [], [], [], [], []
             for text in texts:
                 found = Counter(tokens(text))
@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 rare.append(tail)
                 times.append(tail_n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                 ["doc_id", "n_tokens", "known", "base", "score", "words", "times"],
             )
 

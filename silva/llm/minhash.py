@@ -16,17 +16,17 @@ Verification. Similarity is m / (n1 + n2 - m), where m is the longest common sub
 shingle sequences. Reaching the threshold leaves few insertions and deletions, so cells farther from
 the diagonal than that count are outside the band and never matter.
 
-Groups. Exact copies collapse first. A bucket then links each document to the bucket's smallest
-one, not to all others; only pairs that still lie in one bucket but different components are
+Groups. Texts with equal words are one node from the start, numbered once. A bucket then links each node to the bucket's
+smallest one, not to all others; only pairs that still lie in one bucket but different components are
 compared in the last round, so no link found by any bucket is lost and no bucket is expanded
-into all its pairs. Large buckets are compared there in blocks, and a pair goes on only if its
-counts of shingles by hash prefix allow the threshold: the sum of their differences never exceeds
-the number of shingles that the pair doesn't share, so this drops no link.
+into all its pairs. Buckets that are still large then (texts that share a passage, say) aren't compared whole: their members
+meet again by prefixes, which loses none of their near pairs. Should one of those be large too, it is compared in
+blocks, and a pair goes on only if its counts of shingles by hash prefix allow the threshold: the sum of their
+differences never exceeds the number of shingles that the pair doesn't share.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_stage, mix64, shingle_hashes, stage, text_batches, word_hashes
+from .common import bound_batches, connected_components, drop_stages, mix64, shingle_hashes, stage, text_batches, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKS = 6
 #: Open buckets of more members than FEW are compared in blocks of at most BLOCK.
-FEW, BLOCK = 16, 128
+FEW, BLOCK = 16, 512
 #: Counts of shingles by hash that a document in such a block carries, and the coarser ones that are tried first.
 BINS, FEWER = 1024, 256
 #: Members of one bucket that may share a hub; larger buckets have several, joined in the next round.
@@ -86,6 +86,40 @@ def order_minhash(shingles: np.ndarray, sketches: int, picks: int) -> np.ndarray
     return out
 
 
+def common_in_order(a: list[int], b: list[int], band: int) -> int:
+    """Length of the longest common subsequence whose matches lie within ``band`` of the diagonal.
+
+    One row of the alignment is a whole number, a bit per cell of the band: 0 where the length grows (Hyyrö's recurrence). The band moves one
+    cell a row; the cell that leaves it is counted. Repeated values cost no more than others.
+    """
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    width = 2 * band + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    cells, found = full, 0
+    met: dict[int, tuple[int, int, int]] = {}  # of a value: its places in the band as bits, the band's first cell then, places seen
+    for i, x in enumerate(a):
+        low = i - band
+        if i:
+            found += ~cells & 1
+            cells = cells >> 1 | top
+        at = places.get(x)
+        if at is None:
+            continue
+        bits, then, k = met.get(x, (0, low, 0))
+        bits >>= low - then
+        while k < len(at) and at[k] < low + width:
+            if at[k] >= low:
+                bits |= 1 << (at[k] - low)
+            k += 1
+        met[x] = (bits, low, k)
+        hit = cells & bits
+        if hit:
+            cells = ((cells + hit) | (cells - hit)) & full
+    return found + width - cells.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Common share of two shingle sequences in order, m / (n1 + n2 - m); 0.0 if it is under ``least``."""
     n1, n2 = len(a), len(b)
@@ -100,46 +134,38 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     a, b = a[head : n1 - tail], b[head : n2 - tail]
     m = head + tail
     if len(a) and len(b):
-        band = n1 + n2 - 2 * needed
-        order = np.argsort(b, kind="stable")
-        ranked = b[order]
-        lo, hi = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
-        if m + int(np.count_nonzero(hi > lo)) < needed:
+        if m + min(int(np.count_nonzero(np.isin(a, b))), int(np.count_nonzero(np.isin(b, a)))) < needed:
             return 0.0
-        ends: list[int] = []  # ends[k]: the smallest position in b where a common subsequence of k + 1 shingles ends
-        where = order.tolist()
-        for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
-            for j in reversed(where[x:y]) if y - x < 2 else sorted(where[x:y], reverse=True):
-                if abs(i - j) <= band:
-                    k = bisect.bisect_left(ends, j)
-                    if k == len(ends):
-                        ends.append(j)
-                    else:
-                        ends[k] = j
-        m += len(ends)
+        m += common_in_order(a.tolist(), b.tolist(), n1 + n2 - 2 * needed)
     found = m / (n1 + n2 - m)
     return found if m >= needed and found >= least - 1e-12 else 0.0
 
 
+def _digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a document's shingles in order."""
+    place = np.arange(1, len(shingles) + 1, dtype=np.uint64)
+    return int(np.sum(mix64(shingles + place)).view(np.int64)), int(np.sum(mix64(shingles ^ mix64(place))).view(np.int64))
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, picks: int = PICKS, shingle: int = SHINGLE, label_up_to: int = 0) -> DataFrame:
-    """One row per document: id, n (its shingles), digest (of its words in order, 16 bytes as two longs), sketch (array<long>, empty if n is 0), labelled (its labelled shingles, null if n exceeds ``label_up_to``)."""
+    """One row per document: id, hash (of its text), n (its shingles), digest_a and digest_b (of its words in order), sketch (array<long>, empty if n is 0), labelled (its labelled shingles, null if n exceeds ``label_up_to``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches):
+        for part, texts in text_batches(batches):
             words, counts = word_hashes(texts)
-            ends = np.cumsum(counts)
             n, first, second, kept, labelled = [], [], [], [], []
-            for count, end in zip(counts.tolist(), ends.tolist()):
-                own = shingle_hashes(words[end - count : end], shingle)
+            for own in np.split(words, np.cumsum(counts)[:-1]):
+                own = shingle_hashes(own, shingle)
+                one, two = _digests(own) if len(own) else (0, 0)
                 n.append(len(own))
-                place = np.arange(1, len(own) + 1, dtype=np.uint64)
-                first.append(int(np.sum(mix64(own + place)).view(np.int64)) if len(own) else 0)
-                second.append(int(np.sum(mix64(own ^ mix64(place))).view(np.int64)) if len(own) else 0)
+                first.append(one)
+                second.append(two)
                 kept.append(order_minhash(own, sketches, picks).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64))
                 labelled.append(labelled_shingles(own).view(np.int64) if 0 < len(own) <= label_up_to else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(labelled, pa.list_(pa.int64()))], ["id", "n", "digest_a", "digest_b", "sketch", "labelled"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(labelled, pa.list_(pa.int64()))], ["id", "hash", "n", "digest_a", "digest_b", "sketch", "labelled"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, digest_a long, digest_b long, sketch array<long>, labelled array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    return rows.mapInArrow(run, "id long, hash long, n long, digest_a long, digest_b long, sketch array<long>, labelled array<long>")
 
 
 def prefixes(labelled: DataFrame, least: float) -> DataFrame:
@@ -173,16 +199,27 @@ def _block_pairs(least: float):
     return run
 
 
-def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def shingled(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The shingle hashes, in order, of texts (id, text): id, hashes (8 bytes each). A null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches):
-            words, counts = word_hashes(texts)
-            own = [shingle_hashes(w, shingle).tobytes() for w in np.split(words, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], ["id", "hashes"])
+        for part, own in text_batches(batches):
+            words, counts = word_hashes(own)
+            hashes = [shingle_hashes(w, shingle).tobytes() for w in np.split(words, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def labelled(shingles: DataFrame) -> DataFrame:
+    """For each row of ``shingles`` (id, hashes): id, n, labelled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [labelled_shingles(np.frombuffer(x.as_buffer(), dtype=np.uint64)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["id", "n", "labelled"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return shingles.select("id", "hashes").mapInArrow(run, "id long, n long, labelled array<long>")
 
 
 def binned(shingles: DataFrame) -> DataFrame:
@@ -219,29 +256,33 @@ def near_duplicates(
     """One row per row of ``docs``: doc_id, n_shingles, class_id (the smallest id that links reach, itself included), kept (doc_id = class_id).
 
     Links join documents whose ordered similarity is ``least`` or more. A null or wordless text links
-    with nothing. A row with a null id has a null class and is kept. Rows that share an id are one
-    document for this purpose: they share a class (by their text with the smallest digest).
+    with nothing. Each row is a document of its own, also where rows share an id or have none; a null id is never a class's,
+    unless no row of the class has one: then class_id is null and the row is kept.
     Letter case (A-Z) and punctuation don't count. Other columns of ``docs`` are ignored. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     # a text within reach of a short one has its shingles labelled too
     sketched = stage(sketch(docs, id_col, text_col, sketches, picks, shingle, int(SHORT / least)), "sketch")
-    # one text per id and one id per text; minima are combined before the shuffle
-    known = sketched.where("id is not null and n > 0")
-    classes = known.groupBy("digest_a", "digest_b", "n").agg(F.min("id").alias("rep"))
-    lead = known.join(classes, ["digest_a", "digest_b", "n"])
-    copies = lead.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = lead.where("id = rep").groupBy("id").agg(F.min(F.struct("digest_a", "digest_b", "n", "sketch", "labelled")).alias("s")).select("id", "s.n", "s.sketch", "s.labelled")
+    key = ["digest_a", "digest_b", "n"]
+    no_id = F.lit((1 << 63) - 1)
+    # one node per distinct sequence of words, with one of the rows that have it; minima are combined before the shuffle
+    lead = F.min(F.struct(F.coalesce("id", no_id).alias("id"), "hash")).alias("lead")
+    nodes = sketched.where("n > 0").groupBy(*key).agg(lead, F.first("sketch").alias("sketch"), F.first("labelled").alias("labelled"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers hold
+    reps = nodes.select(F.col("node").alias("id"), "n", "sketch", "labelled")
     buckets = reps.select("id", "n", F.posexplode("sketch").alias("j", "value"))
-    buckets = buckets.unionByName(stage(prefixes(reps, least), "prefixes").withColumn("j", F.lit(-1)))
+    short = stage(prefixes(reps.where("labelled is not null"), least), "prefixes")
+    buckets = buckets.unionByName(short.withColumn("j", F.lit(-1)))
     shared = buckets.groupBy("j", "value").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     members = stage(buckets.join(shared, ["j", "value"]).select("j", "value", "size", "hub", "id", "n"), "buckets")
 
-    # shingles of the documents that share a bucket, once each
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    shingles = stage(shingled(texts.dropDuplicates(["id"]), shingle), "shingles")
+    # shingles of the nodes that share a bucket, from the text of one row each
+    wanted = nodes.select("node", "lead.*").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).join(wanted, ["id", "hash"])
+    texts = texts.dropDuplicates(["id", "hash", "node"]).select(F.col("node").alias("id"), "text")
+    shingles = stage(shingled(texts, shingle), "shingles")
 
-    # round 1: each document with the smallest hub of all its buckets; a large bucket has hubs of its parts, which hang on the bucket's
+    # round 1: each node with the smallest hub of all its buckets; a large bucket has hubs of its parts, which hang on the bucket's
     small, large = members.where(F.col("size") <= FAN).select("id", "hub"), members.where(F.col("size") > FAN)
     for seed in (1, 2):
         parted = large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("size") / FAN)))
@@ -250,7 +291,7 @@ def near_duplicates(
     hubs = stage(small.where("id <> hub").distinct(), "hubs")
     first = hubs.groupBy("id").agg(F.min("hub").alias("b")).select(F.col("id").alias("a"), "b")
     links = stage(verified(first, shingles, least).select("a", "b"), "links")
-    labels = stage(connected_components(links), "labels")
+    labels = connected_components(links)
 
     def label(df: DataFrame, col: str, name: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(col), F.col("component").alias("_c")), col, "left").withColumn(name, F.coalesce("_c", col)).drop("_c")
@@ -258,25 +299,39 @@ def near_duplicates(
     # round 2: every other hub of a bucket that lies in another component
     rest = label(label(hubs, "id", "c1"), "hub", "c2").where("c1 <> c2").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     more = stage(verified(rest, shingles, least).select("a", "b"), "links")
-    links = stage(links.unionByName(more), "links")
-    labels = stage(connected_components(links), "labels")
-
-    # round 3: whatever still shares a bucket across components, whole
-    placed = label(members, "id", "c")
-    split = placed.groupBy("j", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("j", "value", "many")
-    open_ = stage(placed.join(split, ["j", "value"]).select("j", "value", "many", "id", "n", "c"), "open")
-    few = open_.where(F.col("many") <= FEW).drop("many")
-    left, right = few.toDF("j", "value", "a", "na", "ca"), few.toDF("j", "value", "b", "nb", "cb")
-    alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    pairs = left.join(right, ["j", "value"]).where(alike).select("a", "b")
-    bins = binned(shingles.join(open_.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi"))
+    both = stage(links.unionByName(more), "links")
+    drop_stages(labels, links, more)
+    labels = connected_components(both)
+
+    # round 3: whatever still shares a bucket across components
+    def open_buckets(members: DataFrame) -> DataFrame:
+        placed = label(members, "id", "c")
+        split = placed.groupBy("j", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("j", "value", "many")
+        return stage(placed.join(split, ["j", "value"]).select("j", "value", "many", "id", "n", "c"), "open")
+
+    def few_pairs(found: DataFrame) -> DataFrame:
+        few = found.where(F.col("many") <= FEW).drop("many")
+        left, right = few.toDF("j", "value", "a", "na", "ca"), few.toDF("j", "value", "b", "nb", "cb")
+        alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
+        return left.join(right, ["j", "value"]).where(alike).select("a", "b")
+
+    found = open_buckets(members)
+    crowd = shingles.join(found.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi")
+    rarest = stage(prefixes(labelled(crowd), least), "prefixes")
+    again = open_buckets(rarest.withColumn("j", F.lit(-2)))
+    bins = binned(crowd.join(again.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi"))
     parts = F.ceil(F.col("many") / BLOCK)
-    blocks = open_.where(F.col("many") > FEW).withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
+    blocks = again.where(F.col("many") > FEW).withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
-    pairs = pairs.unionByName(blocks.groupBy("j", "value", "p", "q").applyInPandas(_block_pairs(least), "a long, b long"))
+    pairs = few_pairs(found).unionByName(few_pairs(again)).unionByName(blocks.groupBy("j", "value", "p", "q").applyInPandas(_block_pairs(least), "a long, b long"))
     pairs = pairs.select("a", "b").distinct().join(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
-    last = verified(pairs, shingles, least).select("a", "b")
-    done = connected_components(links.unionByName(last).unionByName(copies))
-    out = sketched.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(done.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", class_id.alias("class_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == class_id)).alias("kept"))
+    last = stage(verified(pairs, shingles, least).select("a", "b"), "links")
+    done = connected_components(both.unionByName(last))
+    drop_stages(members, short, rarest, shingles, hubs, labels, both, found, again, last)
+
+    known = nodes.select(*key, "node", "lead.id").join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = known.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = known.join(low, "component").select(*key, F.when(F.col("class_id") < no_id, F.col("class_id")).alias("class_id"), F.lit(True).alias("worded"))
+    out = sketched.select("id", *key).join(classes, key, "left")
+    class_id = F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("kept"))

@@ -151,10 +151,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for ids, texts in text_batches(batches):
+        for part, texts in text_batches(batches):
             flat, counts = words.encode(texts, end_id)
             rows, at = [], 0
-            for doc_id, n in zip(ids, counts.tolist()):
+            for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist()):
                 for k, start in enumerate(range(0, n, capacity)):
                     own = flat[at + start : at + min(n, start + capacity)].astype("<u4").tobytes()
                     rows.append((doc_id, k, start, len(own) // 4, zlib.crc32(own), *[own] * with_ids))

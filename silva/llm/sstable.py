@@ -187,12 +187,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for ids, texts in text_batches(batches):
+        for rows, texts in text_batches(batches):
             flat, counts = words.encode(texts, end_id)
             if len(flat) and int(flat.max()) >> (8 * width):
                 raise ValueError(f"a token id needs more than {width} bytes")
             at = 0
-            for doc_id, n in zip(ids, counts.tolist()):
+            for doc_id, n in zip(rows.column(0).to_pylist(), counts.tolist()):
                 if writer is None:
                     uri, out = files.create(folder, f"shard-{len(made):04d}", ".sst")
                     writer, lo = Writer(out, width), doc_id

@@ -20,19 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage, text_batches
+from .common import bound_batches, stage, text_batches
 
 #: The bounded sample to fit on: toxic documents, and twice as many clean ones.
 PER_CLASS = 6000
-#: Word beginnings of these lengths are features, besides whole words; FEATURES bounds how many are kept.
+#: Word beginnings of these lengths are features, besides whole words. Those kept occur in LEAST_TOXIC documents of the bounded sample, so it bounds them.
 HEADS = (4, 5, 6)
-FEATURES = 20_000
 LEAST_TOXIC, LEAST_WEIGHT, DEVIATIONS = 4, 1.2, 2.0
 #: Documents of one class with the same words of smallest hash count once in fitting: copies are no evidence.
 SMALLEST = 4
 #: Distinct words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # Letters that a digit or sign imitates.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -105,45 +105,72 @@ def costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(three)
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """The readings of each run of equal characters of a lower-case span, with their channel costs."""
-    out = []
-    for c, run in groupby(span):
-        n = len(list(run))
+_readings: dict[tuple[str, int], list[tuple[str, float, tuple[int, ...]]]] = {}
+
+
+def _run(c: str, n: int) -> list[tuple[str, float, tuple[int, ...]]]:
+    """The readings of ``n`` times the character ``c`` (3 stands for more): text, channel cost, symbols."""
+    own = _readings.get((c, n))
+    if own is None:
         if c.isalpha():
-            out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, DOUBLED)] if n == 2 else [(c, DRAWN_OUT), (c + c, DOUBLED)])
+            made = [(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, DOUBLED)] if n == 2 else [(c, DRAWN_OUT), (c + c, DOUBLED)]
         elif c in LEET:
-            own = [(x, SUBSTITUTE) for x in LEET[c]] + ([(x + x, SUBSTITUTE + DOUBLED) for x in LEET[c]] if n > 1 else [])
-            out.append([(c * min(n, 2), 0.0), *own])
+            made = [(c * min(n, 2), 0.0), *[(x, SUBSTITUTE) for x in LEET[c]], *([(x + x, SUBSTITUTE + DOUBLED) for x in LEET[c]] if n > 1 else [])]
         elif c.isdigit():
-            out.append([(c * min(n, 2), 0.0)])
+            made = [(c * min(n, 2), 0.0)]
         else:
-            out.append([("", 0.0), (" ", GAP)])
-    return out
+            made = [("", 0.0), (" ", GAP)]
+        own = _readings[c, n] = [(text, paid, tuple(map(_code, text))) for text, paid in made]
+        if len(_readings) > REMEMBERED:
+            _readings.clear()
+    return own
+
+
+def lattice(span: str) -> list[list[tuple[str, float]]]:
+    """The readings of each run of equal characters of a lower-case span, with their channel costs."""
+    return [[(text, paid) for text, paid, _ in _run(c, min(3, len(list(run))))] for c, run in groupby(span)]
 
 
 def restore(span: str, cost: list) -> str:
-    """The cheapest reading of a lower-case span; of equally cheap ones the first by text. cost: nested lists by three symbols."""
+    """The cheapest reading of a lower-case span. cost: nested lists by three symbols."""
     return cheapest(span, cost)[1]
 
 
 def cheapest(span: str, cost: list) -> tuple[float, str]:
-    """The reading that :func:`restore` gives, after its cost."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(span):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in states.items():
-            for reading, paid in options:
+    """The reading that :func:`restore` gives, after its cost.
+
+    A path is a chain of readings, the last first. Where all paths meet in one state, which two plain letters bring about, the chain is written out, so
+    time and memory follow the span's length.
+    """
+    out: list[str] = []
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+
+    def write(path: tuple | None) -> None:
+        own = []
+        while path is not None:
+            path, text = path
+            own.append(text)
+        out.extend(reversed(own))
+
+    for c, run in groupby(span):
+        options = _run(c, min(3, len(list(run))))
+        if len(states) == 1:
+            ((state, (so_far, path)),) = states.items()
+            write(path)
+            states = {state: (so_far, None)}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, path) in states.items():
+            for text, paid, codes in options:
                 x, y, total = a, b, so_far + paid
-                for c in reading:
-                    z = _code(c)
+                for z in codes:
                     total += cost[x][y][z]
                     x, y = y, z
-                found = (total, text + reading)
-                if (x, y) not in after or found < after[x, y]:
-                    after[x, y] = found
+                if (x, y) not in after or total < after[x, y][0]:
+                    after[x, y] = (total, (path, text))
         states = after
-    return min((total + cost[a][b][0], text) for (a, b), (total, text) in states.items())
+    total, path = min(((total + cost[a][b][0], path) for (a, b), (total, path) in states.items()), key=lambda x: x[0])
+    write(path)
+    return total, "".join(out)
 
 
 class Deobfuscator:
@@ -299,9 +326,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     # so many standard deviations below the estimate: what was seen a few times only weighs little
     weight = weight - DEVIATIONS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    kept = counts.where(F.col("toxic") >= LEAST_TOXIC).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("toxic"), "feature").limit(FEATURES)
+    kept = counts.where(F.col("toxic") >= LEAST_TOXIC).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT)
     scorer = Scorer({r.feature: r.w for r in kept.collect()})
-    fitted = spark.sparkContext.broadcast(scorer)  # FEATURES bounds it
+    fitted = spark.sparkContext.broadcast(scorer)  # the sample bounds it
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fitted.value
@@ -341,20 +368,30 @@ def calibrate(seen: list[tuple[float, int, int]], prior: float) -> tuple[float,
     return float(b[0]), float(b[1])
 
 
-def score(docs: DataFrame, model: tuple[Deobfuscator, Scorer], id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 0), with_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), and the restored text if asked for.
+def annotate(docs: DataFrame, model: tuple[Deobfuscator, Scorer], names: list[str], text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` with the score (0 to 1) and, if asked for, the restored text, under the given names; decided row by row without a shuffle.
 
-    Null and empty texts get the score of a text without marked words. A null id is never held out.
-    Other columns are ignored; an empty table gives no rows; repeated rows are scored alike.
+    Null and empty texts get the score of a text without marked words. Repeated rows are scored alike; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SYMBOLS**3 and FEATURES
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS**3 and the labelled sample bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix, own = shared.value
-        for ids, texts in text_batches(batches):
-            scores = [own.score(own.text_total(text, fix)) for text in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), *[pa.array([fix(text) for text in texts], pa.string()) for _ in range(with_text)]], ["doc_id", "score", *["restored"] * with_text])
+        for part, texts in text_batches(batches, column=column):
+            scores = pa.array([own.score(own.text_total(text, fix)) for text in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, scores, *[pa.array([fix(text) for text in texts], pa.string()) for _ in range(with_text)]], whole)
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double" + ", restored string" * with_text)
+    column, whole = docs.columns.index(text_col), [*docs.columns, *names]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.StringType())))])
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: tuple[Deobfuscator, Scorer], id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (5, 0), with_text: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), and the restored text if asked for, as :func:`annotate` decides.
+
+    A null id is never held out. Other columns are ignored.
+    """
+    out = annotate(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, ["score", *["restored"] * with_text], with_text=with_text)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *["restored"] * with_text)

@@ -403,3 +403,31 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not kept & {5, 9, 11} and not kept & {i for i in range(20, 120, 5)}
     assert kept == set(range(120)) - {5, 9, 11} - set(range(20, 120, 5))
+
+
+def test_leaks_of_reordered_split_and_repeated_items_equal_brute_force(spark):
+    rng = random.Random(31)
+    items = [(i, text(rng, n)) for i, n in enumerate([40, 60, 80, 25, 16])]
+    loop = text(rng, 8)
+    items += [(7, " ".join([loop] * 6)), (7, text(rng, 30)), (8, items[3][1])]
+    rows = []
+    for k in range(24):
+        own = items[k % 6][1].split()
+        half = len(own) // 2
+        middle = [own, own[half:] + own[:half], own[:half] + text(rng, 1).split() + own[half:], own[3:], own[:-3], own + own, own[: len(own) - len(own) // 10]][k % 7]
+        rows.append((k, " ".join(text(rng, rng.randint(0, 12)).split() + middle + text(rng, rng.randint(0, 3)).split())))
+    rows += [(50, loop), (51, " ".join([loop] * 40)), (52, rows[0][1]), (52, "other text"), (None, rows[1][1]), (53, None), (54, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"k1": F.lit(1), "h": F.lit("x"), "item_id": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("length", F.lit("y"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(docs, bench).collect()}
+    want = {}
+    for d, t in rows:
+        for i, it in items:
+            for v in brute_leaks([(d, t)], [(i, it)]).values():
+                want[d, i] = max(round(v, 9), want.get((d, i), 0))
+    assert got == want and len(want) >= 20
+    clean = decontam.without_leaks(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(str(r.text) for r in clean.collect()) == sorted(str(t) for d, t in rows if not any(brute_leaks([(d, t)], [(i, it)]) for i, it in items))
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0 == decontam.contaminated(docs, bench.limit(0)).count()
+    assert decontam.without_leaks(docs, bench.limit(0)).count() == len(rows)
