@@ -3,9 +3,11 @@
 Pieces are dealt at random into groups of about GROUP pieces. In each group several islands, each a
 row of a table and so a unit of work for any executor, evolve a population of packings. A crossover
 takes one parent's bins, injects whole well-filled bins of another, removes bins that held
-any of the same pieces, and puts the displaced pieces by best fit, longest first. After each epoch each
+any of the same pieces, dissolves the emptiest of the rest, and places the displaced pieces anew by best fit: into a bin
+with the longest piece left goes the piece, or the pair, that leaves least room, until none fits. After each epoch each
 island's elite moves to the next island. The best packing of a group wins. The bins that remain poorly
-filled are dissolved, their pieces dealt into new groups, and those evolve in the same way.
+filled are dissolved, their pieces dealt into new groups, and those evolve in the same way. A group whose packing reaches
+the lower bound, its pieces' total over the capacity, is done.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import bisect
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_batches
+from .common import bound_batches, readers, stage, text_batches
 from .tokens import encoder
 
 CAPACITY = 2048
 GROUP = 1500
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 16, 6
 WELL_FILLED = 0.98
 END_ID = 0
 
@@ -48,25 +50,54 @@ def best_fit(items: list[int], lengths: list[int], bins: Bins, capacity: int) ->
     return bins
 
 
+def tight_fit(items: Iterable[int], lengths: list[int], capacity: int) -> Bins:
+    """New bins for ``items``, one at a time: the longest left, then the single piece or pair that leaves least room, until none fits."""
+    order = sorted(items, key=lambda i: lengths[i])
+    size = [lengths[i] for i in order]
+    bins = []
+    while order:
+        own, room = [order.pop()], capacity - size.pop()
+        while order and size[0] <= room:
+            low, high = 0, bisect.bisect_right(size, room) - 1
+            most, pick = size[high], (high,)
+            while low < high and most < room:
+                both = size[low] + size[high]
+                if both > room:
+                    high -= 1
+                else:
+                    if both > most:
+                        most, pick = both, (high, low)
+                    low += 1
+            for k in pick:
+                own.append(order.pop(k))
+                size.pop(k)
+            room -= most
+        bins.append(own)
+    return bins
+
+
 def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins are better; of equally many, uneven filling is."""
     return -len(bins), sum((sum(lengths[i] for i in own) / capacity) ** 2 for own in bins)
 
 
 def crossover(one: Bins, two: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    good = [own for own in two if sum(lengths[i] for i in own) >= WELL_FILLED * capacity] or two
-    injected = [list(own) for own in rng.sample(good, max(1, len(good) // 4))]
+    def filled(own: list[int]) -> int:
+        return sum(lengths[i] for i in own)
+
+    good = sorted(two, key=filled, reverse=True)[: -(-len(two) // 2)]
+    injected = rng.sample(good, max(1, len(good) // 3))
     taken = {i for own in injected for i in own}
     kept, displaced = [], []
     for own in one:
         if taken.isdisjoint(own):
-            kept.append(list(own))
+            kept.append(own)
         else:
             displaced += [i for i in own if i not in taken]
-    loose = min(range(len(kept)), key=lambda k: sum(lengths[i] for i in kept[k]), default=None)
-    if loose is not None:  # mutation: the emptiest bin is dissolved too
-        displaced += kept.pop(loose)
-    return best_fit(sorted(displaced, key=lambda i: -lengths[i]), lengths, kept + injected, capacity)
+    kept.sort(key=filled)
+    loose = -(-len(kept) // rng.choice((4, 8, 16)))  # mutation: the emptiest bins are dissolved too
+    displaced += [i for own in kept[:loose] for i in own]
+    return injected + kept[loose:] + tight_fit(displaced, lengths, capacity)
 
 
 def _bins(where: np.ndarray) -> Bins:
@@ -85,19 +116,26 @@ def _where(bins: Bins, n: int) -> bytes:
 def evolve(lengths: list[int], elites: list[Bins], seed: int, capacity: int, generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
     """The best packing an island finds in some generations, no worse than best fit of the longest first or the ``elites`` given."""
     rng = random.Random(seed)
-    by_length = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    crowd = [*elites, best_fit(by_length, lengths, [], capacity)]
-    while len(crowd) < population:
-        noisy = sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(0.7, 1.0))
-        crowd.append(best_fit(noisy, lengths, [], capacity))
     least = -(-sum(lengths) // capacity)
-    for _ in range(generations):
-        crowd.sort(key=lambda b: fitness(b, lengths, capacity), reverse=True)
-        if len(crowd[0]) <= least:
+    crowd: list[tuple[tuple[int, float], Bins]] = []
+
+    def add(bins: Bins) -> bool:
+        crowd.append((fitness(bins, lengths, capacity), bins))
+        return len(bins) <= least
+
+    everything = range(len(lengths))
+    done = any([add(own) for own in elites])
+    done = done or add(best_fit(sorted(everything, key=lambda i: -lengths[i]), lengths, [], capacity))
+    done = done or add(tight_fit(everything, lengths, capacity))
+    while not done and len(crowd) < population:
+        done = add(best_fit(sorted(everything, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0)), lengths, [], capacity))
+    for _ in range(0 if done else generations):
+        crowd.sort(key=lambda x: x[0], reverse=True)
+        del crowd[population:]
+        (_, one), (_, two) = rng.sample(crowd[: population // 2 + 1], 2)
+        if add(crossover(one, two, lengths, capacity, rng)) or add(crossover(two, one, lengths, capacity, rng)):
             break
-        one, two = rng.sample(crowd[: max(2, population // 2)], 2)
-        crowd = [*crowd[: population - 2], crossover(one, two, lengths, capacity, rng), crossover(two, one, lengths, capacity, rng)]
-    return max(crowd, key=lambda b: fitness(b, lengths, capacity))
+    return max(crowd, key=lambda x: x[0])[1]
 
 
 def _evolve_rows(capacity: int, epoch: int):
@@ -116,13 +154,15 @@ def _evolve_rows(capacity: int, epoch: int):
     return run
 
 
-def pack_groups(items: DataFrame, capacity: int, name: str) -> DataFrame:
-    """``items`` (with grp, idx from 0 and length) with bin, the place of the winner's bin in its group, and fill, that bin's length."""
+def pack_groups(items: DataFrame, groups: int, capacity: int, name: str) -> DataFrame:
+    """``items`` (with grp, one of ``groups``, idx from 0 and length) with bin, the place of the winner's bin in its group, and fill, that bin's length."""
     state = items.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("idx", "length"))).alias("x"))  # GROUP pieces or so
     state = state.select("grp", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.length").alias("lengths"))
-    state = state.withColumns({"elite": F.lit(None).cast("binary"), "guest": F.lit(None).cast("binary")}).repartition("grp", "island")
+    state = state.withColumns({"elite": F.lit(None).cast("binary"), "guest": F.lit(None).cast("binary")})
+    # with a number: adaptive execution would merge so few bytes, but much work, into one task
+    tasks = readers(items.sparkSession, ISLANDS * groups)
     for epoch in range(EPOCHS):
-        state = stage(state.mapInPandas(_evolve_rows(capacity, epoch), "grp long, island int, lengths array<long>, elite binary, bins long, score double"), f"{name}-{epoch}")
+        state = stage(state.repartition(tasks, "grp", "island").mapInPandas(_evolve_rows(capacity, epoch), "grp long, island int, lengths array<long>, elite binary, bins long, score double"), f"{name}-{epoch}")
         if epoch + 1 < EPOCHS:
             moved = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
             state = state.drop("bins", "score").join(moved, ["grp", "island"])
@@ -161,6 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, c in enumerate(zip(*rows))], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
@@ -174,11 +215,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = ["doc_id", "piece", "start", "ids_crc32"]
     found = stage(found, "pieces")
     groups = max(1, -(-found.count() // GROUP))
-    first = stage(pack_groups(stage(_grouped(found, groups, order), "dealt"), capacity, "first"), "packed")
+    first = stage(pack_groups(stage(_grouped(found, groups, order), "dealt"), groups, capacity, "first"), "packed")
     poor = F.col("fill") < WELL_FILLED * capacity
     rest = first.where(poor).select(*columns)
     again = max(1, -(-rest.count() // GROUP))
-    second = pack_groups(stage(_grouped(rest, again, order), "dealt"), capacity, "second").withColumn("grp", F.col("grp") + groups)
+    second = pack_groups(stage(_grouped(rest, again, order), "dealt"), again, capacity, "second").withColumn("grp", F.col("grp") + groups)
     whole = first.where(~poor).unionByName(second)
     at = F.sum("length").over(Window.partitionBy("grp", "bin").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
     return whole.withColumn("offset", at).withColumn("sequence_id", F.col("grp") * (1 << 24) + F.col("bin")).select(*columns, "sequence_id", "offset")

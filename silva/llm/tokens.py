@@ -3,11 +3,13 @@
 The tokenizer's pattern never joins characters across white space, so a text is split at ASCII
 white space and each distinct word is encoded alone; ``tests/llm`` compares this with encoding
 whole texts. Words of ASCII and Latin letters without special-token marks go to the model through the
-pattern's pieces; all others go through the full tokenizer.
+pattern's pieces; all others go through the full tokenizer. A file whose rules aren't those that this relies on
+encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,16 +17,30 @@ from array import array
 import numpy as np
 
 #: Distinct words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 #: Bytes that the vocabulary writes as other characters: each unprintable one as 256 + its rank among them.
 _BYTES = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 #: ASCII but white space, and the composed letters of Latin-1: lower-casing and composing leave their count alone.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+# The rules of the tokenizer file for which the above holds.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _workers: dict[str, WordEncoder] = {}
 
 
+def _as_known(path: str) -> bool:
+    """Whether the tokenizer file has the rules that allow to encode word by word."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    normal, split = found.get("normalizer") or {}, found.get("pre_tokenizer") or {}
+    kinds = [x.get("type") for x in normal.get("normalizers", [])]
+    steps = split.get("pretokenizers", [])
+    own = len(steps) == 2 and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert") is True and steps[1].get("type") == "ByteLevel" and steps[1].get("use_regex") is False and not steps[1].get("add_prefix_space")
+    return kinds == _NORMAL and own and found["model"].get("type") == "BPE" and not found["model"].get("dropout")
+
+
 class WordEncoder:
     """Encodes texts to ids, word by word, remembering words."""
 
@@ -34,6 +50,7 @@ class WordEncoder:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
+        self.by_word = _as_known(path)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
@@ -63,6 +80,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after another, as uint32, and the count of each text; ``end_id`` closes each text."""
+        if not self.by_word:
+            own = [x.ids for x in self.full.encode_batch([t.encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
+            end = [] if end_id is None else [end_id]
+            return np.array([i for ids in own for i in (*ids, *end)], dtype=np.uint32), np.array([len(ids) + len(end) for ids in own], dtype=np.int64)
         if len(self.words) > REMEMBERED:
             self.pieces, self.words, self.ends = {}, {}, array("q", [0])
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
