@@ -11,12 +11,15 @@ from .tokens import default_tokenizer
 
 #: DuckDB SQL of the queries whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op8_warc": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-        q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d,
+               regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '') AS host,
+               regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*([^#]*)', 1) AS rest FROM pages),
+        k AS (SELECT *, coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END, '') AS url_key FROM p),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, row_number() OVER (ORDER BY url_key, page_id) - 1 AS capture_order FROM k)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
                CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, url_key, CAST(capture_order AS BIGINT) AS capture_order
         FROM q""",
 }
 
@@ -57,7 +60,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_order")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
