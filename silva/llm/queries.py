@@ -51,7 +51,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.fit())
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(licenses.sample_lines(docs)))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,9 +258,9 @@ def test_toxicity_restores_all_disguises(spark):
     assert fix("you idiot! the h4te!!") == "you idiot! the hate!!"
 
 
-def test_licences(spark):
-    rows = [(1, "plain words\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "He lost his driving license last year"), (6, "und mit der zeit kam er an"), (7, "All rights reserved.")]
-    model = licenses.fit()
+def test_licences(spark, docs):
+    rows = [(1, "plain words\nLicensed under the Apache License, Version 2.0.\nthing"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "He lost his driving license last year"), (6, "und mit der zeit kam er an"), (7, "All rights reserved.")]
+    model = licenses.fit(licenses.sample_lines(docs))
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert {k: r.family for k, r in got.items()} == {1: "apache", 2: "gpl", 5: "unknown", 6: "unknown", 7: "proprietary"}
     assert got[1].paragraph == 1 and got[1].confirmed and not got[5].confirmed
@@ -268,18 +268,19 @@ def test_licences(spark):
         assert got[k].probability == pytest.approx(max(model.probabilities(t).values()))
 
 
-def test_wrapped_licences_and_version_spellings(spark):
+def test_wrapped_licences_and_version_spellings(spark, docs):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above copyright notice."
     mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation\nfiles (the Software), to deal in the Software without restriction"
     gpl = "   This program is free software: you can redistribute it and/or modify\r\n   it under the terms of the GNU General Public License as published\r\n   by the Free Software Foundation, either version 3 of the License"
     rows = [(1, bsd), (2, f"plain words\n\n \n{mit}\n\nmore"), (3, gpl), (4, f"one line\nhere {mit}"), (5, "Released under the\nApache things he said")]
     rows += [(10, "Released under GPLv3"), (11, "AGPLv3"), (12, "licensed under LGPLv2.1"), (13, "gplvx is no word"), (14, "This is GPL3 code"), (15, "dedicated to the public domain under CC0 1.0 Universal")]
-    model = licenses.fit()
+    model = licenses.fit(licenses.sample_lines(docs))
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     wrapped = {r.doc_id: (r.paragraph, r.lines, r.family) for r in got if r.lines > 1}
-    assert wrapped == {1: (0, 3, "bsd"), 2: (3, 3, "mit"), 3: (0, 3, "gpl"), 4: (0, 4, "mit")}
+    assert wrapped == {1: (0, 3, "bsd"), 2: (3, 3, "mit"), 4: (0, 4, "mit")}
+    assert [r.paragraph for r in got if r.doc_id == 3 and r.confirmed] == [1]  # a line that names the licence
     assert all(r.confirmed for r in got if r.lines > 1)
-    assert {r.doc_id: r.family for r in got if r.doc_id >= 10} == {10: "gpl", 11: "agpl", 12: "lgpl", 14: "gpl", 15: "public-domain"}
+    assert {r.doc_id: r.family for r in got if r.doc_id >= 10 and r.family != "unknown"} == {10: "gpl", 11: "agpl", 12: "lgpl", 14: "gpl", 15: "public-domain"}
     for r in got:
         if r.doc_id >= 10:
             assert r.probability == pytest.approx(max(model.probabilities(dict(rows)[r.doc_id]).values()))
