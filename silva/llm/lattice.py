@@ -2,8 +2,9 @@
 
 The pieces of an existing public vocabulary spell every word in many ways; the probability of a word is the sum over
 all of them, by a forward recursion in log space. Every word of the training side is also a piece of its own: one more
-arc across the whole lattice, as likely as the word is frequent. The vocabulary's scores are ranks of merges (BPE), so Zipf's law makes starting
-probabilities of them; expected counts over all the distinct words, by a forward and a backward pass, then replace these. A word counts once there: its
+arc across the whole lattice, as likely as the word is frequent. The vocabulary's scores are ranks of merges (BPE), so Zipf's law makes
+probabilities of them. These are the prior: expected counts over all the distinct words, by a forward and a backward pass, are added to PRIOR pieces dealt by
+the existing scores. A word counts once there: its
 arc stands for its further occurrences, and spelling is for words not met yet. A text's words and its end are independent given the pieces.
 
 Word counts are summed by Spark over the whole training side. The FREQUENT most frequent words are broadcast, which
@@ -19,19 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_batches
+from .common import bound_batches, stage, text_batches
 
 #: Words that are broadcast at most; an aid of the join that changes no score.
 FREQUENT = 200_000
-#: Rounds of expected counts.
-ROUNDS = 2
+#: Longest word that is broadcast, in bytes: together they bound what goes to the driver.
+BROADCAST_BYTES = 64
+#: Rounds of expected counts, and the pieces that the vocabulary's own scores count for beside those of the corpus.
+ROUNDS, PRIOR = 2, 10_000.0
 #: Marked words of up to so many characters are tried without logs; a sum under TINY may have lost ways to underflow and is done again in logs.
 SHORT, TINY = 60, 1e-280
 #: Distinct words that a worker gathers before it hands them on.
-GATHERED = 400_000
+GATHERED = 200_000
 LN10 = math.log(10)
 MARK = "▁"  # stands before a word in the vocabulary
 _pieces: dict[str, Pieces] = {}
@@ -188,9 +191,13 @@ def _string(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
 
+def _held_out(id_: Column, fold: tuple[int, int]) -> Column:
+    """Whether crc32(id as text) mod fold[0] is fold[1]; never for a null id."""
+    return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
+
+
 def word_counts(docs: DataFrame, id_col: str, text_col: str, fold: tuple[int, int]) -> DataFrame:
     """word (binary) of all texts, n over the texts of the training side."""
-    rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -206,22 +213,23 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, fold: tuple[int, in
                     found = (Counter(), Counter())
         yield out()
 
-    return docs.select(rest != fold[1], F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(~_held_out(F.col(id_col), fold), F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, ``most`` at most: all whose count reaches the least count that keeps to it."""
-    sizes = counts.where("n > 1").groupBy("n").agg(F.count("*").alias("words"))
-    # counts of counts: their number grows with the root of the total at most
+    """The most frequent words of BROADCAST_BYTES at most, ``most`` of them at most: all whose count reaches the least of a row of steps that keeps to it."""
+    short = counts.where((F.col("n") > 1) & (F.length("word") <= BROADCAST_BYTES))
+    step = F.floor(F.log2("n") * 16).cast("long")  # a thousand steps at most
+    sizes = short.groupBy(step.alias("step")).agg(F.count("*").alias("words"))
     room, least = most, None
-    for n, words in sorted(((r.n, r.words) for r in sizes.collect()), reverse=True):
+    for at, words in sorted(((r.step, r.words) for r in sizes.collect()), reverse=True):
         room -= words
         if room < 0:
             break
-        least = n
+        least = at
     if least is None:
         return {}
-    return {bytes(r.word): r.n for r in counts.where(F.col("n") >= least).collect()}
+    return {bytes(r.word): r.n for r in short.where(step >= least).collect()}
 
 
 class Model:
@@ -254,13 +262,13 @@ class Model:
 
 
 def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0), frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model, and a table of all words but the frequent ones: word, n, spelled (log10 of the probability over the whole word and all spellings), each word once."""
+    """The model, learned from texts whose crc32(id as text) mod fold[0] is not fold[1] and those without an id, and a table of all words but the frequent ones: word, n, spelled (log10 of the probability over the whole word and all spellings), each word once."""
     spark = docs.sparkSession
+    bound_batches(spark)
     counts = stage(word_counts(docs, id_col, text_col, fold), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     top = frequent_words(counts, frequent)  # FREQUENT bounds it
-    rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold[0]))
-    ends = docs.where(rest != fold[1]).count()
+    ends = docs.where(~_held_out(F.col(id_col), fold)).count()
     own = pieces(vocabulary)
     known = spark.sparkContext.broadcast(frozenset(top))
     log_p = own.start
@@ -281,7 +289,7 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         return run
 
     for _ in range(ROUNDS):
-        expected = np.full(len(log_p), 0.01)
+        expected = PRIOR * np.exp(own.start)
         for r in counts.mapInArrow(counter(log_p), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # the vocabulary bounds it
             expected[r.piece] += r.n
         log_p = np.log(expected / expected.sum())
@@ -307,11 +315,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
 
     A null or empty text is its end alone. The end is a token of both scores, known if any training text exists. A null
-    id counts as training. Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
+    id is never held out and counts as training. Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT and the vocabulary bound it
-    rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold[0]))
-    ends = docs.where(rest != fold[1]).count()
+    ends = docs.where(~_held_out(F.col(id_col), fold)).count()
     total, distinct = model.total + ends, model.distinct + (ends > 0)
     floor = math.log10(total + 0.1 * (distinct + 1)) if total + 0.1 * (distinct + 1) > 0 else 0.0
     end_base = math.log10(ends + 0.1) - floor
@@ -355,6 +362,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     met = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("c") * (F.log10(F.col("n") + 0.1) - F.log10(F.lit(0.1)))).alias("gain"), F.sum(F.when(F.col("n") > 0, F.col("c"))).alias("met"), F.sum(F.col("c") * F.col("spelled")).alias("spelled"))
     unmet = F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y) * (math.log10(0.1) - floor)
     out = first.join(met, "row", "left")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold[0])) == fold[1], F.lit(False))
+    held = _held_out(F.col("doc_id"), fold)
     base = F.col("base") + unmet + F.coalesce("gain", F.lit(0.0))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("spelled", F.lit(0.0))).alias("score"))
