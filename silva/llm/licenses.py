@@ -7,8 +7,8 @@ as unknown. An absolute penalty makes the weights sparse. The temperature that f
 calibrates the probabilities; a paragraph whose best family has less than CONFIDENT is unknown. A prediction is confirmed if
 the paragraph holds enough of one of the family's templates.
 
-Every paragraph is judged, whatever its words. The intercepts favour unknown; the features that consist of common words alone, all of
-them together, don't outweigh that, so a paragraph with no other word of a feature is unknown for certain. Those
+Every paragraph is judged, whatever its words. N-grams of common words alone are no features, and the intercepts favour unknown, which
+some more features don't outweigh all together; so a paragraph with no other word of a feature is unknown for certain. Those
 other words are looked up first, which leaves few paragraphs to score.
 
 A notice may stand on one line or be wrapped over several. So each line is judged, and so is each run of lines without
@@ -34,6 +34,8 @@ CONFIDENT = 0.6
 CONFIRMED = 0.6
 #: Variants of each template and of each plain sentence in the training rows; texts and lines of the corpus sampled at most; its features' absolute penalty.
 VARIANTS, PLAIN_VARIANTS, SAMPLED_TEXTS, SAMPLED_LINES, PENALTY = 16, 4, 300, 2000, 5e-5
+#: A word that so large a share of the sampled unknown lines hold is common: an n-gram of common words alone is no feature.
+COMMON = 0.01
 
 # Public notices by licence family, a paragraph each.
 TEMPLATES: dict[str, list[str]] = {
@@ -126,7 +128,7 @@ def _pairs(words: list[str]) -> set[str]:
 
 
 class Classifier:
-    """weights (features x classes), intercepts, the temperature that calibrates them, and how many of the sampled lines hold each common word; classes end with unknown."""
+    """weights (features x classes), intercepts, the temperature that calibrates them, and how many of the sampled unknown lines hold each word; classes end with unknown."""
 
     def __init__(self, classes: list[str], features: list[str], weights: np.ndarray, intercepts: np.ndarray, temperature: float, common: dict[str, int]):
         self.classes, self.features, self.weights, self.intercepts, self.temperature, self.common = classes, features, weights, intercepts, temperature, common
@@ -200,7 +202,9 @@ def fit(lines: list[str] = (), templates: dict[str, list[str]] = TEMPLATES, othe
     real = [(grams(own), classes.index(family_of(own, templates))) for own in map(word_list, lines)]
     rows += plain + real
     rows += [(set(), unknown)] * (len(rows) // 10)  # most paragraphs hold no feature at all
-    features = sorted({g for texts in templates.values() for t in texts for g in grams(word_list(t))})
+    common = Counter(w for own, (_, k) in zip(map(word_list, lines), real) if k == unknown for w in set(own))
+    often = {w for w, n in common.items() if n >= max(2, COMMON * len(lines))}
+    features = sorted({g for texts in templates.values() for t in texts for g in grams(word_list(t)) if not often.issuperset(g.split(" "))})
     index = {f: i for i, f in enumerate(features)}
     x, y = np.zeros((len(rows), len(features)), dtype=np.float32), np.zeros((len(rows), len(classes)), dtype=np.float32)
     for r, (own, k) in enumerate(rows):
@@ -227,7 +231,7 @@ def fit(lines: list[str] = (), templates: dict[str, list[str]] = TEMPLATES, othe
     z = x[held] @ weights + intercepts
     loss = {t: -np.log(np.maximum((soft(z / t) * y[held]).sum(axis=1), 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
     used = np.flatnonzero(np.abs(weights).max(axis=1))
-    return Classifier(classes, [features[k] for k in used], weights[used].astype(float), intercepts.astype(float), min(loss, key=loss.get), Counter(w for line in lines for w in set(word_list(line))))
+    return Classifier(classes, [features[k] for k in used], weights[used].astype(float), intercepts.astype(float), min(loss, key=loss.get), common)
 
 
 def _tables(spark: SparkSession, model: Classifier, templates: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
