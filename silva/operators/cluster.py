@@ -37,13 +37,13 @@ def slice_clusters(points: DataFrame, eps: float = 0.1, at_least: int = 20, more
     return points.join(labelled, "pid", "left").withColumn("clstr", F.coalesce("clstr", F.lit(-1).cast("long")))
 
 
-def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed: int = 0) -> DataFrame:
+def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed: int = 0, order: str | None = None) -> DataFrame:
     """pid, center_pid, d2: every point of some seed's ball with its nearest seed (the earlier one of equal distance).
 
-    Seeds are the greedy choice in the order of a seeded hash among points with ``at_least`` points in their ball: a point is one unless
+    Seeds are the greedy choice in the order of a seeded hash, or of the column ``order``, among points with ``at_least`` points in their ball: a point is one unless
     an earlier one lies within ``patch``. Rounds pick all points that precede their live neighbours, which gives the same seeds.
     """
-    rank = points.select("pid", F.struct(F.xxhash64(F.lit(seed), "pid").alias("h"), F.col("pid").alias("p")).alias("rank"))
+    rank = points.select("pid", F.struct((F.col(order) if order else F.xxhash64(F.lit(seed), "pid")).alias("h"), F.col("pid").alias("p")).alias("rank"))
     near = stage(neighbors.radius_join(points, points, ball, with_self=True), "balls")
     live = stage(near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("pid").join(rank, "pid"), "live")
     close = stage(neighbors.radius_join(points, points, patch).select("src", "dst"), "close")

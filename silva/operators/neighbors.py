@@ -40,6 +40,27 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, inclusive:
     return pairs.select(*keys, F.col("q_pid").alias("src"), F.col("p_pid").alias("dst"), "d2")
 
 
+def radius_join_by_row(queries: DataFrame, points: DataFrame, radius: str) -> DataFrame:
+    """Pairs src, dst, d2 of points strictly within the query's own radius, a column of ``queries``; a query is of its own ball. Null or negative radii find nothing.
+
+    Queries go to cells of about their own size: one join for each power of two of the radius that occurs.
+    """
+    found = queries.where(F.col(radius) > 0).withColumn("_step", F.ceil(F.log2(radius)).cast("int"))
+    steps = [r[0] for r in found.select("_step").distinct().collect()]  # some dozens at most
+    parts = []
+    for step in sorted(steps):
+        size = float(2.0**step)
+        own = found.where(F.col("_step") == step).select(F.col("pid").alias("q_pid"), *[F.col(a).cast("double").alias(f"q_{a}") for a in AXES], F.col(radius).cast("double").alias("_r"))
+        pairs = _around(_cells(own, size, "q_")).join(_cells(_named(points, "p_", []), size, "p_"), ["cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
+        parts.append(pairs.where(F.col("d2") < F.col("_r") * F.col("_r")).select(F.col("q_pid").alias("src"), F.col("p_pid").alias("dst"), "d2"))
+    if not parts:
+        return queries.select(F.col("pid").alias("src"), F.col("pid").alias("dst"), F.lit(0.0).alias("d2")).limit(0)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def first_cell(points: DataFrame, k: int) -> float:
     """Cell width at which 27 cells hold a few times k points, were they spread evenly; 0 for an empty cloud."""
     r = points.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
@@ -105,26 +126,56 @@ def layers(points: DataFrame) -> DataFrame:
     return out.drop("_lo", "_hi")
 
 
+def _by_layer(points: DataFrame, values: DataFrame, name: str, keep: Column) -> DataFrame:
+    """``points`` with the value of their pid for which ``keep`` holds; _mean and _spread are those of the point's layer: one row per layer, joined back."""
+    placed = layers(points).where("layer is not null").join(values, "pid")
+    own = placed.groupBy(F.col("layer").alias("_layer")).agg(F.avg(name).alias("_mean"), F.stddev_samp(name).alias("_spread"))
+    return placed.join(own, F.col("layer") == F.col("_layer")).where(keep).drop("_layer", "_mean", "_spread")
+
+
 def knn_outliers(points: DataFrame, k: int = 10, sigmas: float = 1.5, neighbours: DataFrame | None = None) -> DataFrame:
     """Points whose kth distance (itself counted) is below the mean plus ``sigmas`` standard deviations of its layer."""
     found = neighbours if neighbours is not None else knn(points, points, k, with_self=True)
     far = found.where(F.col("rank") == k).select(F.col("src").alias("pid"), F.sqrt("d2").alias("far"))
-    w = Window.partitionBy("layer")
-    return layers(points).where("layer is not null").join(far, "pid").withColumn("_cut", F.avg("far").over(w) + sigmas * F.stddev_samp("far").over(w)).where("far < _cut").drop("_cut")
+    return _by_layer(points, far, "far", F.col("far") < F.col("_mean") + sigmas * F.col("_spread"))
 
 
 def density_outliers(points: DataFrame, radius: float, sigmas: float = 1.5) -> DataFrame:
     """Points whose count of neighbours (itself counted, strictly within radius) is above the mean less ``sigmas`` deviations of its layer."""
     near = radius_join(points, points, radius, with_self=True).groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("near"))
-    w = Window.partitionBy("layer")
-    return layers(points).where("layer is not null").join(near, "pid").withColumn("_cut", F.avg("near").over(w) - sigmas * F.stddev_samp("near").over(w)).where("near > _cut").drop("_cut")
+    return _by_layer(points, near, "near", F.col("near") > F.col("_mean") - sigmas * F.col("_spread"))
+
+
+def exact_quantile(values: DataFrame, name: str, share: float, few: int = 100_000) -> float | None:
+    """The interpolated quantile of a column; null for none. Approximate quantiles narrow the range until ``few`` values are left, or one value alone; only these are sorted."""
+    known = values.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("v"))
+    n = known.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    rank = int(at)  # the quantile lies between the values of this rank and the next
+    inside, below, many = known, 0, n
+    while many > few:
+        margin = 0.01
+        ends = [max(0.0, (rank - below) / many - margin), min(1.0, (rank + 2 - below) / many + margin)]
+        low, high = inside.agg(F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), 1000)).first()[0]
+        if low == high and inside.where(F.col("v") == low).count() == many:
+            break
+        less, kept = known.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
+        if kept == many or not less <= rank or not rank + 1 < less + kept and rank + 1 < n:
+            return known.agg(F.percentile("v", F.lit(share))).first()[0]  # the approximation failed
+        inside, below, many = known.where((F.col("v") >= low) & (F.col("v") <= high)), less, kept
+    if many > few:
+        return inside.first()[0]
+    two = [r.v for r in inside.orderBy("v").offset(rank - below).limit(2).collect()]
+    return two[0] + (two[-1] - two[0]) * (at - rank)
 
 
 def quantile_cut(points: DataFrame, k: int = 10, share: float = 0.9) -> DataFrame:
     """Points whose mean distance to neighbours 2 to k is under the given quantile of all."""
-    mean = knn(points, points, k).where("rank >= 2").groupBy(F.col("src").alias("pid")).agg(F.avg(F.sqrt("d2")).alias("nn"))
-    cut = mean.agg(F.percentile("nn", F.lit(share)).alias("_cut"))
-    return points.join(mean.crossJoin(F.broadcast(cut)).where("nn < _cut").drop("_cut"), "pid")
+    mean = stage(knn(points, points, k).where("rank >= 2").groupBy(F.col("src").alias("pid")).agg(F.avg(F.sqrt("d2")).alias("nn")), "means")
+    cut = exact_quantile(mean, "nn", share)
+    return points.join(mean.where(F.col("nn") < F.lit(cut)), "pid")
 
 
 def prune_rows(edges: DataFrame) -> DataFrame:

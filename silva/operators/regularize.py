@@ -1,12 +1,18 @@
-"""Two labels on a weighted graph: unary costs, and smoothing by sweeps of the pairwise energy."""
+"""Two labels on a weighted graph: unary costs, and smoothing of the pairwise energy: exact cuts of components, sweeps where one is large."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
 from .tables import stage
 
+#: Points of a component whose minimal cut one task finds at most.
+EXACT = 5_000
+
 
 def unary(points: DataFrame, mode: int = 0, p: str = "p_wood") -> DataFrame:
     """pid, u0, u1: costs of leaf and wood by the chosen fidelity (0 squared, 1 minus p, 2 minus log), less the row's smaller one, over the mean of all."""
@@ -27,11 +33,97 @@ def energy(labels: DataFrame, costs: DataFrame, edges: DataFrame, strength: floa
     return own + strength * cut
 
 
-def smooth(costs: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
+def minimal_cut(u0: np.ndarray, u1: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Labels 0 or 1 of least energy: u0 or u1 of each point plus w of each edge (a, b) between unequal labels; where both are as good, 0.
+
+    The maximal flow from a source to a sink, along shortest ways (levels first, then walks), leaves label 0 to the points that the source can still reach.
+    """
+    n = len(u0)
+    source, sink = n, n + 1
+    # a point on the source's side has label 0 and cuts its way to the sink, which costs u0; one on the sink's side u1
+    base = np.minimum(u0, u1)
+    ends = [*zip(a.tolist(), b.tolist(), w.tolist(), w.tolist())]
+    ends += [(source, i, float(u1[i] - base[i]), 0.0) for i in range(n) if u1[i] > base[i]]
+    ends += [(i, sink, float(u0[i] - base[i]), 0.0) for i in range(n) if u0[i] > base[i]]
+    to, room, out = [], [], [[] for _ in range(n + 2)]
+    for i, j, there, back in ends:
+        out[i].append(len(to))
+        out[j].append(len(to) + 1)
+        to += [j, i]
+        room += [there, back]
+    least = 1e-12
+
+    def levels() -> list[int]:
+        depth = [-1] * (n + 2)
+        depth[source] = 0
+        line = [source]
+        for i in line:
+            for e in out[i]:
+                if room[e] > least and depth[to[e]] < 0:
+                    depth[to[e]] = depth[i] + 1
+                    line.append(to[e])
+        return depth
+
+    while (depth := levels())[sink] >= 0:
+        turn = [0] * (n + 2)
+        way: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                flow = min(room[e] for e in way)
+                for e in way:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                cut = next(k for k, e in enumerate(way) if room[e] <= least)
+                at = to[way[cut] ^ 1]
+                del way[cut:]
+                continue
+            while turn[at] < len(out[at]) and not (room[out[at][turn[at]]] > least and depth[to[out[at][turn[at]]]] == depth[at] + 1):
+                turn[at] += 1
+            if turn[at] < len(out[at]):
+                way.append(out[at][turn[at]])
+                at = to[way[-1]]
+            elif way:
+                at = to[way.pop() ^ 1]
+                turn[at] += 1
+            else:
+                break
+    depth = levels()
+    return np.array([0 if depth[i] >= 0 else 1 for i in range(n)])
+
+
+def smooth(costs: DataFrame, edges: DataFrame, strength: float, exact: int = EXACT) -> DataFrame:
+    """pid and label (1 wood) of least energy. ``edges`` hold each pair both ways.
+
+    Components of ``exact`` points at most get their minimal cut, which is the least energy there is; a larger one isn't handed to one
+    task but improved by :func:`sweeps` to a local minimum. Ties fall either way.
+    """
+    links = edges.where((F.col("w") > 0) & (F.col("src") < F.col("dst")))
+    parts = stage(costs.join(connected_components(links, costs), "pid"), "parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > exact).select("component")
+    few = parts.join(large, "component", "left_anti")
+    inner = links.join(few.select(F.col("pid").alias("src"), F.col("component").alias("part")), "src").select("part", "src", "dst", "w")
+
+    def cut(points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pids = np.sort(points.pid.to_numpy())
+        own = points.set_index("pid").loc[pids]
+        a, b = (np.searchsorted(pids, pairs[c].to_numpy()) for c in ("src", "dst"))
+        labels = minimal_cut(own.u0.to_numpy(), own.u1.to_numpy(), a, b, strength * pairs.w.to_numpy())
+        return pd.DataFrame({"pid": pids, "label": labels.astype(np.int32)})
+
+    done = few.groupBy("component").cogroup(inner.groupBy("part")).applyInPandas(cut, "pid long, label int")
+    if large.isEmpty():
+        return done
+    many = parts.join(large, "component").select("pid", "u0", "u1")
+    return done.unionByName(sweeps(many, edges.join(many.select(F.col("pid").alias("src")), "src", "left_semi"), strength))
+
+
+def sweeps(costs: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
     """pid and label (1 wood) after sweeps of local moves from the cheaper unary label; every sweep lowers the energy, until no point wants to move.
 
     In a sweep a point moves if that lowers the energy and no neighbour with a smaller hash wants to move too, so moves never meet. The result is a local
-    minimum (``edges`` hold each pair both ways); a global min-cut would hand a component as a whole to one task.
+    minimum (``edges`` hold each pair both ways).
     """
     labels = stage(costs.select("pid", (F.col("u1") < F.col("u0")).cast("int").alias("label")), "labels")
     while True:  # the energy falls with each sweep, so none comes back

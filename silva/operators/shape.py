@@ -12,8 +12,8 @@ from . import neighbors
 from .tables import stage
 
 PAIRS = ("xx", "yy", "zz", "xy", "xz", "yz")
-#: Points of one cluster that a hull or a cylinder is computed from at most in one task; more are thinned by voxels first by the caller.
-FITTED = 200_000
+#: Points whose hull one task computes at most, unless they are all vertices of the hulls of smaller parts already.
+HULL_POINTS = 50_000
 
 
 def covariances(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,60 +70,106 @@ def hull_vertices(xyz: np.ndarray) -> np.ndarray:
     if np.abs(height[d]) <= 1e-9 * span**3:
         return everything
     inner = xyz[[a, b, c, d]].mean(axis=0)
-
-    def facet(i: int, j: int, k: int) -> tuple[tuple[int, int, int], np.ndarray, float]:
-        out = np.cross(xyz[j] - xyz[i], xyz[k] - xyz[i])
-        if out @ (inner - xyz[i]) > 0:
-            return facet(i, k, j)
-        return (i, j, k), out, float(out @ xyz[i])
-
-    facets = [facet(a, b, c), facet(a, b, d), facet(a, c, d), facet(b, c, d)]
     slack = 1e-12 * span**3
-    for p in everything:
-        seen = [f for f in facets if f[1] @ xyz[p] - f[2] > slack]
-        if seen:
-            edges = {(f[0][s], f[0][(s + 1) % 3]) for f in seen for s in range(3)}
-            rim = [e for e in edges if (e[1], e[0]) not in edges]
-            hidden = {f[0] for f in seen}
-            facets = [f for f in facets if f[0] not in hidden] + [facet(i, j, int(p)) for i, j in rim]
-    return np.array(sorted({i for f in facets for i in f[0]}))
+
+    def facets(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corners turned so that normals point outwards, normals, offsets."""
+        p, q, r = (xyz[corners[:, k]] for k in range(3))
+        out = np.cross(q - p, r - p)
+        turned = ((inner - p) * out).sum(axis=1) > 0
+        corners = np.where(turned[:, None], corners[:, [0, 2, 1]], corners)
+        out = np.where(turned[:, None], -out, out)
+        return corners, out, (out * p).sum(axis=1)
+
+    corners, normals_, offsets = facets(np.array([[a, b, c], [a, b, d], [a, c, d], [b, c, d]]))
+    alive = np.ones(4, dtype=bool)
+    over = np.full(n, -1)  # a facet that the point is above; -1 for points inside
+
+    def settle(points: np.ndarray, first: int) -> None:
+        """Put points over the facet from ``first`` on that they are highest above; those above none are inside for good."""
+        above = xyz[points] @ normals_[first:].T - offsets[first:]
+        best = np.argmax(above, axis=1)
+        over[points] = np.where(above[np.arange(len(points)), best] > slack, best + first, -1)
+
+    settle(everything, 0)
+    facet = 0
+    while facet < len(alive):
+        mine = np.flatnonzero(over == facet) if alive[facet] else everything[:0]
+        if not len(mine):
+            facet += 1
+            continue
+        p = int(mine[np.argmax(xyz[mine] @ normals_[facet])])  # the farthest above a facet is a vertex
+        seen = np.flatnonzero(alive & (normals_ @ xyz[p] - offsets > slack))
+        edges = {(int(f[s]), int(f[(s + 1) % 3])) for f in corners[seen] for s in range(3)}
+        new = facets(np.array([[i, j, p] for i, j in edges if (j, i) not in edges]))
+        loose = np.flatnonzero(np.isin(over, seen))
+        first = len(alive)
+        alive[seen] = False
+        corners, normals_, offsets = (np.concatenate((old, more)) for old, more in zip((corners, normals_, offsets), new))
+        alive = np.append(alive, np.ones(len(new[2]), dtype=bool))
+        settle(loose[loose != p], first)
+        over[p] = -1
+    return np.unique(corners[alive])
 
 
 def convex_hulls(points: DataFrame, cluster: str = "clstr") -> DataFrame:
-    """The rows of ``points`` that are vertices of the hull of their cluster. Points inside the box of the six extreme directions' octahedron can't be vertices and go first."""
+    """The rows of ``points`` that are vertices of the hull of their cluster.
+
+    A part's own hull keeps every vertex of the whole. So clusters of more than HULL_POINTS are cut into parts and left with the vertices of these, and
+    again, as long as that takes points away; then no task meets a large cluster whole, unless nearly all its points are vertices.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.iloc[hull_vertices(rows[["x", "y", "z"]].to_numpy(dtype=float))]
 
-    # a cell's own hull keeps every vertex of the whole, so hulls of cells come first and no task meets a whole large cluster
-    cell = F.struct(*[F.floor(F.col(a)).alias(a) for a in "xyz"])
-    parts = points.withColumn("_cell", F.xxhash64(cluster, cell))
-
     def part(rows: pd.DataFrame) -> pd.DataFrame:
-        return run(rows).drop(columns="_cell")
-
-    kept = parts.groupBy(cluster, "_cell").applyInPandas(part, points.schema)
-    return kept.groupBy(cluster).applyInPandas(run, points.schema)
+        return run(rows).drop(columns="_part")
+
+    while True:
+        sizes = points.groupBy(F.col(cluster).alias("_c")).agg(F.count("*").alias("_n")).where(F.col("_n") > HULL_POINTS)
+        large = sizes.agg(F.count("*"), F.sum("_n")).first()
+        if not large[0]:
+            break
+        met = points.join(sizes, F.col(cluster).eqNullSafe(F.col("_c")), "left")
+        split = met.where("_n is not null").withColumn("_part", F.pmod(F.xxhash64("x", "y", "z"), F.ceil(2 * F.col("_n") / HULL_POINTS))).drop("_c", "_n")
+        kept = stage(split.groupBy(cluster, "_part").applyInPandas(part, points.schema), "hulls")
+        points = met.where("_n is null").select(*points.columns).unionByName(kept)
+        if kept.count() > 0.9 * large[1]:
+            break
+    return points.groupBy(cluster).applyInPandas(run, points.schema)
+
+
+def _squares(xyz: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of points from the axis of a cylinder, and the derivatives of squared distance less squared radius by its five parameters.
+
+    Parameters: where the axis meets z = 0, its slopes in x and y, the squared radius. The axis has the unit direction d = (slopes, 1) / length, and
+    a point w away from its foot is |w|^2 - (w d)^2 from it, squared.
+    """
+    slope = np.array([p[2], p[3], 1.0])
+    length = np.sqrt(slope @ slope)
+    d = slope / length
+    w = xyz - np.array([p[0], p[1], 0.0])
+    along = w @ d
+    by_foot = -2 * (w - along[:, None] * d)[:, :2]
+    by_slope = -2 * along[:, None] * (w - along[:, None] * d)[:, :2] / length
+    return (w * w).sum(axis=1) - along * along, np.column_stack([by_foot, by_slope, -np.ones(len(xyz))])
 
 
-def _fit(xyz: np.ndarray, start: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Centre, tilts and squared radius of a cylinder by damped least squares on the squared radial distance."""
+def _damped(normal: np.ndarray, gradient: np.ndarray, damp: float) -> np.ndarray:
+    return np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), -gradient, rcond=None)[0]
 
-    def residual(p: np.ndarray) -> np.ndarray:
-        xc, yc, alpha, beta, r2 = p
-        u = -np.cos(beta) * (xc - xyz[:, 0]) - xyz[:, 2] * np.cos(alpha) * np.sin(beta) - np.sin(alpha) * np.sin(beta) * (yc - xyz[:, 1])
-        v = xyz[:, 2] * np.sin(alpha) - np.cos(alpha) * (yc - xyz[:, 1])
-        return u * u + v * v - r2
 
+def _fit(xyz: np.ndarray, start: np.ndarray, steps: int = 60) -> np.ndarray:
+    """The parameters of a cylinder by damped least squares on squared distance less squared radius."""
     p, damp = start.astype(float), 1e-3
-    r = residual(p)
+    square, jac = _squares(xyz, p)
+    r = square - p[4]
     for _ in range(steps):
-        jac = np.stack([(residual(p + h) - r) / 1e-6 for h in np.eye(5) * 1e-6], axis=1)
-        normal, gradient = jac.T @ jac, jac.T @ r
-        step = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), -gradient, rcond=None)[0]
-        after = residual(p + step)
+        step = _damped(jac.T @ jac, jac.T @ r, damp)
+        square, slopes = _squares(xyz, p + step)
+        after = square - (p + step)[4]
         if after @ after < r @ r:
-            p, r, damp = p + step, after, damp / 3
+            p, r, jac, damp = p + step, after, slopes, damp / 3
             if np.abs(step).max() < 1e-10:
                 break
         else:
@@ -146,25 +192,18 @@ def cylinder(xyz: np.ndarray, seed: int, tries: int = 100) -> tuple[float, np.nd
         radius = np.sqrt(max(p[4], 0.0))
         if not radius or np.abs(p[:2]).max() > 1.05 * radius:
             continue
-        away = np.sqrt(np.maximum(_radial(centred, p), 0)) / radius
+        away = np.sqrt(np.maximum(_squares(centred, p)[0], 0)) / radius
         inside = (away >= 0.8) & (away <= 1.2)
         if inside.sum() < 0.2 * len(centred):
             continue
         p = _fit(centred[inside], p, 20)
-        away = np.sqrt(np.maximum(_radial(centred[inside], p), 0))
+        away = np.sqrt(np.maximum(_squares(centred[inside], p)[0], 0))
         cv = float(away.std() / away.mean()) if away.mean() else float("inf")
         if p[4] > 0 and cv < best[2]:
             best = (float(np.sqrt(p[4])), mean + np.array([p[0], p[1], 0.0]), cv)
     return best
 
 
-def _radial(xyz: np.ndarray, p: np.ndarray) -> np.ndarray:
-    xc, yc, alpha, beta, _ = p
-    u = -np.cos(beta) * (xc - xyz[:, 0]) - xyz[:, 2] * np.cos(alpha) * np.sin(beta) - np.sin(alpha) * np.sin(beta) * (yc - xyz[:, 1])
-    v = xyz[:, 2] * np.sin(alpha) - np.cos(alpha) * (yc - xyz[:, 1])
-    return u * u + v * v
-
-
 def fit_cylinders(points: DataFrame, cluster: str = "clstr", tries: int = 100, at_most: int = 20_000) -> DataFrame:
     """clstr, radius (null if none is found), x, y, z, cv, cnt per cluster. A try samples 20 points; inliers, the fit to them and cv take all points.
 
@@ -224,11 +263,10 @@ def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: i
                 for own, sums in zip(np.asarray(flat, dtype=float).reshape(tries, _STATE), out):
                     if not own[_LIVE]:
                         continue
-                    away = np.sqrt(np.maximum(_radial(xyz, own[_FIRST]), 0)) / np.sqrt(own[_FIRST][4])
+                    away = np.sqrt(np.maximum(_squares(xyz, own[_FIRST])[0], 0)) / np.sqrt(own[_FIRST][4])
                     inside, p = xyz[(away >= 0.8) & (away <= 1.2)], own[_TRIED]
-                    square = _radial(inside, p)
+                    square, jac = _squares(inside, p)
                     r, away = square - p[4], np.sqrt(np.maximum(square, 0))
-                    jac = np.stack([(_radial(inside, p + h) - (p + h)[4] - r) / 1e-6 for h in np.eye(5) * 1e-6], axis=1)
                     sums[:4] = len(inside), r @ r, away.sum(), away @ away
                     sums[4:9], sums[9:] = jac.T @ r, (jac.T @ jac).ravel()
                 found.append(out.ravel().tolist())
@@ -254,7 +292,7 @@ def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: i
                             own[_LIVE] = own[_DAMP] <= 1e12
                         if own[_LIVE]:
                             gradient, normal = own[_SUMS][4:9], own[_SUMS][9:].reshape(5, 5)
-                            own[_TRIED] = own[_BEST] + np.linalg.lstsq(normal + own[_DAMP] * np.diag(np.diag(normal) + 1e-12), -gradient, rcond=None)[0]
+                            own[_TRIED] = own[_BEST] + _damped(normal, gradient, own[_DAMP])
                         elif first:
                             own[_SUMS] = 0  # too few inliers: no candidate
                     states.append(state.ravel().tolist())
@@ -291,9 +329,9 @@ def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: i
     return best.join(middle, F.col("clstr").eqNullSafe(F.col("c"))).select("clstr", "radius", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"), F.col("mz").alias("z"), "cv", "cnt")
 
 
-def stem_nodes(cylinders: DataFrame, radius: float = 0.025, count: int = 200, cv: float = 0.15) -> DataFrame:
-    """Cylinders that are thick, well covered and even enough to be stems."""
-    return cylinders.where((F.col("radius") > radius) & (F.col("cnt") > count) & (F.col("cv") <= cv))
+def is_stem(radius: float = 0.025, count: int = 200, cv: float = 0.15) -> Column:
+    """Whether a cylinder is thick, full and even enough for a stem."""
+    return (F.col("radius") > radius) & (F.col("cnt") > count) & (F.col("cv") <= cv)
 
 
 def branch_class(base: Column, comp: Column, cut: Column, study: Column, goes_on: Column) -> tuple[Column, Column]:

@@ -515,20 +515,38 @@ def _relabel(spark, d):
     return terrain.relabel_ground(views.orders(spark, d).withColumn("n_z", F.col("z")), 0, 0.5).select("pid", "label")
 
 
-@query("normals")
+NORMALS = "own AS (SELECT src, x, y, z FROM (SELECT a.pid AS src, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.pid) AS k FROM embed a, embed b) WHERE k <= 10), mid AS (SELECT src, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM own GROUP BY src), cov AS (SELECT src, sum((x - mx) * (x - mx)) / 9 AS xx, sum((y - my) * (y - my)) / 9 AS yy, sum((z - mz) * (z - mz)) / 9 AS zz, sum((x - mx) * (y - my)) / 9 AS xy, sum((x - mx) * (z - mz)) / 9 AS xz, sum((y - my) * (z - mz)) / 9 AS yz FROM own JOIN mid USING (src) GROUP BY src), q AS (SELECT *, (xx + yy + zz) / 3 AS m FROM cov), p AS (SELECT *, sqrt(((xx - m) * (xx - m) + (yy - m) * (yy - m) + (zz - m) * (zz - m) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q), r AS (SELECT *, ((xx - m) * ((yy - m) * (zz - m) - yz * yz) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * p * p * p) AS h FROM p), e AS (SELECT *, m + 2 * p * cos(acos(h) / 3 + 2 * pi() / 3) AS l FROM r), v AS (SELECT src, xy * yz - xz * (yy - l) AS a, xz * xy - (xx - l) * yz AS b, (xx - l) * (yy - l) - xy * xy AS c FROM e)"
+
+
+@query("normals", f"{_with(NORMALS)} SELECT src AS pid, round(abs(c) / sqrt(a * a + b * b + c * c), 4) AS nz FROM v")
 def _normals(spark, d):
-    return _rounded(shape.normals(views.embed(spark, d)), "nz")
+    return _rounded(shape.normals(views.embed(spark, d)), "nz", places=4)
+
 
+COVER = "ball AS (SELECT a.pid AS src, b.pid AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM embed a, embed b), able AS (SELECT src AS pid, row_number() OVER (ORDER BY src) AS n FROM ball WHERE d2 < 0.12::DOUBLE * 0.12::DOUBLE GROUP BY src HAVING count(*) >= 3), near AS (SELECT src, list(dst) AS own FROM ball WHERE src <> dst AND d2 < 0.1::DOUBLE * 0.1::DOUBLE GROUP BY src), g(n, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.n, CASE WHEN list_has_any(seeds, coalesce(own, []::BIGINT[])) THEN seeds ELSE list_append(seeds, s.pid) END FROM g JOIN able s ON s.n = g.n + 1 LEFT JOIN near ON near.src = s.pid), seed AS (SELECT unnest(seeds) AS pid FROM g WHERE n = (SELECT max(n) FROM g)), cover AS (SELECT dst AS pid, src AS center_pid, d2 FROM ball JOIN seed ON src = seed.pid WHERE d2 < 0.12::DOUBLE * 0.12::DOUBLE QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d2, src) = 1)"
 
-@query("cover_sets")
+
+@query("cover_sets", f"{_with(COVER)} SELECT pid, center_pid, round(d2, 6) AS d2 FROM cover")
 def _cover_sets(spark, d):
-    return cluster.cover_sets(views.embed(spark, d), 0.1, 0.12, 3)
+    return _rounded(cluster.cover_sets(views.embed(spark, d), 0.1, 0.12, 3, order="pid"), "d2")
 
 
-@query("cover_neighbours")
+@query("cover_neighbours", f"{_with(COVER, 'touch AS (SELECT DISTINCT src AS a, center_pid AS b FROM ball JOIN (SELECT DISTINCT center_pid AS s FROM cover) ON src = s JOIN cover ON cover.pid = dst WHERE ball.d2 < 0.12::DOUBLE * 0.12::DOUBLE AND src <> center_pid)')} SELECT a AS set_id, b AS nbr_id FROM touch UNION SELECT b, a FROM touch")
 def _cover_neighbours(spark, d):
     p = views.embed(spark, d)
-    return cluster.cover_neighbours(p, cluster.cover_sets(p, 0.1, 0.12, 3), 0.12)
+    return cluster.cover_neighbours(p, cluster.cover_sets(p, 0.1, 0.12, 3, order="pid"), 0.12)
+
+
+@query("radius_by_row", f"{_with()} SELECT a.pid AS src, b.pid AS dst, round({D2}, 6) AS d2 FROM (SELECT *, 0.02::DOUBLE + (pid % 5) / 50::DOUBLE AS r FROM embed) a JOIN embed b ON {D2} < a.r * a.r")
+def _radius_by_row(spark, d):
+    p = views.embed(spark, d)
+    return _rounded(neighbors.radius_join_by_row(p.withColumn("r", 0.02 + (F.col("pid") % 5) / 50.0), p, "r"), "d2")
+
+
+@query("stem_acceptance", "SELECT p_partkey AS clstr, (p_size / 500::DOUBLE > 0.025 AND p_retailprice > 1200 AND p_partkey % 40 / 100::DOUBLE <= 0.15) AS accepted FROM part")
+def _stem_acceptance(spark, d):
+    part = views.table(spark, d, "part").select(F.col("p_partkey").alias("clstr"), (F.col("p_size") / 500.0).alias("radius"), F.col("p_retailprice").alias("cnt"), (F.col("p_partkey") % 40 / 100.0).alias("cv"))
+    return part.select("clstr", shape.is_stem(0.025, 1200, 0.15).alias("accepted"))
 
 
 @query("convex_hull")
@@ -552,7 +570,23 @@ def _wood_leaf(spark, d):
     return pipelines.wood_leaf(views.embed(spark, d).select("pid", "x", "y", "z"))
 
 
+STEMS = pipelines.Stems(slice_height=0.05, eps=0.12, at_least=4, more_than=20, k=20, longest=0.3, stem_height=0.0, stem_thickness=0.05, stem_eps=0.1, stem_at_least=5, stem_radius=0.001, stem_points=5, stem_cv=10.0)
+
+
+def _forest(spark, d):
+    return views.embed(spark, d).withColumns({"n_z": F.col("z"), "label": F.lit(3)})
+
+
+@query("find_stems")
+def _find_stems(spark, d):
+    return pipelines.find_stems(pipelines.wood_clusters(_forest(spark, d), STEMS), STEMS)
+
+
 @query("separate_trees_pipeline")
 def _separate(spark, d):
-    cloud = views.embed(spark, d).withColumn("n_z", F.col("z") * 10 + 2)
-    return pipelines.separate_trees(cloud, pipelines.Stems(slice_height=1.0, eps=0.12, at_least=4, more_than=20, k=20, longest=0.3))
+    return pipelines.separate_trees(_forest(spark, d), STEMS)[0]
+
+
+@query("filter_pipeline")
+def _filtered(spark, d):
+    return pipelines.filtered(views.embed(spark, d), radius=0.05, sets=3, size=0.02)

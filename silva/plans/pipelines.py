@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import argmax, diameter_class, floor_index
+from ..functions.expr import argmax, colour, diameter_class, floor_index
 from ..operators import cluster, graph, neighbors, regularize, shape, terrain, voxel
 from ..operators.tables import stage
 
@@ -26,7 +26,15 @@ class Stems:
     more_than: int = 200
     k: int = 200
     longest: float = 1.0
-    stem_height: float = 2.0
+    stem_height: float = 1.5
+    stem_thickness: float = 0.5
+    stem_eps: float = 0.2
+    stem_at_least: int = 50
+    stem_radius: float = 0.025
+    stem_points: int = 200
+    stem_cv: float = 0.15
+    longest_path: float = float("inf")
+    points_per_tree: int = 0
     wood_label: int = 3
 
 
@@ -65,35 +73,118 @@ def classify(points: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
     return terrain.relabel_ground(terrain.normalise(back, F.col("label") == 0), 0, ground_height)
 
 
-def skeleton(points: DataFrame, p: Stems = Stems()) -> DataFrame:
-    """Hull points of the clusters of each slice of the wood: pid, x, y, z, n_z, n_slice, clstr."""
+def wood_clusters(points: DataFrame, p: Stems = Stems()) -> DataFrame:
+    """The wood with its slice and its cluster within the slice: n_slice, clstr (-1 outside clusters)."""
     wood = points.where(F.col("label") == p.wood_label).withColumn("n_slice", floor_index("n_z", p.slice_height))
-    clustered = cluster.slice_clusters(wood, p.eps, p.at_least, p.more_than).where("clstr >= 0")
-    return shape.convex_hulls(clustered.select("pid", "x", "y", "z", "n_z", "n_slice", "clstr"))
+    return cluster.slice_clusters(wood, p.eps, p.at_least, p.more_than).select("pid", "x", "y", "z", "n_z", "n_slice", "clstr")
 
 
-def separate_trees(points: DataFrame, p: Stems = Stems()) -> DataFrame:
-    """clstr, t_clstr, distance, is_tip: clusters of the wood with the stem cluster that the shortest path leads to.
+def medians(clustered: DataFrame) -> DataFrame:
+    """One node per cluster: clstr, the medians x, y, z, n_z, and n_slice."""
+    return clustered.where("clstr >= 0").groupBy("clstr").agg(*[F.median(c).alias(c) for c in ("x", "y", "z", "n_z")], F.min("n_slice").alias("n_slice"))
 
-    Stems are the clusters of the slice at stem height; clusters no path reaches are absent. No wood gives no rows.
+
+def find_stems(clustered: DataFrame, p: Stems = Stems()) -> DataFrame:
+    """Cylinders of clusters at stem height: clstr, radius, x, y, z, cv, cnt, accepted.
+
+    The points of all clusters in the slices from stem_height to stem_thickness above lose their noise by a quantile, and clusters of the rest on the plan join
+    what belongs to one stem; each is named after its smallest slice cluster, and gets a cylinder. Those thick, even and full enough are accepted. Ten points or
+    fewer give none.
     """
-    hulls = stage(skeleton(points, p), "skeleton")
-    level = floor_index(F.lit(p.stem_height), p.slice_height)
-    stems = hulls.where(F.col("n_slice") == level).select("clstr").distinct()
+    low, high = floor_index(F.lit(p.stem_height), p.slice_height), floor_index(F.lit(p.stem_height + p.stem_thickness), p.slice_height) + 1
+    level = clustered.where((F.col("clstr") >= 0) & F.col("n_slice").between(low, high))
+    level = stage(neighbors.quantile_cut(level, 10, 0.9).drop("nn"), "level")
+    flat = cluster.dbscan(level, p.stem_eps, p.stem_at_least, flat=True).withColumnRenamed("clstr", "stem")
+    stems = level.join(flat, "pid")
+    names = stems.groupBy("stem").agg(F.min("clstr").alias("name"))
+    named = stage(stems.join(names, "stem").select(F.col("name").alias("clstr"), "pid", "x", "y", "z"), "stems")
+    if named.limit(11).count() <= 10:
+        named = named.limit(0)
+    fitted = shape.fit_cylinders(named)
+    accepted = shape.is_stem(p.stem_radius, p.stem_points, p.stem_cv)
+    return stage(fitted.withColumn("accepted", F.coalesce(accepted, F.lit(False))), "cylinders")
+
+
+def separate_trees(points: DataFrame, p: Stems = Stems()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trees, cylinders, hulls) of a labelled cloud (pid, x, y, z, n_z, label).
+
+    trees: the clustered wood with t_clstr, the stem cluster that its shortest path leads to, distance, is_tip and a colour; points that no
+    path reaches have null there, and trees of points_per_tree points or fewer are absent. cylinders: as :func:`find_stems`. hulls: hull points of the clusters. No wood gives no rows.
+    """
+    clustered = stage(wood_clusters(points, p), "clustered")
+    cylinders = find_stems(clustered, p)
+    hulls = stage(shape.convex_hulls(clustered.where("clstr >= 0")), "hulls")
     edges = stage(graph.cluster_edges(hulls, p.k, p.longest), "edges")
-    return graph.best_path(graph.shortest_paths(edges, stems))
+    paths = graph.best_path(graph.shortest_paths(edges, cylinders.where("accepted").select("clstr"))).where(F.col("distance") <= p.longest_path)
+    named = clustered.where("clstr >= 0").join(paths, "clstr", "left")
+    kept = named.groupBy(F.col("t_clstr").alias("_t")).agg(F.count("*").alias("_n")).where(F.col("_n") > p.points_per_tree)
+    trees = named.join(kept.select("_t"), F.col("t_clstr").eqNullSafe(F.col("_t")), "left_semi")
+    red, green, blue = colour(F.col("t_clstr"))
+    return stage(trees.select("*", red, green, blue), "trees"), cylinders, hulls
+
+
+def numbered_trees(trees: DataFrame, cylinders: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """The points of ``trees`` with tree, from 1 by descending stem radius, and diameter_class; only stems inside ``box`` (x and y from, to) if one is given."""
+    stems = cylinders.where("accepted").select(F.col("clstr").alias("t_clstr"), "radius", "x", "y")
+    if box:
+        stems = stems.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
+    there = trees.select("t_clstr").distinct()
+    return trees.join(number_trees(stems.drop("x", "y").join(there, "t_clstr", "left_semi")), "t_clstr")
 
 
 def attach_leaves(leaves: DataFrame, hulls: DataFrame, paths: DataFrame, voxel_size: float = 0.5, k: int = 20, longest: float = 1.0, least_height: float = 1.5) -> DataFrame:
-    """``leaves`` (pid, x, y, z, n_z) with t_clstr, the tree that the shortest path from a branch tip through leaf voxels leads to; null where none does."""
+    """``leaves`` (pid, x, y, z, n_z) with t_clstr, the tree that the shortest path from a branch tip through leaf voxels leads to, and that distance; null where none does.
+
+    ``paths``: clstr, t_clstr, is_tip of clusters. Of the hull points of tips above ``least_height`` only those stay that are one of the two nearest of a leaf voxel's face point.
+    """
     cells = voxel.voxelise(leaves, voxel_size).withColumn("vx", F.xxhash64("ix", "iy", "iz"))
-    faces = face_points(cells, ["vx"])
-    tips = paths.where("is_tip").select("clstr", "t_clstr")
-    ends = hulls.join(tips, "clstr").where(F.col("n_z") > least_height).select(F.col("clstr").alias("node"), "x", "y", "z")
-    both = stage(faces.select(F.col("vx").alias("node"), "x", "y", "z").unionByName(ends).withColumn("pid", F.monotonically_increasing_id()).withColumnRenamed("node", "clstr"), "leaf-nodes")
-    reached = graph.best_path(graph.shortest_paths(graph.cluster_edges(both, k, longest), tips.select("clstr")).where("distance > 0"))
-    trees = reached.join(tips.select(F.col("clstr").alias("t"), F.col("t_clstr").alias("tree")), reached.t_clstr == F.col("t")).select(F.col("clstr").alias("vx"), F.col("tree").alias("t_clstr"))
-    return cells.join(trees, "vx", "left").select(*leaves.columns, "t_clstr")
+    faces = face_points(cells, ["vx"]).select(F.lit(True).alias("leaf"), F.col("vx").alias("clstr"), "x", "y", "z")
+    tips = stage(paths.where("is_tip and t_clstr is not null").select("clstr", "t_clstr"), "tips")
+    ends = hulls.join(tips, "clstr").where(F.col("n_z") > least_height).select(F.lit(False).alias("leaf"), "clstr", "x", "y", "z")
+    both = stage(faces.unionByName(ends).withColumn("pid", F.monotonically_increasing_id()), "leaf-nodes")
+    near = neighbors.knn(both.where("leaf"), both, 2).select(F.col("dst").alias("pid")).distinct()
+    kept = stage(both.where("leaf").unionByName(both.where("not leaf").join(near, "pid", "left_semi")), "leaf-graph")
+    entries = kept.where("not leaf").select("clstr").distinct()
+    reached = graph.best_path(graph.shortest_paths(graph.cluster_edges(kept, k, longest), entries)).where("distance > 0")
+    trees = reached.join(tips.select(F.col("clstr").alias("t"), F.col("t_clstr").alias("tree")), reached.t_clstr == F.col("t")).select(F.col("clstr").alias("vx"), F.col("tree").alias("t_clstr"), "distance")
+    return cells.join(trees, "vx", "left").select(*leaves.columns, "t_clstr", "distance")
+
+
+def with_leaves(trees: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Wood and attached leaves in one cloud without repeated rows: wood is 1 or 0, leaves have the brighter colour of their tree."""
+    red, green, blue = colour(F.col("t_clstr"), 1.2)
+    green_ones = leaves.where("t_clstr is not null").select(*[c for c in leaves.columns if c not in ("red", "green", "blue")], red, green, blue, F.lit(0).alias("wood"))
+    return trees.withColumn("wood", F.lit(1)).unionByName(green_ones, allowMissingColumns=True).dropDuplicates()
+
+
+def write_trees(points: DataFrame, path: str, by_diameter: bool = False) -> None:
+    """One folder per tree, of :func:`numbered_trees`, within one per diameter class if asked for."""
+    folders = (["diameter_class"] if by_diameter else []) + ["tree"]
+    points.repartition(*[F.col(f) for f in folders]).write.mode("overwrite").partitionBy(*folders).parquet(path)
+
+
+def filtered(points: DataFrame, k: int = 10, k_sigmas: float = 1.5, radius: float = 0.1, sigmas: float = 1.5, patch: float = 0.1, ball: float = 0.11, sets: int = 10, size: float | None = None) -> DataFrame:
+    """pid and kept of all points: what passes, in this order, the finite coordinates, the kth distance, the density, the size of the component, and the thinning to one point a cube.
+
+    A component is one of cover sets that touch, and passes with ``sets`` of them. No ``size``, no thinning.
+    """
+    sound = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z"))
+    dense = stage(neighbors.knn_outliers(sound, k, k_sigmas).select("pid", "x", "y", "z"), "filter")
+    dense = stage(neighbors.density_outliers(dense, radius, sigmas).select("pid", "x", "y", "z"), "filter")
+    dense = stage(large_components(dense, patch, ball, sets), "filter")
+    if size is not None:
+        dense = voxel.downsample_cubes(dense, size)
+    return points.select("pid").join(dense.select("pid", F.lit(True).alias("kept")), "pid", "left").select("pid", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def large_components(points: DataFrame, patch: float, ball: float, sets: int, at_least: int = 3) -> DataFrame:
+    """The rows of ``points`` in cover sets whose component, by sets that touch, has ``sets`` of them."""
+    cover = stage(cluster.cover_sets(points, patch, ball, at_least), "cover")
+    touch = cluster.cover_neighbours(points, cover, ball).select(F.col("set_id").alias("src"), F.col("nbr_id").alias("dst"))
+    parts = graph.connected_components(touch, cover.select(F.col("center_pid").alias("pid")).distinct())
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= sets)
+    inside = parts.join(large, "component", "left_semi").select(F.col("pid").alias("center_pid"))
+    return points.join(cover.join(inside, "center_pid", "left_semi").select("pid"), "pid", "left_semi")
 
 
 def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength: float = 0.5, rounds: int = 10, split_above: int = 10) -> DataFrame:
