@@ -19,10 +19,10 @@ the diagonal than that count are outside the band and never matter.
 Groups. Texts with equal words are one node from the start, numbered once. A bucket then links each node to the bucket's
 smallest one, not to all others; only pairs that still lie in one bucket but different components are
 compared in the last round, so no link found by any bucket is lost and no bucket is expanded
-into all its pairs. Buckets that are still large then (texts that share a passage, say) aren't compared whole: their members
-meet again by prefixes, which loses none of their near pairs. Should one of those be large too, it is compared in
-blocks, and a pair goes on only if its counts of shingles by hash prefix allow the threshold: the sum of their
-differences never exceeds the number of shingles that the pair doesn't share.
+into all its pairs. Large buckets are compared there in blocks, and a pair goes on only if its
+counts of shingles by hash prefix allow the threshold: the sum of their differences never exceeds
+the number of shingles that the pair doesn't share. The members of buckets beyond CROWD (texts that share a passage, say)
+meet again by prefixes instead, which loses none of their near pairs either.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ SKETCHES = 32
 PICKS = 6
 #: Open buckets of more members than FEW are compared in blocks of at most BLOCK.
 FEW, BLOCK = 16, 512
+#: Members of an open bucket beyond which prefixes split it.
+CROWD = 8192
 #: Counts of shingles by hash that a document in such a block carries, and the coarser ones that are tried first.
 BINS, FEWER = 1024, 256
 #: Members of one bucket that may share a hub; larger buckets have several, joined in the next round.
@@ -316,12 +318,15 @@ def near_duplicates(
         return left.join(right, ["j", "value"]).where(alike).select("a", "b")
 
     found = open_buckets(members)
-    crowd = shingles.join(found.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi")
-    rarest = stage(prefixes(labelled(crowd), least), "prefixes")
-    again = open_buckets(rarest.withColumn("j", F.lit(-2)))
-    bins = binned(crowd.join(again.where(F.col("many") > FEW).select("id").distinct(), "id", "left_semi"))
+    crowd = shingles.join(found.where(F.col("many") > CROWD).select("id").distinct(), "id", "left_semi")
+    again, rarest = found.limit(0), found.limit(0)
+    if (found.agg(F.max("many")).first()[0] or 0) > CROWD:
+        rarest = stage(prefixes(labelled(crowd), least), "prefixes")
+        again = open_buckets(rarest.withColumn("j", F.lit(-2)))
+    whole = found.where((F.col("many") > FEW) & (F.col("many") <= CROWD)).unionByName(again.where(F.col("many") > FEW))
+    bins = binned(shingles.join(whole.select("id").distinct(), "id", "left_semi"))
     parts = F.ceil(F.col("many") / BLOCK)
-    blocks = again.where(F.col("many") > FEW).withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
+    blocks = whole.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(bins, "id")
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     pairs = few_pairs(found).unionByName(few_pairs(again)).unionByName(blocks.groupBy("j", "value", "p", "q").applyInPandas(_block_pairs(least), "a long, b long"))
     pairs = pairs.select("a", "b").distinct().join(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
