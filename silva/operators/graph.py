@@ -84,20 +84,21 @@ def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """clstr, distance, t_clstr (the origin), is_tip (no shortest path goes on from there) of every cluster that origins reach.
 
     ``edges``: source, target, length; ``origins``: clstr. Origins without an edge of their own are left out. Equal distances go to the smaller
-    origin, then predecessor. Rounds of relaxation until nothing changes, each written to the shared folder.
+    origin, then predecessor. Rounds of relaxation from what the round before changed, each written to the shared folder.
     """
     one = undirected(edges)
     links = stage(one.select(F.col("a").alias("u"), F.col("b").alias("v"), "length").unionByName(one.select(F.col("b").alias("u"), F.col("a").alias("v"), "length")), "roads")
     starts = origins.select("clstr").distinct().join(edges.select(F.col("source").alias("clstr")).distinct(), "clstr", "left_semi")
     best = stage(starts.select("clstr", F.struct(F.lit(0.0).alias("distance"), F.col("clstr").alias("t_clstr"), F.lit(None).cast("long").alias("pred")).alias("s")), "paths")
-    before = None
+    changed = best
     while True:
-        now = best.agg(F.count("*"), F.sum(F.xxhash64("clstr", "s").cast("decimal(38,0)"))).first()
-        if now == before:
+        # only what the last round changed goes on
+        step = changed.join(links, changed.clstr == links.u).select(F.col("v").alias("clstr"), F.struct((F.col("s.distance") + F.col("length")).alias("distance"), F.col("s.t_clstr").alias("t_clstr"), F.col("u").alias("pred")).alias("new"))
+        met = step.groupBy("clstr").agg(F.min("new").alias("new")).join(best, "clstr", "left")
+        changed = stage(met.where(F.col("s").isNull() | (F.col("new") < F.col("s"))).select("clstr", F.col("new").alias("s")), "changed")
+        if changed.isEmpty():
             break
-        before = now
-        step = best.join(links, best.clstr == links.u).select(F.col("v").alias("clstr"), F.struct((F.col("s.distance") + F.col("length")).alias("distance"), F.col("s.t_clstr").alias("t_clstr"), F.col("u").alias("pred")).alias("s"))
-        best = stage(best.unionByName(step).groupBy("clstr").agg(F.min("s").alias("s")), "paths")
+        best = stage(best.join(changed.select("clstr"), "clstr", "left_anti").unionByName(changed), "paths")
     inner = best.where("s.pred is not null").select(F.col("s.pred").alias("clstr")).distinct().withColumn("_inner", F.lit(True))
     out = best.join(inner, "clstr", "left")
     return out.select("clstr", "s.distance", "s.t_clstr", F.col("_inner").isNull().alias("is_tip"))

@@ -19,35 +19,56 @@ def ground_cells(points: DataFrame, ground: Column, size: float = 0.5, median_va
     return hit.select("ix", "iy", "ground").distinct()
 
 
-def _mirror(i: Column, many: Column) -> Column:
-    """Index reflected at the border, edge cells repeated."""
-    at = F.pmod(i, 2 * many)
-    return F.least(at, 2 * many - 1 - at)
+def _reach(cells: DataFrame, grid: DataFrame, total: int) -> int:
+    """The least h, 1 or more, such that every cell of ``grid`` has one of ``cells`` within h on both axes: doubled until it does, then halved in on.
+
+    Within h on both axes is within h along the row of something within h along the column, so a pass is two windows over the grid.
+    """
+    marked = stage(grid.join(cells.select("ix", "iy", F.lit(1).alias("there")), ["ix", "iy"], "left"), "marked")
+
+    def reached(h: int) -> bool:
+        row = F.max("there").over(Window.partitionBy("iy").orderBy("ix").rangeBetween(-h, h))
+        column = F.max("row").over(Window.partitionBy("ix").orderBy("iy").rangeBetween(-h, h))
+        return marked.withColumn("row", row).select("ix", column.alias("both")).where("both = 1").count() == total
+
+    high = 1
+    while not reached(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if reached(middle) else (middle, high)
+    return high
 
 
-def fill(cells: DataFrame, grid: DataFrame, largest: int = 1001) -> DataFrame:
+def _images(i: Column, many: Column, h: int) -> Column:
+    """Where the index (from 0) lies on the axis that its ``many`` cells and their mirror images, edge cells repeated, continue for h cells beyond both ends."""
+    k = F.floor(F.lit(h) / (2 * many)).cast("long") + 1
+    all_ = F.flatten(F.transform(F.sequence(-k, k), lambda n: F.array(2 * many * n + i, 2 * many * n - 1 - i)))
+    return F.filter(all_, lambda v: (v >= -h) & (v < many + h))
+
+
+def fill(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """ix, iy, ground of all cells of ``grid`` (one row: ix_min, ix_max, iy_min, iy_max).
 
-    Every cell becomes the median of its window; the window grows until no cell is empty. Without any ground the grid has no rows.
+    Every cell becomes the median of its window, which is as wide as it takes to leave no cell empty, and mirrored at the borders. Each ground cell goes to
+    the windows that hold it. Without any ground the grid has no rows.
     """
-    whole = grid.select(F.explode(F.sequence("ix_min", "ix_max")).alias("ix"), "ix_min", "ix_max", "iy_min", "iy_max")
-    whole = stage(whole.select("ix", F.explode(F.sequence("iy_min", "iy_max")).alias("iy"), "ix_min", "ix_max", "iy_min", "iy_max"), "grid")
-    cells = stage(cells, "cells")
-    if cells.isEmpty():
+    cells = stage(cells.select("ix", "iy", "ground"), "cells")
+    box = grid.first()
+    if cells.isEmpty() or box is None:
         return cells
-    nx, ny = F.col("ix_max") - F.col("ix_min") + 1, F.col("iy_max") - F.col("iy_min") + 1
-    total = whole.count()
-    for side in range(3, largest + 1, 2):
-        h = side // 2
-        window = whole.withColumn("dx", F.explode(F.sequence(F.lit(-h), F.lit(h)))).withColumn("dy", F.explode(F.sequence(F.lit(-h), F.lit(h))))
-        sx = F.col("ix_min") + _mirror(F.col("ix") + F.col("dx") - F.col("ix_min"), nx)
-        sy = F.col("iy_min") + _mirror(F.col("iy") + F.col("dy") - F.col("iy_min"), ny)
-        near = window.select("ix", "iy", sx.cast("long").alias("sx"), sy.cast("long").alias("sy"))
-        found = near.join(cells.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), "ground"), ["sx", "sy"])
-        out = stage(found.groupBy("ix", "iy").agg(F.median("ground").alias("ground")), "terrain")
-        if out.count() == total:
-            return out
-    return out
+    nx, ny = box.ix_max - box.ix_min + 1, box.iy_max - box.iy_min + 1
+    whole = grid.sparkSession.range(nx * ny).select((F.col("id") % nx + box.ix_min).alias("ix"), (F.floor(F.col("id") / nx) + box.iy_min).alias("iy"))
+    h = _reach(cells, whole, nx * ny)
+    images = cells.select(F.explode(_images(F.col("ix") - box.ix_min, F.lit(nx), h)).alias("vx"), "iy", "ground").select("vx", F.explode(_images(F.col("iy") - box.iy_min, F.lit(ny), h)).alias("vy"), "ground")
+
+    def span(v: str, many: int) -> Column:
+        return F.explode(F.sequence(F.greatest(F.col(v) - h, F.lit(0)), F.least(F.col(v) + h, F.lit(many - 1))))
+
+    spread = images.select(span("vx", nx).alias("ix"), "vy", "ground").select("ix", span("vy", ny).alias("iy"), "ground")
+    out = spread.groupBy("ix", "iy").agg(F.median("ground").alias("ground"))
+    return stage(out.select((F.col("ix") + box.ix_min).alias("ix"), (F.col("iy") + box.iy_min).alias("iy"), "ground"), "terrain")
 
 
 def normalise(points: DataFrame, ground: Column, size: float = 0.5, median_value: bool = False) -> DataFrame:
