@@ -61,8 +61,18 @@ def radius_join_by_row(queries: DataFrame, points: DataFrame, radius: str) -> Da
     return out
 
 
+def _crowding(points: DataFrame, size: float) -> float:
+    """How many points share the cell of a point, on average."""
+    cells = points.groupBy(*[F.floor(F.col(a) / size) for a in AXES]).agg(F.count("*").cast("double").alias("n"))
+    return cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+
 def first_cell(points: DataFrame, k: int) -> float:
-    """Cell width at which 27 cells hold a few times k points, were they spread evenly; 0 for an empty cloud."""
+    """Cell width to begin with; 0 for an empty cloud.
+
+    Were the points spread evenly over their box, 27 cells would hold a few times k of them. Where they aren't, cells are halved until the average point shares
+    its cell with 2 k others, or halving no longer parts them.
+    """
     r = points.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
     if not r.n:
         return 0.0
@@ -72,7 +82,14 @@ def first_cell(points: DataFrame, k: int) -> float:
     volume = 1.0
     for s in spans:
         volume *= s
-    return max((volume * 2 * k / (27 * r.n)) ** (1 / len(spans)) * 1.5, max(spans) * 1e-6)
+    size = max((volume * 2 * k / (27 * r.n)) ** (1 / len(spans)) * 1.5, max(spans) * 1e-6)
+    crowd = _crowding(points, size)
+    while crowd > 2 * k + 8:
+        finer = _crowding(points, size / 2)
+        if finer > 0.9 * crowd:
+            break
+        size, crowd = size / 2, finer
+    return size
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False, cell: float | None = None, keys: list[str] | None = None, same: bool = True) -> DataFrame:
@@ -96,12 +113,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False,
         q = _cells(pending, size, "q_")
         low = F.least(*[F.col(f"q_{a}") - (F.col(f"c{a}") - 1) * size for a in AXES])
         high = F.least(*[(F.col(f"c{a}") + 2) * size - F.col(f"q_{a}") for a in AXES])
-        q = _around(q.withColumn("margin", F.least(low, high)))
-        pairs = q.join(_cells(p0, size, "p_"), [*keys, "cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
+        # points go to all cells that look for them and a query stays in its own, so its candidates meet in one task and are ranked there without a shuffle
+        q = q.withColumn("margin", F.least(low, high))
+        pairs = q.join(_around(_cells(p0, size, "p_")), [*keys, "cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
         if same and not with_self:
             pairs = pairs.where("q_pid <> p_pid")
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "q_pid").orderBy("d2", "p_pid"))).where(F.col("rank") <= k)
-        settled = F.max(F.struct("rank", "d2")).over(Window.partitionBy(*keys, "q_pid"))
+        own = Window.partitionBy(*keys, "cx", "cy", "cz", "q_pid")
+        ranked = pairs.withColumn("rank", F.row_number().over(own.orderBy("d2", "p_pid"))).where(F.col("rank") <= k)
+        settled = F.max(F.struct("rank", "d2")).over(own)
         ranked = ranked.withColumn("_last", settled)
         if last:
             return _edges(ranked, keys) if done is None else done.unionByName(_edges(ranked, keys))
