@@ -37,16 +37,16 @@ def slice_clusters(points: DataFrame, eps: float = 0.1, at_least: int = 20, more
     return points.join(labelled, "pid", "left").withColumn("clstr", F.coalesce("clstr", F.lit(-1).cast("long")))
 
 
-def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed: int = 0, order: str | None = None) -> DataFrame:
+def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed: int = 0, order: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """pid, center_pid, d2: every point of some seed's ball with its nearest seed (the earlier one of equal distance).
 
     Seeds are the greedy choice in the order of a seeded hash, or of the column ``order``, among points with ``at_least`` points in their ball: a point is one unless
-    an earlier one lies within ``patch``. Rounds pick all points that precede their live neighbours, which gives the same seeds.
+    an earlier one lies within ``patch``; sets keep to equal ``keys``. Rounds pick all points that precede their live neighbours, which gives the same seeds.
     """
     rank = points.select("pid", F.struct((F.col(order) if order else F.xxhash64(F.lit(seed), "pid")).alias("h"), F.col("pid").alias("p")).alias("rank"))
-    near = stage(neighbors.radius_join(points, points, ball, with_self=True), "balls")
+    near = stage(neighbors.radius_join(points, points, ball, with_self=True, keys=keys).select("src", "dst", "d2"), "balls")
     live = stage(near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("pid").join(rank, "pid"), "live")
-    close = stage(neighbors.radius_join(points, points, patch).select("src", "dst"), "close")
+    close = stage(neighbors.radius_join(points, points, patch, keys=keys).select("src", "dst"), "close")
     seeds = None
     while not live.isEmpty():
         around = close.join(live.select(F.col("pid").alias("src"), F.col("rank").alias("own")), "src").join(live.select(F.col("pid").alias("dst"), F.col("rank").alias("other")), "dst")
@@ -62,9 +62,9 @@ def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed
     return best.select("pid", F.col("x.rank.p").alias("center_pid"), "x.d2")
 
 
-def cover_neighbours(points: DataFrame, cover: DataFrame, ball: float) -> DataFrame:
-    """set_id, nbr_id: a set neighbours those whose points its seed's ball holds, both ways."""
+def cover_neighbours(points: DataFrame, cover: DataFrame, ball: float, keys: list[str] | None = None) -> DataFrame:
+    """set_id, nbr_id: a set neighbours those whose points its seed's ball holds, both ways; of equal ``keys`` only."""
     seeds = points.join(cover.select(F.col("center_pid").alias("pid")).distinct(), "pid", "left_semi")
-    held = neighbors.radius_join(seeds, points, ball, with_self=True).join(cover.select(F.col("pid").alias("dst"), "center_pid"), "dst").where("src <> center_pid")
+    held = neighbors.radius_join(seeds, points, ball, with_self=True, keys=keys).join(cover.select(F.col("pid").alias("dst"), "center_pid"), "dst").where("src <> center_pid")
     one = held.select(F.col("src").alias("set_id"), F.col("center_pid").alias("nbr_id"))
     return one.unionByName(one.select(F.col("nbr_id").alias("set_id"), F.col("set_id").alias("nbr_id"))).distinct()
