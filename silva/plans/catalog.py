@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import cluster, graph, neighbors, regularize, shape, terrain, voxel
+from ..operators import branches, cluster, graph, neighbors, regularize, shape, terrain, voxel
 from . import pipelines, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,6 +587,12 @@ def _separate(spark, d):
     return pipelines.separate_trees(_forest(spark, d), STEMS)[0]
 
 
+@query("split_branches")
+def _split_branches(spark, d):
+    p = views.embed(spark, d).withColumn("seg_id", F.col("label").cast("long"))
+    return branches.split_branches(p.drop("label"), 0.1, 0.12, more_than=50, height=0.2)
+
+
 @query("filter_pipeline")
 def _filtered(spark, d):
     return pipelines.filtered(views.embed(spark, d), radius=0.05, sets=3, size=0.02)
