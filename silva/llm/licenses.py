@@ -296,7 +296,10 @@ def scan(docs: DataFrame, model: Classifier, templates: dict[str, list[str]] = T
     found = stage(found, "paragraphs")
 
     # one score per distinct paragraph: a notice that a third of all documents repeat is scored once; 128 bits stand for its words
-    bodies = found.select("k1", "k2", "words").dropDuplicates(["k1", "k2"])
+    # the paragraph that stands for its like is chosen by numbers alone: whole pages may be paragraphs
+    place = ["copy", "paragraph", "lines"]
+    lead = found.groupBy("k1", "k2").agg(F.min(F.struct(*place)).alias("x")).select("k1", "k2", "x.*")
+    bodies = found.join(lead, ["k1", "k2", *place], "left_semi").select("k1", "k2", "words")
     features = bodies.select("k1", "k2", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]))).alias("gram"))
     classes = range(len(model.classes))
     scores = features.join(F.broadcast(weights), "gram", "left").groupBy("k1", "k2").agg(*[F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in classes])
