@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import neighbors
 from .graph import connected_components
-from .tables import stage
+from .tables import drop_stages, stage
 
 
 def dbscan(points: DataFrame, eps: float, at_least: int, keys: list[str] | None = None, flat: bool = False) -> DataFrame:
@@ -53,7 +53,9 @@ def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed
         beaten = around.where("other < own").select(F.col("src").alias("pid")).distinct()
         chosen = stage(live.join(beaten, "pid", "left_anti"), "chosen")
         gone = close.join(chosen.select(F.col("pid").alias("src")), "src", "left_semi").select(F.col("dst").alias("pid")).unionByName(chosen.select("pid")).distinct()
-        live = stage(live.join(gone, "pid", "left_anti"), "live")
+        after = stage(live.join(gone, "pid", "left_anti"), "live")
+        drop_stages(live)
+        live = after
         seeds = chosen if seeds is None else seeds.unionByName(chosen)
     if seeds is None:
         return near.select(F.col("src").alias("pid"), F.col("dst").alias("center_pid"), "d2").limit(0)

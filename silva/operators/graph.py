@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import edge_weight
 from . import neighbors
-from .tables import stage
+from .tables import drop_stages, stage
 
 
 def symmetrise(edges: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +40,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         hooked = low.unionByName(low.join(labels.withColumnRenamed("component", "old"), "pid").where("old <> component").select(F.col("old").alias("pid"), "component"))
         low = stage(hooked.groupBy("pid").agg(F.min("component").alias("component")), "labels")
         jump = low.select(F.col("pid").alias("component"), F.col("component").alias("further"))
-        labels = stage(low.join(jump, "component", "left").select("pid", F.coalesce("further", "component").alias("component")), "labels")
+        after = stage(low.join(jump, "component", "left").select("pid", F.coalesce("further", "component").alias("component")), "labels")
+        drop_stages(labels, low)
+        labels = after
+    drop_stages(links)
     if nodes is None:
         return labels
     return nodes.select("pid").join(labels, "pid", "left").select("pid", F.coalesce("component", "pid").alias("component"))
@@ -95,10 +98,16 @@ def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
         # only what the last round changed goes on
         step = changed.join(links, changed.clstr == links.u).select(F.col("v").alias("clstr"), F.struct((F.col("s.distance") + F.col("length")).alias("distance"), F.col("s.t_clstr").alias("t_clstr"), F.col("u").alias("pred")).alias("new"))
         met = step.groupBy("clstr").agg(F.min("new").alias("new")).join(best, "clstr", "left")
-        changed = stage(met.where(F.col("s").isNull() | (F.col("new") < F.col("s"))).select("clstr", F.col("new").alias("s")), "changed")
+        newer = stage(met.where(F.col("s").isNull() | (F.col("new") < F.col("s"))).select("clstr", F.col("new").alias("s")), "changed")
+        if changed is not best:
+            drop_stages(changed)
+        changed = newer
         if changed.isEmpty():
             break
-        best = stage(best.join(changed.select("clstr"), "clstr", "left_anti").unionByName(changed), "paths")
+        after = stage(best.join(changed.select("clstr"), "clstr", "left_anti").unionByName(changed), "paths")
+        drop_stages(best)
+        best = after
+    drop_stages(changed, links)
     inner = best.where("s.pred is not null").select(F.col("s.pred").alias("clstr")).distinct().withColumn("_inner", F.lit(True))
     out = best.join(inner, "clstr", "left")
     return out.select("clstr", "s.distance", "s.t_clstr", F.col("_inner").isNull().alias("is_tip"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .tables import stage
+from .tables import drop_stages, stage
 
 #: Points of a component whose minimal cut one task finds at most.
 EXACT = 5_000
@@ -137,5 +137,7 @@ def sweeps(costs: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
             break
         blocked = edges.join(eager.select(F.col("pid").alias("src"), F.col("rank").alias("own")), "src").join(eager.select(F.col("pid").alias("dst"), F.col("rank").alias("r")), "dst").where("r < own").select(F.col("src").alias("pid")).distinct()
         moves = eager.join(blocked, "pid", "left_anti").select("pid", "wish")
-        labels = stage(labels.join(moves, "pid", "left").select("pid", F.coalesce("wish", "label").alias("label")), "labels")
+        after = stage(labels.join(moves, "pid", "left").select("pid", F.coalesce("wish", "label").alias("label")), "labels")
+        drop_stages(labels, eager)
+        labels = after
     return labels

@@ -9,20 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is made only where the session names none."""
+    """The folder of spark.checkpoint.dir; in local mode one is made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             found = kept.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="silva-checkpoint-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/silva-{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/silva-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(*stages: DataFrame) -> None:
+    """Delete the files of tables made by :func:`stage`, once nothing reads them any more."""
+    for df in stages:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
