@@ -6,8 +6,6 @@ Nothing here keeps data on the driver: stage tables go to the folder in
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import drop_stages, new_path, stage
+
+__all__ = ["bound_batches", "connected_components", "drop_stages", "mix64", "new_names", "new_path", "readers", "shingle_hashes", "stage", "text_batches", "word_hashes"]
+
 #: Bytes of text that one numpy pass holds at most, save for a single longer text; such a pass takes some 50 times as much memory.
 BATCH_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to a Python worker; Spark's own bound is far above what a worker beside others may take.
 ARROW_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            found = kept.get()
-        elif not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        else:
-            found = tempfile.mkdtemp(prefix="silva-checkpoint-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold ARROW_BYTES at most, unless the session has a setting of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -44,33 +31,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/silva-{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def readers(spark: SparkSession, files: int) -> int:
     """Tasks to read so many files back in. A small shuffle without a number of its own is merged into one task by adaptive execution."""
     return max(1, min(files, 4 * spark.sparkContext.defaultParallelism))
 
 
-def drop_stages(*stages: DataFrame) -> None:
-    """Delete the files of tables made by :func:`stage`, once nothing reads them any more."""
-    for df in stages:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def new_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of ``df`` has them."""
     taken, lead = {c.lower() for c in df.columns}, "_"
