@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +45,30 @@ def drop_stages(*stages: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
+    """``df`` with ``name``, its place from 0 in the order of the columns, written once so that the numbers hold. Equal rows are numbered either way.
+
+    Ranges of the order are sorted apart, and each begins after the rows of all before it, so no task meets all rows.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = sizes.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per range
+    out = placed.join(F.broadcast(starts), "_part")
+    return out.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))
+
+
+def resumed(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame], parameters: dict | None = None) -> DataFrame:
+    """The table ``name`` of ``folder``: read back if it was finished there with the same parameters, else made and written with them."""
+    path, said = f"{folder}/{name}", f"{folder}/{name}.parameters"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{said}/_SUCCESS")
+    wanted = json.dumps(parameters or {}, sort_keys=True)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if [r.value for r in spark.read.text(said).collect()] == [wanted]:
+            return spark.read.parquet(path)
+    make().write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(said)  # last, as it tells that the table is whole
+    return spark.read.parquet(path)

@@ -163,6 +163,13 @@ def write_trees(points: DataFrame, path: str, by_diameter: bool = False) -> None
     points.repartition(*[F.col(f) for f in folders]).write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
+def write_boxes(tiled: DataFrame, path: str) -> None:
+    """One folder per box of :func:`voxel.sample_tiles`, its points relative to the box's middle."""
+    boxes = ["box_x", "box_y", "box_z"]
+    local = tiled.select(*boxes, "pid", *[(F.col(a) - F.col(f"local_{a}")).alias(a) for a in "xyz"])
+    local.repartition(*[F.col(b) for b in boxes]).write.mode("overwrite").partitionBy(*boxes).parquet(path)
+
+
 def filtered(points: DataFrame, k: int = 10, k_sigmas: float = 1.5, radius: float = 0.1, sigmas: float = 1.5, patch: float = 0.1, ball: float = 0.11, sets: int = 10, size: float | None = None) -> DataFrame:
     """pid and kept of all points: what passes, in this order, the finite coordinates, the kth distance, the density, the size of the component, and the thinning to one point a cube.
 
