@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -41,6 +42,19 @@ def _as_known(path: str) -> bool:
     return kinds == _NORMAL and own and found["model"].get("type") == "BPE" and not found["model"].get("dropout")
 
 
+class _Numbers(dict):
+    """Words numbered from 0 in the order they are first asked for; those asked for lately are ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts to ids, word by word, remembering words."""
 
@@ -51,9 +65,12 @@ class WordEncoder:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.by_word = _as_known(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {}
+        self.words = _Numbers()
         self.ends = array("q", [0])
 
     def _piece(self, piece: str) -> bytes:
@@ -63,20 +80,24 @@ class WordEncoder:
             found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         return found
 
-    def _learn(self, words: list[bytes]) -> None:
-        at = self.ends[-1]
-        for word in words:
+    def _learn(self) -> None:
+        """Encode the new words."""
+        made = []
+        for word in self.words.new:
             text = word.decode("utf-8", "surrogatepass")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                ids = np.frombuffer(b"".join([self._piece(piece) for piece in _PIECES.findall(text.lower())]), dtype=np.uint32)
+            if text.isascii() and text.isalpha():
+                made.append(self._piece(text.lower()))
+            elif _PLAIN.fullmatch(text) and "<|" not in text:
+                made.append(b"".join([self._piece(piece) for piece in _PIECES.findall(text.lower())]))
             else:
-                ids = self.full.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[at : at + len(ids)] = ids
-            at += len(ids)
-            self.words[word] = len(self.ends) - 1
-            self.ends.append(at)
+                made.append(array("I", self.full.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids).tobytes())
+        self.words.new = []
+        ids = np.frombuffer(b"".join(made), dtype=np.uint32)
+        at = self.ends[-1]
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[at : at + len(ids)] = ids
+        self.ends.frombytes((at + np.cumsum([len(b) // 4 for b in made], dtype=np.int64)).tobytes())
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after another, as uint32, and the count of each text; ``end_id`` closes each text."""
@@ -85,14 +106,12 @@ class WordEncoder:
             end = [] if end_id is None else [end_id]
             return np.array([i for ids in own for i in (*ids, *end)], dtype=np.uint32), np.array([len(ids) + len(end) for ids in own], dtype=np.int64)
         if len(self.words) > REMEMBERED:
-            self.pieces, self.words, self.ends = {}, {}, array("q", [0])
+            self._forget()
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for own in split for w in own if w not in self.words}
-        if new:
-            self._learn(sorted(new))
-        get = self.words.__getitem__
-        per_text = np.fromiter((len(own) for own in split), dtype=np.int64, count=len(split))
-        which = np.fromiter((get(w) for own in split for w in own), dtype=np.int64, count=int(per_text.sum()))
+        per_text = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        which = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(per_text.sum()))
+        if self.words.new:
+            self._learn()
         ends = np.frombuffer(self.ends.tobytes(), dtype=np.int64)
         lengths = ends[which + 1] - ends[which]
         text_of = np.repeat(np.arange(len(texts)), per_text)
