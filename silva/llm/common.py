@@ -19,9 +19,9 @@ from ..operators.tables import drop_stages, new_path, stage
 __all__ = ["bound_batches", "connected_components", "drop_stages", "mix64", "new_names", "new_path", "readers", "shingle_hashes", "stage", "text_batches", "word_hashes"]
 
 #: Bytes of text that one numpy pass holds at most, save for a single longer text; such a pass takes some 50 times as much memory.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Bytes of an Arrow batch on its way to a Python worker; Spark's own bound is far above what a worker beside others may take.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, ALL_SYMBOLS = 64, 4000, 48_000, 800_000
 WIDTH = 256
 BLOCK = 2048
 #: Bytes of text that are parsed at once: a step costs much the same for a few texts as for many.
-PARSED_BYTES = 2 << 20
+PARSED_BYTES = 1 << 20
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
