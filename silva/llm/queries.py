@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, language, lattice, licenses, minhash, packing, sstable, toxicity, warc
+from . import decontam, embeddings, language, lattice, licenses, merkle, minhash, packing, resampling, sql, sstable, toxicity, warc
 from .tokens import default_tokenizer
 
 #: DuckDB SQL of the queries whose rows SQL can express.
@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, url_key, CAST(capture_order AS BIGINT) AS capture_order
         FROM q""",
+    "op11_importance_resampling": sql.IMPORTANCE_RESAMPLING,
+    "op13_merkle_manifest": sql.MERKLE_MANIFEST,
 }
 
 
@@ -72,6 +74,14 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
