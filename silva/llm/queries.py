@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, language, lattice, licenses, merkle, minhash, packing, resampling, sql, sstable, toxicity, warc
+from . import decontam, embeddings, language, lattice, licenses, merkle, minhash, packing, resampling, sql, sstable, substrings, toxicity, warc
 from .tokens import default_tokenizer
 
 #: DuckDB SQL of the queries whose rows SQL can express.
@@ -22,6 +22,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, url_key, CAST(capture_order AS BIGINT) AS capture_order
         FROM q""",
     "op11_importance_resampling": sql.IMPORTANCE_RESAMPLING,
+    "op12_substring_dedup": sql.SUBSTRING_DEDUP,
     "op13_merkle_manifest": sql.MERKLE_MANIFEST,
 }
 
@@ -78,6 +79,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
