@@ -13,7 +13,6 @@ of letters in UTF-8, so no script is folded; a table has columns for the bytes o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,10 @@ BLOCK = 2048
 #: Bytes of text that are parsed at once: a step costs much the same for a few texts as for many.
 PARSED_BYTES = 1 << 20
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether :meth:`CrossParser.symbols` finds a letter: numbers such as a half or a circled one are none."""
+    return any(map(str.isalpha, text))
 
 
 def suffix_automaton(symbols: list[int], width: int = WIDTH) -> np.ndarray:
@@ -175,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     samples: dict[str, list[str]] = {k: [] for k in sizes}
     for lang, _, text in sorted(rows, key=lambda r: (r[1], r[2])):
         samples[lang].append(text)
-    return CrossParser({k: v for k, v in samples.items() if any(_LETTER.search(t) for t in v)})
+    return CrossParser({k: v for k, v in samples.items() if any(map(has_letter, v))})
 
 
 def annotate(docs: DataFrame, parser: CrossParser, names: list[str], text_col: str = "text") -> DataFrame:
@@ -192,7 +194,7 @@ def annotate(docs: DataFrame, parser: CrossParser, names: list[str], text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for part, texts in text_batches(batches, PARSED_BYTES, column):
-            named = np.array([bool(_LETTER.search(t)) for t in texts])
+            named = np.array([has_letter(t) for t in texts])
             lang, score, rate = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if languages and named.any():
                 phrases, counts = own.phrases(texts)

@@ -233,10 +233,10 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 class Model:
-    """What scoring needs: counts of frequent words, the log probabilities of pieces, totals, and the share of tokens that whole words have."""
+    """What scoring needs: counts of frequent words, the log probabilities of pieces, totals, and what whole words and spelled ones have of the probability of what comes next; the text's end has the rest."""
 
-    def __init__(self, path: str, frequent: dict[bytes, int], score: np.ndarray, total: int, distinct: int, share: float):
-        self.path, self.frequent, self.score, self.total, self.distinct, self.share = path, frequent, score, total, distinct, share
+    def __init__(self, path: str, frequent: dict[bytes, int], score: np.ndarray, total: int, distinct: int, share: float, spelled: float):
+        self.path, self.frequent, self.score, self.total, self.distinct, self.share, self.spelled = path, frequent, score, total, distinct, share, spelled
 
     @property
     def base_floor(self) -> float:
@@ -249,7 +249,7 @@ class Model:
         self.end = self.list[self.vocabulary.end] / LN10
         self.weight = np.exp(self.score).tolist()
         self.table = arc_table(self.vocabulary, self.weight)
-        self.whole, self.rest = math.log(max(1e-300, self.share)), math.log1p(-self.share)
+        self.whole, self.rest = math.log(max(1e-300, self.share)), math.log(self.spelled)
 
     def word(self, word: bytes, n: int) -> float:
         """log10 probability of a word that the training side has ``n`` times: as a whole, or spelled."""
@@ -296,9 +296,10 @@ def train(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     # words and ends are pieces too; spelling keeps the share of tokens that were new when they came
     share = 1 - (distinct + 1) / (total + distinct + 2) if total else 0.0
     end = (ends + 1) / (total + ends + 2)
-    model = Model(vocabulary, top, log_p, total, distinct, share * (1 - end))
-    model.score[own.end] = math.log(end)
-    spelling = spark.sparkContext.broadcast(Model(vocabulary, {}, model.score, total, distinct, model.share))
+    log_p = log_p - math.log1p(-math.exp(log_p[own.end]))  # the end is no spelling: the other pieces have the whole of it
+    log_p[own.end] = math.log(end)
+    model = Model(vocabulary, top, log_p, total, distinct, share * (1 - end), (1 - share) * (1 - end))
+    spelling = spark.sparkContext.broadcast(Model(vocabulary, {}, model.score, total, distinct, model.share, model.spelled))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, skip = spelling.value, known.value

@@ -45,10 +45,11 @@ def test_scores_equal_sums_over_all_spellings(spark):
     assert model.total == sum(counts.values()) and model.distinct == len(counts)
     v = lattice.pieces(lattice.default_vocabulary())
     p = [math.exp(x) for x in model.score]
-    assert sum(p) == pytest.approx(1 + p[v.end], abs=0.1)
+    assert sum(p) - p[v.end] == pytest.approx(1, abs=1e-9)
+    assert p[v.end] + model.share + model.spelled * (sum(p) - p[v.end]) == pytest.approx(1, abs=1e-9)  # all that may come next
     log = {}
     for w in {w for _, t, _ in rows for w in lattice.tokens(t or "")}:
-        log[w] = math.log10(model.share * counts.get(w, 0) / model.total + (1 - model.share) * spellings(w.decode(), v.names, v.byte, p))
+        log[w] = math.log10(model.share * counts.get(w, 0) / model.total + model.spelled * spellings(w.decode(), v.names, v.byte, p))
     want = sorted((-1 if i is None else i, round(sum(log[w] for w in lattice.tokens(t or "")) + math.log10(p[v.end]), 6)) for i, t, _ in rows)
     got = lattice.score(docs, model, rare).collect()
     assert flat(sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in got)) == pytest.approx(flat(want))

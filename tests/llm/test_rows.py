@@ -58,6 +58,18 @@ def test_language_of_hostile_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "lang_pred": F.lit(1)})
     got = language.identify(docs, language.train(docs)).collect()
     assert len(got) == 8 and sorted(r.lang_pred for r in got) == ["en"] * 5 + ["und"] * 3
+
+
+def test_number_characters_are_no_letters(spark):
+    learned = spark.createDataFrame([(1, "hello there", "en"), (3, "guten tag", "de")], "doc_id long, text string, lang string")
+    texts = ["½ ²", "Ⅷ ①", "٣ 四", "ᛮ", "12 a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(docs, language.train(learned)).collect()}
+    for k, text in enumerate(texts):
+        if any(c.isalpha() for c in text):
+            assert got[k].lang_pred in ("de", "en") and 0 <= got[k].score <= 1
+        else:
+            assert (got[k].lang_pred, got[k].score, got[k].bits_per_symbol) == ("und", 0, 0)
     assert all(r.score == (0.0 if r.lang_pred == "und" else 1.0) for r in got)
     none = docs.limit(0)
     assert language.identify(none, language.train(none)).count() == 0
