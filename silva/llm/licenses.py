@@ -33,7 +33,7 @@ GRAMS = 3
 CONFIDENT = 0.6
 CONFIRMED = 0.6
 #: Variants of each template and of each plain sentence in the training rows; texts and lines of the corpus sampled at most; its features' absolute penalty.
-VARIANTS, PLAIN_VARIANTS, SAMPLED_TEXTS, SAMPLED_LINES, PENALTY = 16, 4, 300, 2000, 5e-5
+VARIANTS, PLAIN_VARIANTS, SAMPLED_TEXTS, SAMPLED_LINES, SAMPLED_CHARS, PENALTY = 16, 4, 300, 2000, 5000, 5e-5
 #: A word that so large a share of the sampled unknown lines hold is common: an n-gram of common words alone is no feature.
 COMMON = 0.01
 
@@ -162,9 +162,10 @@ class Classifier:
 
 
 def sample_lines(docs: DataFrame, text_col: str = "text", texts: int = SAMPLED_TEXTS, lines: int = SAMPLED_LINES) -> list[str]:
-    """A bounded sample to fit on: lines, by hash, of texts, by hash; null and empty ones left out."""
-    some = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0).orderBy(F.xxhash64("text")).limit(texts)
-    each = some.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").distinct()
+    """A bounded sample to fit on: lines, by hash, of distinct texts, by hash; null and empty ones left out. A line gives its first SAMPLED_CHARS characters at most."""
+    keyed = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
+    chosen = [r.h for r in keyed.select("h").distinct().orderBy("h").limit(texts).collect()]  # numbers, so that no text moves
+    each = keyed.where(F.col("h").isin(chosen)).select(F.explode(F.split("text", "\n")).alias("line")).select(F.substring("line", 1, SAMPLED_CHARS).alias("line")).where(F.trim("line") != "").distinct()
     return [r.line for r in each.orderBy(F.xxhash64("line"), "line").limit(lines).collect()]
 
 
@@ -280,7 +281,7 @@ def scan(docs: DataFrame, model: Classifier, templates: dict[str, list[str]] = T
     # a part is a run of lines, after a blank line at most
     blank = r"\A[^\S\n]*\n"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text"))
-    texts = texts.where(F.arrays_overlap(words(F.col("text")), gate))
+    texts = stage(texts.where(F.arrays_overlap(words(F.col("text")), gate)), "texts")  # written, so that both readings number the copies alike
     lines = texts.select("doc_id", "copy", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = once(lines, "words", words(F.col("line"))).where(F.arrays_overlap("words", gate)).select("doc_id", "copy", "paragraph", F.lit(1).alias("lines"), "words")
     parts = F.split("text", r"\n(?=[^\S\n]*(?:\n|\z))")

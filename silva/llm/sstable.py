@@ -207,7 +207,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["part", "file", "path", "docs", "ids", "first_id", "last_id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    order = ["_id", "_hash", "_row"]  # rows that share an id, even all that is in them, may be many: ranges part them too
+    rows = rows.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     made = rows.mapInArrow(run, "part long, file long, path string, docs long, ids long, first_id long, last_id long")
     return stage(made, "manifest").withColumn("shard", F.row_number().over(Window.orderBy("part", "file")) - 1)  # a row per file: few
 

@@ -75,3 +75,9 @@ def test_hostile_rows_and_long_lines(spark, model):
     assert licenses.scan(docs.limit(0), model).count() == 0
     lines = licenses.sample_lines(docs)
     assert notice in lines and len(lines) == 2 and licenses.sample_lines(docs.limit(0)) == []
+
+
+def test_the_fit_sample_is_bounded_and_of_distinct_texts(spark):
+    rows = [("common text\nof two lines",)] * 300 + [(f"text {k}\nits own line {k}",) for k in range(40)] + [("long " * 2_000_000,), (None,), ("",), (" \n ",)]
+    lines = licenses.sample_lines(spark.createDataFrame(rows, "text string"))
+    assert len(lines) == 2 + 80 + 1 and max(map(len, lines)) == licenses.SAMPLED_CHARS

@@ -117,3 +117,14 @@ def test_crossover_keeps_every_piece_once():
         child = packing.crossover(one, two, lengths, 128, rng)
         assert sorted(i for own in child for i in own) == list(range(80)) and all(sum(lengths[i] for i in own) <= 128 for own in child)
         one, two = two, child
+
+
+def test_rows_of_one_id_are_spread_over_files(spark, tmp_path):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = sstable.write_shards(docs, f"{tmp_path}/hot", tokens.default_tokenizer()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.docs for r in made]
+    assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 12_000
