@@ -1,17 +1,16 @@
-"""Two labels on a weighted graph: unary costs, and smoothing of the pairwise energy: exact cuts of components, sweeps where one is large."""
+"""Labels on a weighted graph: their costs, and smoothing of the pairwise energy by minimal cuts of blocks, for two labels or, move by move, for more."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
-from .tables import drop_stages, stage
+from .tables import drop_stages, numbered, stage
 
-#: Points of a component whose minimal cut one task finds at most.
-EXACT = 5_000
+#: Points of a block to begin with, and of the largest that one task cuts.
+EXACT, MOST = 5_000, 80_000
 
 
 def unary(points: DataFrame, mode: int = 0, p: str = "p_wood") -> DataFrame:
@@ -33,8 +32,8 @@ def energy(labels: DataFrame, costs: DataFrame, edges: DataFrame, strength: floa
     return own + strength * cut
 
 
-def minimal_cut(u0: np.ndarray, u1: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Labels 0 or 1 of least energy: u0 or u1 of each point plus w of each edge (a, b) between unequal labels; where both are as good, 0.
+def minimal_cut(u0: np.ndarray, u1: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+    """Labels 0 or 1 of least energy: u0 or u1 of each point plus w of each edge (a, b) with labels 0 and 1, and ``back`` (w, if not given) of one with 1 and 0; where both are as good, 0.
 
     The maximal flow from a source to a sink, along shortest ways (levels first, then walks), leaves label 0 to the points that the source can still reach.
     """
@@ -42,7 +41,7 @@ def minimal_cut(u0: np.ndarray, u1: np.ndarray, a: np.ndarray, b: np.ndarray, w:
     source, sink = n, n + 1
     # a point on the source's side has label 0 and cuts its way to the sink, which costs u0; one on the sink's side u1
     base = np.minimum(u0, u1)
-    ends = [*zip(a.tolist(), b.tolist(), w.tolist(), w.tolist())]
+    ends = [*zip(a.tolist(), b.tolist(), w.tolist(), (w if back is None else back).tolist())]
     ends += [(source, i, float(u1[i] - base[i]), 0.0) for i in range(n) if u1[i] > base[i]]
     ends += [(i, sink, float(u0[i] - base[i]), 0.0) for i in range(n) if u0[i] > base[i]]
     to, room, out = [], [], [[] for _ in range(n + 2)]
@@ -92,31 +91,166 @@ def minimal_cut(u0: np.ndarray, u1: np.ndarray, a: np.ndarray, b: np.ndarray, w:
     return np.array([0 if depth[i] >= 0 else 1 for i in range(n)])
 
 
-def smooth(costs: DataFrame, edges: DataFrame, strength: float, exact: int = EXACT) -> DataFrame:
-    """pid and label (1 wood) of least energy. ``edges`` hold each pair both ways.
+def _block_labels(own: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """pid and label of the points of one block that are the same whatever the labels beyond it are; null for the others."""
+    own = own.sort_values("pid")
+    pids = own.pid.to_numpy()
+    n = len(pids)
+    a, b, cap = np.searchsorted(pids, arcs.src.to_numpy()), np.searchsorted(pids, arcs.dst.to_numpy()), arcs.cap.to_numpy()
+    pairs, at = np.unique(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b), return_inverse=True)
+    there, back = np.zeros(len(pairs)), np.zeros(len(pairs))
+    np.add.at(there, at, np.where(a < b, cap, 0.0))
+    np.add.at(back, at, np.where(a < b, 0.0, cap))
+    ends = pairs // n, pairs % n, there, back
+    u0, u1 = own.u0.to_numpy(), own.u1.to_numpy()
+    low = minimal_cut(u0, u1 + own.into.to_numpy(), *ends)  # all beyond have label 0
+    if not own.out.any() and not own.into.any():
+        return pd.DataFrame({"pid": pids, "label": pd.Series(low, dtype="Int32")})
+    high = minimal_cut(u0 + own.out.to_numpy(), u1, *ends)  # all beyond have label 1
+    return pd.DataFrame({"pid": pids, "label": pd.Series(low, dtype="Int32").where(low == high)})
 
-    Components of ``exact`` points at most get their minimal cut, which is the least energy there is; a larger one isn't handed to one
-    task but improved by :func:`sweeps` to a local minimum. Ties fall either way.
+
+def least_energy(costs: DataFrame, arcs: DataFrame, places: DataFrame | None = None, block: int = EXACT, most: int = MOST) -> DataFrame:
+    """pid and label (0 or 1) of least energy: u0 or u1 of each point, plus ``cap`` of each arc (src, dst, cap) whose src has label 0 and dst 1.
+
+    Blocks of about ``block`` points are cut twice, once as if all points beyond had label 0 and once as if all had 1. The energy is submodular, so the labels of
+    its minimum (of several, that with the fewest ones) lie between both: where the two agree the label is final. It then joins its neighbours' own costs, and the points that are
+    left go on in blocks of other borders, which grow where little was decided. So the result doesn't depend on the blocks, and no task meets a whole component. Only
+    points that stay open in blocks of ``most`` are improved to a local minimum instead, by :func:`sweeps`; :func:`lower_bound` says how much that can be from the least.
+    Blocks follow the order of ``places`` (pid and columns to sort by, such as :func:`along_curve`); without it that of the pids.
+    """
+    order = ["pid"] if places is None else [*[c for c in places.columns if c != "pid"], "pid"]
+    live = stage(costs.select("pid", "u0", "u1") if places is None else costs.select("pid", "u0", "u1").join(places, "pid"), "live")
+    links = stage(arcs.where((F.col("cap") > 0) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.sum("cap").alias("cap")), "arcs")
+    done, size, turn, left = None, block, 0, live.count()
+    while left:
+        several = left > size
+        placed = stage(numbered(live, order, "_at") if several else live.withColumn("_at", F.lit(0).cast("long")), "placed")
+        # borders lie elsewhere in every round
+        blocks = stage(placed.withColumn("block", F.floor((F.col("_at") + turn * (size // 2)) / size) if several else F.col("_at")).drop("_at"), "blocks")
+        ends = links.join(blocks.select(F.col("pid").alias("src"), F.col("block").alias("block")), "src").join(blocks.select(F.col("pid").alias("dst"), F.col("block").alias("beyond")), "dst")
+        ends = stage(ends, "ends")
+        crossing = ends.where("block <> beyond")
+        border = crossing.select(F.col("src").alias("pid"), F.col("cap").alias("out"), F.lit(0.0).alias("into")).unionByName(crossing.select(F.col("dst").alias("pid"), F.lit(0.0).alias("out"), F.col("cap").alias("into")))
+        border = border.groupBy("pid").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+        own = blocks.join(border, "pid", "left").na.fill(0.0, ["out", "into"]).select("block", "pid", "u0", "u1", "out", "into")
+        inner = ends.where("block = beyond").select(F.col("block").alias("part"), "src", "dst", "cap")
+        found = own.groupBy("block").cogroup(inner.groupBy("part")).applyInPandas(_block_labels, "pid long, label int")
+        fixed = stage(found.where("label IS NOT NULL"), "fixed")
+        done = fixed if done is None else done.unionByName(fixed)
+        # what is decided weighs on its neighbours
+        zero = ends.join(fixed.where("label = 0").select(F.col("pid").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("pid")).agg(F.sum("cap").alias("more1"))
+        one = ends.join(fixed.where("label = 1").select(F.col("pid").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("pid")).agg(F.sum("cap").alias("more0"))
+        open_ = live.join(fixed.select("pid"), "pid", "left_anti").join(zero, "pid", "left").join(one, "pid", "left")
+        after = stage(open_.withColumns({"u0": F.col("u0") + F.coalesce("more0", F.lit(0.0)), "u1": F.col("u1") + F.coalesce("more1", F.lit(0.0))}).select(live.columns), "live")
+        still = after.select("pid")
+        fewer = stage(links.join(still.withColumnRenamed("pid", "src"), "src", "left_semi").join(still.withColumnRenamed("pid", "dst"), "dst", "left_semi"), "arcs")
+        drop_stages(live, links, placed, blocks, ends)
+        live, links, before, left, turn = after, fewer, left, after.count(), 1 - turn
+        if left > 0.75 * before:
+            size *= 2
+        if left and size > most:
+            both = links.select("src", "dst", "cap").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cap")).groupBy("src", "dst").agg((F.sum("cap") / 2).alias("w"))
+            return done.unionByName(sweeps(live, both, 1.0))
+    return done if done is not None else costs.select("pid", F.lit(0).alias("label")).limit(0)
+
+
+def along_curve(points: DataFrame, size: float) -> DataFrame:
+    """pid and curve: the place of each point's cube on a Z-shaped curve, whose stretches are compact; cubes beyond 2**20 to a side share their ends."""
+    low = points.agg(*[F.min(a).alias(f"_{a}") for a in "xyz"])
+    at = points.crossJoin(F.broadcast(low)).select("pid", *[F.least(F.floor((F.col(a) - F.col(f"_{a}")) / size), F.lit((1 << 20) - 1)).cast("long").alias(a) for a in "xyz"])
+    bits = [F.shiftleft(F.shiftright(F.col(a), k).bitwiseAND(F.lit(1).cast("long")), 3 * k + i) for k in range(20) for i, a in enumerate("xyz")]
+    code = bits[0]
+    for bit in bits[1:]:
+        code = code.bitwiseOR(bit)
+    return at.select("pid", code.alias("curve"))
+
+
+def smooth(costs: DataFrame, edges: DataFrame, strength: float, exact: int = EXACT, places: DataFrame | None = None) -> DataFrame:
+    """pid and label (1 wood) of least energy, by :func:`least_energy` in blocks of ``exact`` points. ``edges`` hold each pair both ways; of several minima that with the least wood."""
+    return least_energy(costs, edges.where("w > 0").select("src", "dst", (F.col("w") * strength).alias("cap")), places, exact)
+
+
+def lower_bound(costs: DataFrame, edges: DataFrame, strength: float, block: int = EXACT, places: DataFrame | None = None) -> float:
+    """What no labels can go below: the least energies of blocks, without the edges between them, added up."""
+    order = ["pid"] if places is None else [*[c for c in places.columns if c != "pid"], "pid"]
+    placed = costs.select("pid", "u0", "u1") if places is None else costs.select("pid", "u0", "u1").join(places, "pid")
+    blocks = stage(numbered(placed, order, "_at").withColumn("block", F.floor(F.col("_at") / block)), "blocks")
+    ends = edges.where("w > 0").join(blocks.select(F.col("pid").alias("src"), "block"), "src").join(blocks.select(F.col("pid").alias("dst"), F.col("block").alias("beyond")), "dst").where("block = beyond")
+    inner = ends.select(F.col("block").alias("part"), "src", "dst", (F.col("w") * strength).alias("cap"))
+    own = blocks.select("block", "pid", "u0", "u1", F.lit(0.0).alias("out"), F.lit(0.0).alias("into"))
+    labels = stage(own.groupBy("block").cogroup(inner.groupBy("part")).applyInPandas(_block_labels, "pid long, label int"), "labels")
+    return energy(labels, costs, inner.select("src", "dst", (F.col("cap") / strength if strength else F.lit(0.0)).alias("w")), strength)
+
+
+#: Share of an even spread that two of the fidelities mix into the probabilities.
+EVEN = 0.05
+
+
+def class_costs(points: DataFrame, classes: list[str], mode: int = 0) -> DataFrame:
+    """pid and u, the cost of each class as an array, from columns of probabilities: squared distance (0), minus p (1), cross entropy from (2) or minus logarithm of (3) the probabilities mixed with an even spread.
+
+    The row's least cost is taken off, and all are divided by their mean over rows and classes.
+    """
+    n = len(classes)
+    even = EVEN / n
+    hit, miss = F.log(F.lit(even + 1 - EVEN)), F.log(F.lit(even))
+    p = [F.col(c).cast("double") for c in classes]
+    mixed = [even + (1 - EVEN) * x for x in p]
+    forms = {
+        0: lambda k: sum(((1.0 if j == k else 0.0) - x) * ((1.0 if j == k else 0.0) - x) for j, x in enumerate(p)),
+        1: lambda k: -p[k],
+        2: lambda k: -sum(m * (hit if j == k else miss) for j, m in enumerate(mixed)),
+        3: lambda k: -F.log(mixed[k]),
+    }
+    raw = points.select("pid", F.array(*[forms[mode](k) for k in range(n)]).alias("r"))
+    low = raw.select("pid", F.transform("r", lambda x: x - F.array_min("r")).alias("r"))
+    mean = low.agg((F.sum(F.aggregate("r", F.lit(0.0), lambda a, b: a + b)) / (n * F.count("*"))).alias("mean"))
+    return low.crossJoin(F.broadcast(mean)).select("pid", F.transform("r", lambda x: F.when(F.col("mean") > 0, x / F.col("mean")).otherwise(0.0)).alias("u"))
+
+
+def class_energy(labels: DataFrame, costs: DataFrame, edges: DataFrame, strength: float, apart: list[list[float]] | None = None) -> float:
+    """Costs ``u`` of the labels plus ``strength`` times weight times what two labels cost beside each other, over all pairs (``edges`` hold each both ways)."""
+    own = labels.join(costs, "pid").agg(F.sum(F.get("u", F.col("label")))).first()[0] or 0.0
+    a, b = labels.select(F.col("pid").alias("src"), F.col("label").alias("la")), labels.select(F.col("pid").alias("dst"), F.col("label").alias("lb"))
+    pair = edges.where("src < dst").join(a, "src").join(b, "dst").agg(F.sum(F.col("w") * _beside(F.col("la"), F.col("lb"), apart))).first()[0] or 0.0
+    return own + strength * pair
+
+
+def _beside(a: Column, b: Column, apart: list[list[float]] | None) -> Column:
+    """What label ``a`` beside label ``b`` costs: 1 for unequal ones, or the entry of the matrix."""
+    if apart is None:
+        return (a != b).cast("double")
+    return F.get(F.get(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in apart]), a), b)
+
+
+def expansion(costs: DataFrame, edges: DataFrame, strength: float = 1.0, apart: list[list[float]] | None = None, start: DataFrame | None = None, places: DataFrame | None = None, block: int = EXACT) -> DataFrame:
+    """pid and label (from 0) of low energy by expansion moves: in turn each label offers itself to all points at once, and :func:`least_energy` takes the best set of those that change.
+
+    ``costs``: pid and ``u``, the cost of each label; ``edges`` hold each pair both ways with weight ``w``; two labels side by side cost 1 if they differ, or what the matrix
+    ``apart`` says (a metric: 0 for equal ones, symmetric, no way round is shorter). Begins with ``start`` (pid, label), or each point's cheapest label. Ends when no label
+    lowers the energy any more; for two labels that is the least one, for more it is at most twice the least for unequal labels that cost the same.
     """
-    links = edges.where((F.col("w") > 0) & (F.col("src") < F.col("dst")))
-    parts = stage(costs.join(connected_components(links, costs), "pid"), "parts")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > exact).select("component")
-    few = parts.join(large, "component", "left_anti")
-    inner = links.join(few.select(F.col("pid").alias("src"), F.col("component").alias("part")), "src").select("part", "src", "dst", "w")
-
-    def cut(points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        pids = np.sort(points.pid.to_numpy())
-        own = points.set_index("pid").loc[pids]
-        a, b = (np.searchsorted(pids, pairs[c].to_numpy()) for c in ("src", "dst"))
-        labels = minimal_cut(own.u0.to_numpy(), own.u1.to_numpy(), a, b, strength * pairs.w.to_numpy())
-        return pd.DataFrame({"pid": pids, "label": labels.astype(np.int32)})
-
-    done = few.groupBy("component").cogroup(inner.groupBy("part")).applyInPandas(cut, "pid long, label int")
-    if large.isEmpty():
-        return done
-    many = parts.join(large, "component").select("pid", "u0", "u1")
-    return done.unionByName(sweeps(many, edges.join(many.select(F.col("pid").alias("src")), "src", "left_semi"), strength))
+    many = len(apart) if apart is not None else (costs.select(F.size("u")).first() or [0])[0]
+    cheapest = costs.select("pid", (F.array_position("u", F.array_min("u")) - 1).cast("int").alias("label"))
+    labels = stage(start.select("pid", "label") if start is not None else cheapest, "labels")
+    pairs = stage(edges.where((F.col("src") < F.col("dst")) & (F.col("w") > 0)).select("src", "dst", (F.col("w") * strength).alias("w")), "pairs")
+    best = class_energy(labels, costs, edges, strength, apart)
+    since, label = 0, 0
+    while since < many:
+        new = F.lit(label)
+        met = pairs.join(labels.select(F.col("pid").alias("src"), F.col("label").alias("la")), "src").join(labels.select(F.col("pid").alias("dst"), F.col("label").alias("lb")), "dst")
+        stay, left, right = _beside(F.col("la"), F.col("lb"), apart), _beside(new, F.col("lb"), apart), _beside(F.col("la"), new, apart)
+        met = stage(met.select("src", "dst", (F.col("w") * (left - stay)).alias("first"), (-F.col("w") * left).alias("second"), (F.col("w") * (left + right - stay)).alias("cap")), "moves")
+        shares = met.select(F.col("src").alias("pid"), F.col("first").alias("s")).unionByName(met.select(F.col("dst").alias("pid"), F.col("second").alias("s"))).groupBy("pid").agg(F.sum("s").alias("s"))
+        two = labels.join(costs, "pid").join(shares, "pid", "left").select("pid", F.get("u", F.col("label")).alias("u0"), (F.get("u", new) + F.coalesce("s", F.lit(0.0))).alias("u1"))
+        taken = least_energy(two, met.select("src", "dst", "cap"), places, block).where("label = 1").select("pid", new.alias("new"))
+        after = stage(labels.join(taken, "pid", "left").select("pid", F.coalesce("new", "label").alias("label")), "labels")
+        now = class_energy(after, costs, edges, strength, apart)
+        if now < best - 1e-9 * max(1.0, abs(best)):
+            labels, best, since = after, now, 0
+        since, label = since + 1, (label + 1) % many
+    return labels
 
 
 def sweeps(costs: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
