@@ -7,6 +7,7 @@ Nothing here keeps data on the driver: stage tables go to the folder in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import drop_stages, new_path, stage
 
-__all__ = ["bound_batches", "connected_components", "drop_stages", "mix64", "new_names", "new_path", "readers", "shingle_hashes", "stage", "text_batches", "word_hashes"]
+__all__ = ["bound_batches", "connected_components", "drop_stages", "freed_shuffles", "mix64", "new_names", "new_path", "readers", "shingle_hashes", "stage", "text_batches", "word_hashes"]
 
 #: Bytes of text that one numpy pass holds at most, save for a single longer text; such a pass takes some 50 times as much memory.
 BATCH_BYTES = 1 << 19
@@ -31,6 +32,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes a query's shuffle files when the query ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def readers(spark: SparkSession, files: int) -> int:
     """Tasks to read so many files back in. A small shuffle without a number of its own is merged into one task by adaptive execution."""
     return max(1, min(files, 4 * spark.sparkContext.defaultParallelism))

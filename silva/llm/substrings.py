@@ -5,8 +5,8 @@ equal minimisers, and so have most neighbours: consecutive windows whose minimis
 bucket of that minimiser. There they are sorted; equal strings follow each other, and of all but the first every window has occurred before. The
 windows of different strings are hashed to 128 bits and sorted, so each is compared with the first of its kind.
 
-Strings are packed by a codebook of frequent words, two bytes a word; other words are spelled out. A task removes copies of a string among a batch of texts before the
-shuffle, so a passage that very many texts hold sends one string a batch. A bucket that many different strings share (a common phrase, each time between other words) lets its
+Strings are packed: half a byte a word says what it is, a frequent word (two bytes of a codebook), one spelled out, or one of 15 bytes or more (a digest of 128 bits). A task removes
+copies of a string among 16 MB of texts before the shuffle, so a passage that very many texts hold sends one string for them all. A bucket that many different strings share (a common phrase, each time between other words) lets its
 windows go on alone, by their own hashes, so no task holds a whole bucket. Nothing is left out either way.
 """
 
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop_stages, mix64, stage
+from .common import bound_batches, drop_stages, freed_shuffles, mix64, stage
 
 WINDOW, RUN = 20, 5
 #: Frequent words that get a code of 15 bits, and the longest of them in bytes.
@@ -30,9 +30,13 @@ CODES, CODED_BYTES = 32_766, 32
 PASS_BYTES = 1 << 20
 #: Different strings of one bucket that a task holds; the windows of a bucket with more go on alone.
 CROWD = 4096
+#: Bytes of text among which a task removes copies, and rows of what it hands on at once.
+COPY_BYTES, ROWS = 16 << 20, 20_000
 #: An id for null, below all others.
 NO_ID = -(1 << 63)
-_SPELLED, _CODED = 0xFFFF, 0x8000
+#: What half a byte says of a word: 0 a code, else its length, 15 a digest; and the bytes that follow.
+_LONG = 15
+_BYTES = np.array([2, *range(1, _LONG), 16])
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SUPERS = "minimiser long, id long, text_hash long, start int, n int, packed binary"
@@ -99,7 +103,7 @@ class Packer:
         raw = np.frombuffer(b" ".join([*book, b""]), dtype=np.uint8)
         _, _, hashes = self._words(raw)
         order = np.argsort(hashes, kind="stable")
-        self.known, self.codes = hashes[order], (order + _CODED).astype(np.uint16)
+        self.known, self.codes = hashes[order], order.astype(np.uint16)
 
     def _words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, stops = _runs(~_SPACE[raw])
@@ -157,25 +161,38 @@ class Packer:
         after = np.flatnonzero(begin | ~inside)
         following = np.searchsorted(after, head, "right")
         n = np.concatenate((after, [len(inside)]))[following] - head
-        size = stops - starts
-        at = np.searchsorted(self.known, words)
-        at[at == len(self.known)] = 0
-        coded = self.known[at] == words if len(self.known) else np.zeros(many, dtype=bool)
-        units = np.where(coded, 1, 1 + size)
-        offsets = np.concatenate(([0], np.cumsum(units)))
-        packed = np.empty(offsets[-1], dtype=np.uint16)
-        packed[offsets[:-1]] = np.where(coded, self.codes[at], _SPELLED) if len(self.known) else _SPELLED
-        spelled = np.flatnonzero(~coded)
-        if len(spelled):
-            nth = np.arange(size[spelled].sum()) - np.repeat(np.cumsum(size[spelled]) - size[spelled], size[spelled])
-            packed[np.repeat(offsets[spelled] + 1, size[spelled]) + nth] = raw[np.repeat(starts[spelled], size[spelled]) + nth]
         whole = self.units.slices(self.units.sums(words), head, head + n + (wide - 1))
-        blob = packed.tobytes()
-        strings = [blob[a:b] for a, b in zip((offsets[head] * 2).tolist(), (offsets[head + n + (wide - 1)] * 2).tolist())]
+        strings = self.packed(raw, starts, stops, words, head, n + (wide - 1))
         piece = piece_of[head]
         rows, before = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
         return rows[piece], head - first[piece] + before[piece], n, least[head], whole, strings
 
+    def packed(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, words: np.ndarray, head: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The packed strings of ``n`` words from each of ``head``: half bytes that say what the words are, then their bytes."""
+        size = stops - starts
+        kind = np.minimum(size, _LONG)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+            coded = np.flatnonzero(self.known[at] == words)
+            kind[coded] = 0
+        offsets = np.concatenate(([0], np.cumsum(_BYTES[kind])))
+        body = np.zeros(offsets[-1], dtype=np.uint8)
+        if len(self.known):
+            body[offsets[coded]], body[offsets[coded] + 1] = self.codes[at[coded]] >> 8, self.codes[at[coded]] & 255
+        spelled = np.flatnonzero((kind > 0) & (kind < _LONG))
+        nth = np.arange(size[spelled].sum()) - np.repeat(np.cumsum(size[spelled]) - size[spelled], size[spelled])
+        body[np.repeat(offsets[spelled], size[spelled]) + nth] = raw[np.repeat(starts[spelled], size[spelled]) + nth]
+        long = np.flatnonzero(kind == _LONG)
+        digests = b"".join(hashlib.blake2b(raw[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts[long].tolist(), stops[long].tolist()))
+        body[offsets[long][:, None] + np.arange(16)] = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
+        even = n + (n & 1)
+        flat = np.zeros(even.sum(), dtype=np.uint8)
+        into = np.cumsum(even) - even
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        flat[np.repeat(into, n) + nth] = kind[np.repeat(head, n) + nth]
+        kinds, blob = (flat[0::2] << 4 | flat[1::2]).tobytes(), body.tobytes()
+        return [kinds[a:b] + blob[c:d] for a, b, c, d in zip((into // 2).tolist(), ((into + even) // 2).tolist(), offsets[head].tolist(), offsets[head + n].tolist())]
+
 
 def _later(ids: np.ndarray, starts: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Which rows have an equal key with a smaller (id, start)."""
@@ -190,18 +207,31 @@ def _later(ids: np.ndarray, starts: np.ndarray, *keys: np.ndarray) -> np.ndarray
 
 
 def _split(batches: Iterator[pa.RecordBatch], packer: Packer) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
-        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        parts = [packer.supers(p) for p in packer.pieces([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()])]
-        row, start, n, minimiser, whole = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        strings = [s for p in parts for s in p[5]]
-        if not len(row):
-            continue
-        gone = _later(ids[row], start, minimiser, whole)  # copies in this batch
-        place = np.where(gone, hashes[row], minimiser.view(np.int64))  # what is found already travels with the rest, to any task
-        width = np.where(gone, n + packer.window - 1, n)
-        made = [place, ids[row], hashes[row], start.astype(np.int32), width.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array([None if g else s for g, s in zip(gone.tolist(), strings)], pa.binary())], ["minimiser", "id", "text_hash", "start", "n", "packed"])
+        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        for piece in packer.pieces(texts):
+            row, *rest = packer.supers(piece)
+            held.append((batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], *rest))
+            size += sum(len(p[2]) for p in piece)
+            if size >= COPY_BYTES:
+                yield from _shipped(held, packer.window)
+                held, size = [], 0
+    if held:
+        yield from _shipped(held, packer.window)
+
+
+def _shipped(parts: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
+    """Strings of texts on their way to the buckets; of copies only the first, and the place of the others."""
+    ids, hashes, start, n, minimiser, whole = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    strings = [s for p in parts for s in p[6]]
+    gone = _later(ids, start, minimiser, whole)
+    place = np.where(gone, hashes, minimiser.view(np.int64))  # what is found already travels with the rest, to any task
+    columns = [place, ids, hashes, start.astype(np.int32), np.where(gone, n + window - 1, n).astype(np.int32)]
+    sent = pa.array([None if g else s for g, s in zip(gone.tolist(), strings)], pa.binary())
+    made = pa.RecordBatch.from_arrays([*map(pa.array, columns), sent], ["minimiser", "id", "text_hash", "start", "n", "packed"])
+    for at in range(0, made.num_rows, ROWS):
+        yield made.slice(at, ROWS)
 
 
 class _Bucket:
@@ -226,15 +256,27 @@ _TWO = _Hash(0x5851F42D4C957F2D, 11), _Hash(0xD1342543DE82EF95, 12)
 
 def _windows(strings: _Bucket, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows: the string, its place there, and two hashes."""
-    units = np.frombuffer(b"".join(strings.strings), dtype=np.uint16)
-    words = np.concatenate((np.flatnonzero(units >= _CODED), [len(units)]))
     n = strings.columns[4].astype(np.int64)
-    base = np.cumsum(n + window - 1) - (n + window - 1)
+    words = n + window - 1
+    heads = (words + 1) // 2
+    raw = np.frombuffer(b"".join(strings.strings), dtype=np.uint8)
+    size = np.array([len(s) for s in strings.strings])
+    base = np.cumsum(size) - size
+    nth = np.arange(heads.sum()) - np.repeat(np.cumsum(heads) - heads, heads)
+    both = raw[np.repeat(base, heads) + nth]
+    halves = np.stack((both >> 4, both & 15), axis=1).ravel()
+    kind = halves[np.arange(2 * heads.sum()) - np.repeat(2 * (np.cumsum(heads) - heads), 2 * heads) < np.repeat(words, 2 * heads)].astype(np.int64)
+    before = np.cumsum(_BYTES[kind]) - _BYTES[kind]  # bytes of all words before
+    first = np.cumsum(words) - words
+    starts = before - np.repeat(before[first], words) + np.repeat(base + heads, words)
     owner = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    at = base[owner] + nth
-    h1, h2 = (h.slices(h.sums(h.table[units]), words[at], words[at + window]) for h in _TWO)
-    return owner, nth, h1, h2
+    at = first[owner] + nth
+    found = []
+    for h in _TWO:
+        word = mix64(h.slices(h.sums(h.table[raw]), starts, starts + _BYTES[kind]) + kind.astype(np.uint64))
+        found.append(h.slices(h.sums(word), at, at + window))
+    return owner, nth, *found
 
 
 def _ranges(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -335,7 +377,8 @@ def repeated_ranges(docs: DataFrame, book: list[bytes], id_col: str = "id", hash
     shared = docs.sparkSession.sparkContext.broadcast(book)  # CODES words at most, of CODED_BYTES at most
     supers = docs.select(id_col, hash_col, text_col).mapInArrow(lambda batches: _split(batches, Packer(shared.value, window, run)), SUPERS)
     buckets = supers.repartition("minimiser").sortWithinPartitions("minimiser", "packed", "id", "start")
-    found = stage(buckets.mapInArrow(lambda batches: _resolve(batches, window, crowd), FOUND), "ranges")
+    with freed_shuffles(docs.sparkSession):
+        found = stage(buckets.mapInArrow(lambda batches: _resolve(batches, window, crowd), FOUND), "ranges")
     loose = found.where("h1 IS NOT NULL")
     first = loose.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     alone = loose.join(first, ["h1", "h2"]).where(F.struct("id", "start") > F.col("_first"))
