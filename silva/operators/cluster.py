@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neighbors
 from .graph import connected_components
-from .tables import drop_stages, stage
+from .tables import drop_stages, numbered, stage
 
 
 def dbscan(points: DataFrame, eps: float, at_least: int, keys: list[str] | None = None, flat: bool = False) -> DataFrame:
@@ -31,8 +31,7 @@ def slice_clusters(points: DataFrame, eps: float = 0.1, at_least: int = 20, more
     sizes = points.groupBy("n_slice").agg(F.count("*").alias("_size")).where(F.col("_size") > more_than)
     found = dbscan(points.join(sizes.select("n_slice"), "n_slice", "left_semi"), eps, at_least, ["n_slice"])
     ids = found.select("n_slice", F.col("clstr").alias("local")).distinct()
-    # one row per cluster, not per point
-    ids = ids.withColumn("clstr", (F.dense_rank().over(Window.orderBy("n_slice", "local")) - 1).cast("long"))
+    ids = numbered(ids, ["n_slice", "local"], "clstr")
     labelled = found.withColumnRenamed("clstr", "local").join(ids, ["n_slice", "local"]).select("pid", "clstr")
     return points.join(labelled, "pid", "left").withColumn("clstr", F.coalesce("clstr", F.lit(-1).cast("long")))
 
@@ -45,18 +44,33 @@ def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed
     """
     rank = points.select("pid", F.struct((F.col(order) if order else F.xxhash64(F.lit(seed), "pid")).alias("h"), F.col("pid").alias("p")).alias("rank"))
     near = stage(neighbors.radius_join(points, points, ball, with_self=True, keys=keys).select("src", "dst", "d2"), "balls")
-    live = stage(near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("pid").join(rank, "pid"), "live")
-    close = stage(neighbors.radius_join(points, points, patch, keys=keys).select("src", "dst"), "close")
+    able = near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("pid")
+    close = neighbors.radius_join(points, points, patch, keys=keys).select("src", "dst")
+    return _nearest_seeds(near, _seeds(able.join(rank, "pid"), close))
+
+
+def _seeds(able: DataFrame, reach: DataFrame) -> DataFrame | None:
+    """The greedy choice among ``able`` (pid, rank) in the order of rank: a point is chosen unless an earlier choice reaches it (``reach``: src reaches dst).
+
+    Each round takes all that no live earlier point reaches, which gives what one pass in order would.
+    """
+    live = stage(able, "live")
+    ranks = [live.select(F.col("pid").alias(end), F.col("rank").alias(f"{end}_rank")) for end in ("src", "dst")]
+    before = stage(reach.join(ranks[0], "src").join(ranks[1], "dst").where("src_rank < dst_rank").select("src", "dst"), "before")
     seeds = None
     while not live.isEmpty():
-        around = close.join(live.select(F.col("pid").alias("src"), F.col("rank").alias("own")), "src").join(live.select(F.col("pid").alias("dst"), F.col("rank").alias("other")), "dst")
-        beaten = around.where("other < own").select(F.col("src").alias("pid")).distinct()
+        left = live.select("pid")
+        beaten = before.join(left.withColumnRenamed("pid", "src"), "src", "left_semi").select(F.col("dst").alias("pid"))
         chosen = stage(live.join(beaten, "pid", "left_anti"), "chosen")
-        gone = close.join(chosen.select(F.col("pid").alias("src")), "src", "left_semi").select(F.col("dst").alias("pid")).unionByName(chosen.select("pid")).distinct()
+        gone = before.join(chosen.select(F.col("pid").alias("src")), "src", "left_semi").select(F.col("dst").alias("pid")).unionByName(chosen.select("pid"))
         after = stage(live.join(gone, "pid", "left_anti"), "live")
         drop_stages(live)
         live = after
         seeds = chosen if seeds is None else seeds.unionByName(chosen)
+    return seeds
+
+
+def _nearest_seeds(near: DataFrame, seeds: DataFrame | None) -> DataFrame:
     if seeds is None:
         return near.select(F.col("src").alias("pid"), F.col("dst").alias("center_pid"), "d2").limit(0)
     held = near.join(seeds.select(F.col("pid").alias("src"), "rank"), "src")
@@ -64,6 +78,25 @@ def cover_sets(points: DataFrame, patch: float, ball: float, at_least: int, seed
     return best.select("pid", F.col("x.rank.p").alias("center_pid"), "x.d2")
 
 
+def variable_cover(points: DataFrame, size: str, patch_min: float, patch_max: float, ball: float, at_least: int, seed: int = 0, order: str | None = None) -> DataFrame:
+    """pid, center_pid, d2: like :func:`cover_sets`, but a seed's reach follows its own relative size, a column from 0 to 255.
+
+    A seed's patch grows from ``patch_min`` to ``patch_max`` with its size, and its ball is wider by the root of that share of ``ball - patch_max``. Small sizes (up to 32)
+    choose first, then those up to 128, then the rest; within these by a seeded hash, or the column ``order``. A point is a seed unless an earlier seed's patch
+    holds it, however small its own is. Points of size 0 or null are never seeds, but sets may hold them.
+    """
+    least = patch_min / patch_max
+    share = F.col(size) / 256.0 * (1 - least) + least
+    sized = points.where(F.col(size) > 0).withColumns({"_patch": share * patch_max, "_ball": share * patch_max + F.sqrt(share) * (ball - patch_max)})
+    kind = F.when(F.col(size) <= 32, 0).when(F.col(size) <= 128, 1).otherwise(2)
+    rank = F.struct(kind.alias("k"), (F.col(order) if order else F.xxhash64(F.lit(seed), "pid")).alias("h"), F.col("pid").alias("p"))
+    sized = stage(sized.withColumn("rank", rank), "sized")
+    near = stage(neighbors.radius_join_by_row(sized, points, "_ball"), "balls")
+    able = near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("pid").join(sized.select("pid", "rank"), "pid")
+    reach = near.join(sized.select(F.col("pid").alias("src"), "_patch"), "src").where("src != dst AND d2 < _patch * _patch").select("src", "dst")
+    return _nearest_seeds(near, _seeds(able, reach))
+
+
 def cover_neighbours(points: DataFrame, cover: DataFrame, ball: float, keys: list[str] | None = None) -> DataFrame:
     """set_id, nbr_id: a set neighbours those whose points its seed's ball holds, both ways; of equal ``keys`` only."""
     seeds = points.join(cover.select(F.col("center_pid").alias("pid")).distinct(), "pid", "left_semi")

@@ -13,7 +13,7 @@ from .tables import stage
 AXES = ("x", "y", "z")
 
 
-def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, size: float | Column, prefix: str) -> DataFrame:
     return df.withColumns({f"c{a}": F.floor(F.col(f"{prefix}{a}") / size).cast("long") for a in AXES})
 
 
@@ -43,22 +43,15 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, inclusive:
 def radius_join_by_row(queries: DataFrame, points: DataFrame, radius: str) -> DataFrame:
     """Pairs src, dst, d2 of points strictly within the query's own radius, a column of ``queries``; a query is of its own ball. Null or negative radii find nothing.
 
-    Queries go to cells of about their own size: one join for each power of two of the radius that occurs.
+    Queries go to cells as wide as the next power of two of their radius, and points to one cell for each such width that occurs: one join for them all.
     """
     found = queries.where(F.col(radius) > 0).withColumn("_step", F.ceil(F.log2(radius)).cast("int"))
-    steps = [r[0] for r in found.select("_step").distinct().collect()]  # some dozens at most
-    parts = []
-    for step in sorted(steps):
-        size = float(2.0**step)
-        own = found.where(F.col("_step") == step).select(F.col("pid").alias("q_pid"), *[F.col(a).cast("double").alias(f"q_{a}") for a in AXES], F.col(radius).cast("double").alias("_r"))
-        pairs = _around(_cells(own, size, "q_")).join(_cells(_named(points, "p_", []), size, "p_"), ["cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
-        parts.append(pairs.where(F.col("d2") < F.col("_r") * F.col("_r")).select(F.col("q_pid").alias("src"), F.col("p_pid").alias("dst"), "d2"))
-    if not parts:
-        return queries.select(F.col("pid").alias("src"), F.col("pid").alias("dst"), F.lit(0.0).alias("d2")).limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    steps = sorted(r[0] for r in found.select("_step").distinct().collect())  # some dozens at most
+    own = found.select("_step", F.col("pid").alias("q_pid"), *[F.col(a).cast("double").alias(f"q_{a}") for a in AXES], F.col(radius).cast("double").alias("_r"))
+    placed = _named(points, "p_", []).withColumn("_step", F.explode(F.array(*[F.lit(n) for n in steps]).cast("array<int>")))
+    size = F.pow(F.lit(2.0), F.col("_step"))
+    pairs = _around(_cells(own, size, "q_")).join(_cells(placed, size, "p_"), ["_step", "cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
+    return pairs.where(F.col("d2") < F.col("_r") * F.col("_r")).select(F.col("q_pid").alias("src"), F.col("p_pid").alias("dst"), "d2")
 
 
 def _crowding(points: DataFrame, size: float) -> float:

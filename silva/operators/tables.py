@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             found = kept.get()
-        elif not spark.sparkContext.master.startswith("local["):
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = tempfile.mkdtemp(prefix="silva-checkpoint-")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import floor_index
 from .tables import stage
 
+#: Cells to a block's side at least.
+BLOCK = 64
+
 
 def ground_cells(points: DataFrame, ground: Column, size: float = 0.5, median_value: bool = False) -> DataFrame:
     """ix, iy, ground: the height of the ground point that equals its cell's median. A cell without such a point is absent, unless ``median_value``."""
@@ -48,11 +54,29 @@ def _images(i: Column, many: Column, h: int) -> Column:
     return F.filter(all_, lambda v: (v >= -h) & (v < many + h))
 
 
+def _block_medians(h: int, side: int, nx: int, ny: int):
+    """For a block of ``side`` cells: the median over the window of each of its cells, from the cells of the block and its halo."""
+
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(key[0]) * side, int(key[1]) * side
+        grid = np.full((min(side, nx - x0) + 2 * h, min(side, ny - y0) + 2 * h), np.nan)
+        grid[cells.vx.to_numpy() - x0 + h, cells.vy.to_numpy() - y0 + h] = cells.ground.to_numpy()
+        out = []
+        for row in range(len(grid) - 2 * h):  # windows of one row at a time
+            windows = sliding_window_view(grid[row : row + 2 * h + 1], 2 * h + 1, axis=1)
+            flat = windows.transpose(1, 0, 2).reshape(windows.shape[1], -1)
+            held = np.flatnonzero(~np.isnan(flat).all(axis=1))
+            out.append(pd.DataFrame({"ix": x0 + row, "iy": y0 + held, "ground": np.nanmedian(flat[held], axis=1)}))
+        return pd.concat(out)
+
+    return run
+
+
 def fill(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """ix, iy, ground of all cells of ``grid`` (one row: ix_min, ix_max, iy_min, iy_max).
 
-    Every cell becomes the median of its window, which is as wide as it takes to leave no cell empty, and mirrored at the borders. Each ground cell goes to
-    the windows that hold it. Without any ground the grid has no rows.
+    Every cell becomes the median of its window, which is as wide as it takes to leave no cell empty, and mirrored at the borders. Ground cells go to the blocks whose
+    windows hold them: four at most, as a block is at least as wide as a window, so what is shuffled doesn't depend on the window. Without any ground the grid has no rows.
     """
     cells = stage(cells.select("ix", "iy", "ground"), "cells")
     box = grid.first()
@@ -62,12 +86,14 @@ def fill(cells: DataFrame, grid: DataFrame) -> DataFrame:
     whole = grid.sparkSession.range(nx * ny).select((F.col("id") % nx + box.ix_min).alias("ix"), (F.floor(F.col("id") / nx) + box.iy_min).alias("iy"))
     h = _reach(cells, whole, nx * ny)
     images = cells.select(F.explode(_images(F.col("ix") - box.ix_min, F.lit(nx), h)).alias("vx"), "iy", "ground").select("vx", F.explode(_images(F.col("iy") - box.iy_min, F.lit(ny), h)).alias("vy"), "ground")
+    side = max(BLOCK, 2 * h + 1)
 
-    def span(v: str, many: int) -> Column:
-        return F.explode(F.sequence(F.greatest(F.col(v) - h, F.lit(0)), F.least(F.col(v) + h, F.lit(many - 1))))
+    def blocks(v: str, many: int) -> Column:
+        first, last = F.floor((F.col(v) - h) / side), F.floor((F.col(v) + h) / side)
+        return F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit((many - 1) // side))))
 
-    spread = images.select(span("vx", nx).alias("ix"), "vy", "ground").select("ix", span("vy", ny).alias("iy"), "ground")
-    out = spread.groupBy("ix", "iy").agg(F.median("ground").alias("ground"))
+    spread = images.select("*", blocks("vx", nx).alias("bx")).select("*", blocks("vy", ny).alias("by"))
+    out = spread.groupBy("bx", "by").applyInPandas(_block_medians(h, side, nx, ny), "ix long, iy long, ground double")
     return stage(out.select((F.col("ix") + box.ix_min).alias("ix"), (F.col("iy") + box.iy_min).alias("iy"), "ground"), "terrain")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import branches, cluster, graph, neighbors, regularize, shape, terrain, voxel
+from ..operators import branches, cluster, graph, neighbors, regularize, shape, tables, terrain, voxel
 from . import pipelines, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +212,7 @@ def _rank(spark, d):
 @query("label_offset_dense", "SELECT p_size, p_brand, CAST(dense_rank() OVER (ORDER BY p_size, p_brand) - 1 AS BIGINT) AS clstr FROM (SELECT DISTINCT p_size, p_brand FROM part)")
 def _label_offset(spark, d):
     ids = views.table(spark, d, "part").select("p_size", "p_brand").distinct()
-    return ids.withColumn("clstr", (F.dense_rank().over(Window.orderBy("p_size", "p_brand")) - 1).cast("long"))
+    return tables.numbered(ids, ["p_size", "p_brand"], "clstr")
 
 
 @query("map_dict_left", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
@@ -596,3 +596,6 @@ def _split_branches(spark, d):
 @query("filter_pipeline")
 def _filtered(spark, d):
     return pipelines.filtered(views.embed(spark, d), radius=0.05, sets=3, size=0.02)
+
+
+from . import catalog_points  # noqa: E402, F401  more queries, registered by import

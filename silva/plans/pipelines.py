@@ -6,12 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax, colour, diameter_class, floor_index
 from ..operators import cluster, graph, neighbors, regularize, shape, terrain, voxel
-from ..operators.tables import stage
+from ..operators.tables import numbered, stage
 
 CLASSES = ["pTerrain", "pLeaf", "pCWD", "pWood"]
 
@@ -46,9 +46,9 @@ def face_points(voxels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def number_trees(stems: DataFrame) -> DataFrame:
-    """``stems`` (t_clstr, radius) with tree, from 1 by descending radius, and the diameter class. One row per tree, so one window over all."""
-    tree = F.row_number().over(Window.orderBy(F.desc("radius"), "t_clstr"))
-    return stems.withColumns({"tree": tree, "diameter_class": diameter_class("radius")})
+    """``stems`` (t_clstr, radius) with tree, from 1 by descending radius (null last), and the diameter class."""
+    ranked = numbered(stems.withColumns({"_none": F.col("radius").isNull(), "_thin": -F.col("radius")}), ["_none", "_thin", "t_clstr"], "tree")
+    return ranked.select(*stems.columns, (F.col("tree") + 1).cast("int").alias("tree"), diameter_class("radius").alias("diameter_class"))
 
 
 def classify(points: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], at_least: int = 1000, ground_height: float = 0.1) -> DataFrame:
