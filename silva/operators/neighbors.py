@@ -88,13 +88,13 @@ def first_cell(points: DataFrame, k: int) -> float:
 def knn(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False, cell: float | None = None, keys: list[str] | None = None, same: bool = True) -> DataFrame:
     """The k nearest ``points`` of each query, exactly: src, dst, d2, rank (from 1), ties by pid; of equal ``keys`` only.
 
-    A query is settled when its kth distance is within its distance to the border of the 27 cells searched; the others go on with cells
-    twice as wide, until one block spans everything. Fewer than k points give fewer rows. With ``same``, both
+    A query is settled when k points lie within its distance to the border of the 27 cells searched, and only those are ranked; the others go on with cells
+    twice as wide and meet only the points near them, until one block spans everything. Fewer than k points give fewer rows. With ``same``, both
     sides are one table and a point isn't its own neighbour unless ``with_self``.
     """
     keys = keys or []
     size = cell or first_cell(points, k)
-    p0 = _named(points, "p_", keys)
+    p0 = stage(_named(points, "p_", keys), "points")
     q0 = _named(queries, "q_", keys)
     if not size:
         size = 1.0
@@ -106,21 +106,22 @@ def knn(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False,
         q = _cells(pending, size, "q_")
         low = F.least(*[F.col(f"q_{a}") - (F.col(f"c{a}") - 1) * size for a in AXES])
         high = F.least(*[(F.col(f"c{a}") + 2) * size - F.col(f"q_{a}") for a in AXES])
+        q = q.withColumn("margin", F.lit(float("inf")) if last else F.least(low, high))
+        cells = [*keys, "cx", "cy", "cz"]
+        near = _cells(p0, size, "p_")
+        if done is not None:
+            near = near.join(_around(q.select(*cells).distinct()).distinct(), cells, "left_semi")
         # points go to all cells that look for them and a query stays in its own, so its candidates meet in one task and are ranked there without a shuffle
-        q = q.withColumn("margin", F.least(low, high))
-        pairs = q.join(_around(_cells(p0, size, "p_")), [*keys, "cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
+        pairs = q.join(_around(near), cells).withColumn("d2", squared_distance("q_", "p_")).where(F.col("d2") <= F.col("margin") * F.col("margin"))
         if same and not with_self:
             pairs = pairs.where("q_pid <> p_pid")
-        own = Window.partitionBy(*keys, "cx", "cy", "cz", "q_pid")
-        ranked = pairs.withColumn("rank", F.row_number().over(own.orderBy("d2", "p_pid"))).where(F.col("rank") <= k)
-        settled = F.max(F.struct("rank", "d2")).over(own)
-        ranked = ranked.withColumn("_last", settled)
+        own = Window.partitionBy(*cells, "q_pid")
+        ranked = pairs.withColumns({"rank": F.row_number().over(own.orderBy("d2", "p_pid")), "_held": F.count("*").over(own)}).where(F.col("rank") <= k)
         if last:
             return _edges(ranked, keys) if done is None else done.unionByName(_edges(ranked, keys))
-        ok = (F.col("_last.rank") == k) & (F.sqrt(F.col("_last.d2")) <= F.col("margin"))
-        ranked = stage(ranked.where(ok).select(*keys, "q_pid", "p_pid", "d2", "rank"), "knn")
+        ranked = stage(ranked.where(F.col("_held") >= k).select(*keys, "q_pid", "p_pid", "d2", "rank"), "knn")
         done = _edges(ranked, keys) if done is None else done.unionByName(_edges(ranked, keys))
-        pending = stage(pending.join(ranked.select(*keys, "q_pid").distinct(), [*keys, "q_pid"], "left_anti"), "pending")
+        pending = stage(pending.join(ranked.where("rank = 1").select(*keys, "q_pid"), [*keys, "q_pid"], "left_anti"), "pending")
         if pending.isEmpty():
             return done
         size *= 2

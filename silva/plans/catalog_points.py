@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, regularize, sampling
-from . import views
-from .catalog import D2, KNN5, _rounded, _with, query
+from ..functions import table_functions
+from ..operators import cluster, graph, regularize, sampling, tables
+from ..sources import format
+from . import pipelines, views
+from .catalog import D2, KNN5, LIN, _rounded, _with, query
 
 SIZES = (
     "sized AS (SELECT *, (pid * 37 % 257) % 256 AS rel, (pid * 37 % 257) % 256 / 256::DOUBLE * 0.5::DOUBLE + 0.5::DOUBLE AS share FROM embed), "
@@ -58,3 +60,27 @@ def _expansion(spark, d):
     p = views.embed(spark, d)
     costs = regularize.class_costs(p.select("pid", *[F.abs(a).alias(a) for a in "xyz"]), ["x", "y", "z"])
     return regularize.expansion(costs, graph.adjacency(p, 5, 0.5), 0.5, places=regularize.along_curve(p, 0.1))
+
+
+@query("table_functions", f"{_with(LIN)} SELECT k AS key, n, round((e1 - (3 * m - e1 - e3)) / e1, 6) AS linearity FROM e")
+def _table_functions(spark, d):
+    table_functions.register(spark)
+    views.embed(spark, d).createOrReplaceTempView("silva_embed")
+    found = spark.sql("SELECT * FROM silva_linearity(TABLE(SELECT CAST(label AS BIGINT) AS label, x, y, z FROM silva_embed) PARTITION BY label)")
+    return _rounded(found, "linearity")
+
+
+@query("files_round_trip", f"{_with()} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(label AS DOUBLE) AS label, CAST(pid AS DOUBLE) AS source FROM orders_ WHERE x > 10")
+def _files(spark, d):
+    """Points written and read back by the data source, in ranges of records, with a filter that reaches the reader."""
+    format.register(spark)
+    folder = tables.new_path(spark, "points")
+    views.orders(spark, d).withColumnRenamed("pid", "source").write.format(format.NAME).option("kind", "ply").mode("append").save(folder)
+    back = spark.read.format(format.NAME).option("rowsPerPartition", 4000).load(folder)
+    return _rounded(back.where("x > 10").select("x", "y", "z", "label", "source"), "x", "y", "z")
+
+
+@query("segment_branches")
+def _into_branches(spark, d):
+    p = views.embed(spark, d).withColumn("seg_id", F.col("label").cast("long"))
+    return pipelines.into_branches(p.drop("label"), 0.1, 0.12, 3, 50, 0.2)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax, colour, diameter_class, floor_index
-from ..operators import cluster, graph, neighbors, regularize, shape, terrain, voxel
+from ..operators import branches, cluster, graph, neighbors, regularize, shape, terrain, voxel
 from ..operators.tables import numbered, stage
 
 CLASSES = ["pTerrain", "pLeaf", "pCWD", "pWood"]
+#: Patch, ball and points in a ball of the cover sets that part segments into branches.
+PATCH, BALL, BALL_POINTS = 0.1, 0.12, 3
 
 
 @dataclass(frozen=True)
@@ -194,8 +196,18 @@ def large_components(points: DataFrame, patch: float, ball: float, sets: int, at
     return points.join(cover.join(inside, "center_pid", "left_semi").select("pid"), "pid", "left_semi")
 
 
-def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength: float = 0.5, rounds: int = 10, split_above: int = 10) -> DataFrame:
-    """pid, seg_id, linearity, p_wood, label (1 wood): regions grown by normals, split again while that changes them, judged by linearity, smoothed on the graph."""
+def into_branches(points: DataFrame, patch: float, ball: float, at_least: int, more_than: int = 100, height: float = 1.0) -> DataFrame:
+    """pid and seg_id, the smallest pid of each branch that :func:`branches.split_branches` makes of the segments; what no branch of a segment reaches stays together."""
+    split = stage(branches.split_branches(points, patch, ball, at_least, more_than, height).select("pid", "seg_id", F.coalesce("branch", F.lit(0)).alias("branch")), "branches")
+    names = split.groupBy("seg_id", "branch").agg(F.min("pid").alias("name"))
+    return split.join(names, ["seg_id", "branch"]).select("pid", F.col("name").alias("seg_id"))
+
+
+def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength: float = 0.5, rounds: int = 10, split_above: int = 10, patch: float = PATCH, ball: float = BALL, at_least: int = BALL_POINTS, more_than: int = 100, height: float = 1.0) -> DataFrame:
+    """pid, seg_id, linearity, p_wood, label (1 wood): regions grown by normals, split again while that changes them, tall ones of many points parted into branches, judged by linearity, smoothed on the graph.
+
+    A segment of more than ``more_than`` points over ``height`` is covered with sets and followed from its lowest one (``patch``, ``ball`` and ``at_least`` are those of the cover).
+    """
     near = stage(neighbors.knn(points, points, k), "near")
     flat = shape.normals(points, k)
     regions = graph.region_growing(points.join(flat, "pid"), "nz", k, threshold, near)
@@ -216,8 +228,9 @@ def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength
             break
         done = stage(done.join(moved, "pid", "left").select("pid", F.coalesce("region", "seg_id").alias("seg_id")), "segments")
         live = moved.withColumnRenamed("region", "seg_id")
+    done = into_branches(points.join(done, "pid"), patch, ball, at_least, more_than, height)
     judged = stage(shape.wood_probability(points.join(done, "pid")).select("pid", "seg_id", "linearity", "p_wood"), "judged")
-    smooth = regularize.smooth(regularize.unary(judged), graph.adjacency(points, k, 0.0, near), strength)
+    smooth = regularize.smooth(regularize.unary(judged), graph.adjacency(points, k, 0.0, near), strength, places=regularize.along_curve(points, ball))
     return judged.join(smooth, "pid")
 
 

@@ -68,3 +68,19 @@ def test_a_forked_stem_is_split(spark):
     far = [r for r in got if r.seg_id == 1 and r.x > 0.4 and r.branch]
     assert {r.branch for r in low if r.branch} == {1} and len({r.branch for r in far}) == 1 and len(far) > 100
     assert len({r.branch for r in got if r.seg_id == 1 and r.branch}) >= 2
+
+
+def test_segments_become_branches(spark):
+    from silva.plans import pipelines
+
+    rng = np.random.default_rng(3)
+    h, up = rng.uniform(0, 2, 500), rng.uniform(0, 1.2, 300)
+    rows = [(0.0, 0.0, z) for z in h] + [(t * 0.9, 0.0, 1.0 + t * 0.5) for t in up]
+    rows = [(i, *map(float, p + rng.normal(scale=0.01, size=3)), 7) for i, p in enumerate(np.array(rows))] + [(2000 + i, 9.0, 9.0, i / 100, 8) for i in range(50)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double, seg_id long")
+    got = {r.pid: r.seg_id for r in pipelines.into_branches(points, 0.1, 0.13, 3).collect()}
+    assert set(got) == {r[0] for r in rows} and {got[2000 + i] for i in range(50)} == {2000}
+    arm = {got[r[0]] for r in rows if r[4] == 7 and r[1] > 0.4}
+    stem = {got[r[0]] for r in rows if r[4] == 7 and r[3] < 0.8}
+    most = lambda part: max(part, key=lambda s: sum(v == s for v in got.values()))
+    assert most(arm) != most(stem) and all(got[s] == s for s in set(got.values()))
