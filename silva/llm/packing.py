@@ -29,7 +29,7 @@ from .tokens import encoder
 CAPACITY = 2048
 GROUP = 1500
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 16, 6
-WELL_FILLED = 0.98
+WELL_FILLED = 0.9995
 END_ID = 0
 
 Bins = list[list[int]]
@@ -213,13 +213,23 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     columns = found.columns
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    found = stage(found, "pieces")
-    groups = max(1, -(-found.count() // GROUP))
-    first = stage(pack_groups(stage(_grouped(found, groups, order), "dealt"), groups, capacity, "first"), "packed")
+    live, whole, before, turn = stage(found, "pieces"), None, None, 0
+    left = live.count()
     poor = F.col("fill") < WELL_FILLED * capacity
-    rest = first.where(poor).select(*columns)
-    again = max(1, -(-rest.count() // GROUP))
-    second = pack_groups(stage(_grouped(rest, again, order), "dealt"), again, capacity, "second").withColumn("grp", F.col("grp") + groups)
-    whole = first.where(~poor).unionByName(second)
-    at = F.sum("length").over(Window.partitionBy("grp", "bin").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return whole.withColumn("offset", at).withColumn("sequence_id", F.col("grp") * (1 << 24) + F.col("bin")).select(*columns, "sequence_id", "offset")
+    while True:
+        # what groups leave poorly filled is dealt anew among fewer groups, until one holds it all or a pass saves no bin
+        groups = max(1, -(-left // GROUP))
+        packed = stage(pack_groups(stage(_grouped(live, groups, order), "dealt"), groups, capacity, f"pass{turn}").withColumn("turn", F.lit(turn)), "packed")
+        bins = packed.select("grp", "bin", "fill").distinct()
+        after, again = bins.count(), bins.where(poor).count()
+        if groups == 1 or again < 2 or (before is not None and after >= before):
+            whole = packed if whole is None else whole.unionByName(packed)
+            break
+        full = packed.where(~poor)
+        whole = full if whole is None else whole.unionByName(full)
+        live, before, turn = packed.where(poor).select(*columns), again, turn + 1
+        left = live.count()
+    bin_ = ["turn", "grp", "bin"]
+    at = F.sum("length").over(Window.partitionBy(*bin_).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    number = F.col("turn") * (1 << 56) + F.col("grp") * (1 << 24) + F.col("bin")  # a group's bins are fewer than its pieces
+    return whole.withColumn("offset", at).withColumn("sequence_id", number.cast("long")).select(*columns, "sequence_id", "offset")
