@@ -17,7 +17,7 @@ def dbscan(points: DataFrame, eps: float, at_least: int, keys: list[str] | None
     """
     keys = keys or []
     cloud = points.withColumn("z", F.lit(0.0)) if flat else points
-    near = stage(neighbors.radius_join(cloud, cloud, eps, inclusive=True, with_self=True, keys=keys).select(*keys, "src", "dst"), "near")
+    near = stage(neighbors.radius_join(cloud, cloud, eps, inclusive=True, with_self=True, keys=keys, flat=flat).select(*keys, "src", "dst"), "near")
     core = stage(near.groupBy(*keys, "src").agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select(F.col("src").alias("pid")), "core")
     from_core = near.join(core.select(F.col("pid").alias("src")), "src", "left_semi")
     inner = from_core.join(core.select(F.col("pid").alias("dst")), "dst", "left_semi")

@@ -17,9 +17,9 @@ def _cells(df: DataFrame, size: float | Column, prefix: str) -> DataFrame:
     return df.withColumns({f"c{a}": F.floor(F.col(f"{prefix}{a}") / size).cast("long") for a in AXES})
 
 
-def _around(df: DataFrame) -> DataFrame:
-    """Each row in its own cell and the 26 around it."""
-    offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"o{a}") for a, v in zip(AXES, o)]) for o in product((-1, 0, 1), repeat=3)])
+def _around(df: DataFrame, flat: bool = False) -> DataFrame:
+    """Each row in its own cell and the 26 around it, or the 8 beside it in a flat cloud."""
+    offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"o{a}") for a, v in zip(AXES, o)]) for o in product((-1, 0, 1), repeat=3) if not (flat and o[2])])
     out = df.withColumn("_o", F.explode(offsets))
     return out.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_o.o{a}") for a in AXES}).drop("_o")
 
@@ -28,10 +28,10 @@ def _named(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.col("pid").alias(f"{prefix}pid"), *[F.col(a).cast("double").alias(f"{prefix}{a}") for a in AXES])
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, inclusive: bool = False, with_self: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """Pairs src, dst, d2 of points within ``radius`` (strictly, unless inclusive), of equal ``keys``. Cells are as wide as the radius; queries look into 27."""
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, inclusive: bool = False, with_self: bool = False, keys: list[str] | None = None, flat: bool = False) -> DataFrame:
+    """Pairs src, dst, d2 of points within ``radius`` (strictly, unless inclusive), of equal ``keys``. Cells are as wide as the radius; queries look into 27, or 9 where all z are equal (``flat``)."""
     keys = keys or []
-    q = _around(_cells(_named(queries, "q_", keys), radius, "q_"))
+    q = _around(_cells(_named(queries, "q_", keys), radius, "q_"), flat)
     p = _cells(_named(points, "p_", keys), radius, "p_")
     pairs = q.join(p, [*keys, "cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
     bound = F.lit(float(radius) * float(radius))

@@ -156,3 +156,18 @@ def test_hulls_of_large_clusters_are_those_of_all_points(spark, monkeypatch):
         turn = rng.normal(size=(500, 3))
         assert np.allclose((own @ turn.T).max(axis=0), (hull @ turn.T).max(axis=0)) and len(hull) < 120
     assert got.where("clstr = 5").count() == 8
+
+
+def test_trees_with_leaves_are_written_once_a_row(spark, tmp_path):
+    from silva.sources import format
+
+    format.register(spark)
+    trees = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 5, 10, 20, 30), (2, 0.0, 0.0, 1.0, 5, 10, 20, 30)], "pid long, x double, y double, z double, t_clstr long, red int, green int, blue int")
+    leaves = spark.createDataFrame([(3, 0.1, 0.0, 1.0, 5), (3, 0.1, 0.0, 1.0, 5), (4, 9.0, 9.0, 9.0, None)], "pid long, x double, y double, z double, t_clstr long")
+    whole = pipelines.with_leaves(trees, leaves)
+    whole.write.format("silva").option("kind", "las").mode("overwrite").save(str(tmp_path / "leaf_on"))
+    back = spark.read.format("silva").load(str(tmp_path / "leaf_on"))
+    assert {"red", "green", "blue", "t_clstr", "wood"} <= set(back.columns)
+    got = sorted((round(r.x, 3), round(r.z, 3), int(r.t_clstr), int(r.wood)) for r in back.collect())
+    assert got == [(0.0, 0.0, 5, 1), (0.0, 1.0, 5, 1), (0.1, 1.0, 5, 0)]
+    assert back.where("wood = 0").select(F.max("green")).first()[0] >= 0
