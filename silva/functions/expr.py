@@ -23,10 +23,11 @@ def floor_origin(c: Column | str, size: float) -> Column:
     return floor_index(c, size) * F.lit(float(size))
 
 
-def plain_floor(c: Column | str, size: float, low: Column | float = 0.0) -> Column:
+def plain_floor(c: Column | str, size: Column | float, low: Column | float = 0.0) -> Column:
     """Index of the cell of ``size`` counted from ``low`` by plain division."""
     start = low if isinstance(low, Column) else F.lit(float(low))
-    return F.floor((col(c) - start) / F.lit(float(size))).cast("long")
+    edge = size if isinstance(size, Column) else F.lit(float(size))
+    return F.floor((col(c) - start) / edge).cast("long")
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -87,3 +88,13 @@ def colour(tree: Column, brighter: float = 1.0) -> list[Column]:
     """red, green, blue of a tree by its id, 0 to 254 times ``brighter`` and 255 at most; 211 each without a tree."""
     shades = [F.pmod(F.xxhash64(F.lit(k), tree), F.lit(255)) for k in range(3)]
     return [F.when(tree.isNull(), 211).otherwise(F.least(F.lit(255), F.floor(s * brighter))).cast("int").alias(name) for name, s in zip(("red", "green", "blue"), shades)]
+
+
+# The shares and sizes that tell branches from a segment's continuation.
+MAIN_SHARE, SMALL_SHARE, TINY = 0.7, 0.05, 3
+
+
+def branch_rules(base, size, goes_on, cut, study):
+    """(whether a part ends with its segment, whether it continues it); what does neither begins a branch. Of columns, or of integers and a numpy boolean."""
+    ends = ((base == size) | ((base == 1) & (size <= 2)) | ((base / cut < SMALL_SHARE) & (2 * base >= size)) | (size <= TINY)) & ~goes_on
+    return ends, ~ends & ((base / cut >= MAIN_SHARE) | (size >= MAIN_SHARE * study))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import branch_rules
 from . import cluster
 from .tables import stage
 
-# Layers looked ahead at most, and the shares and sizes that tell branches from the continuation.
-AHEAD, MAIN_SHARE, SMALL_SHARE, TINY = 6, 0.7, 0.05, 3
+#: Fixed value: layers looked ahead at most.
+AHEAD = 6
 
 
 def _around(sets: set[int], near: dict[int, set[int]], but: set[int]) -> set[int]:
@@ -34,9 +36,8 @@ def _parts(sets: set[int], near: dict[int, set[int]], starts: list[set[int]] | N
 
 def _is_branch(base: int, size: int, goes_on: bool, cut: int, study: int) -> tuple[bool, bool]:
     """(whether a part begins a branch, whether it continues the segment)."""
-    ends = not goes_on and (base == size or (base == 1 and size <= 2) or (base / cut < SMALL_SHARE and 2 * base >= size) or size <= TINY)
-    main = not ends and (base / cut >= MAIN_SHARE or size >= MAIN_SHARE * study)
-    return not ends and not main, main
+    ends, main = branch_rules(base, size, np.bool_(goes_on), cut, study)
+    return bool(~ends & ~main), bool(main)
 
 
 def follow(near: dict[int, set[int]], base: set[int]) -> dict[int, tuple[int, int]]:

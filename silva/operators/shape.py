@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import eigenvalues, wood_vote
+from ..functions.expr import branch_rules, eigenvalues, wood_vote
 from . import neighbors
 from .tables import stage
 
@@ -336,9 +336,8 @@ def is_stem(radius: float = 0.025, count: int = 200, cv: float = 0.15) -> Column
 
 def branch_class(base: Column, comp: Column, cut: Column, study: Column, goes_on: Column) -> tuple[Column, Column]:
     """(class, continuation) of a component: 1 begins a branch. The first rule that holds decides."""
-    whole = (base / cut >= 0.7) | (comp >= 0.7 * study)
-    rest = ((base == comp) & ~goes_on) | ((base == 1) & (comp <= 2) & ~goes_on) | ((base / cut < 0.05) & (2 * base >= comp) & ~goes_on) | ((comp <= 3) & ~goes_on)
-    return F.when(rest | whole, 0).otherwise(1), ~rest & whole
+    ends, main = branch_rules(base, comp, goes_on, cut, study)
+    return F.when(ends | main, 0).otherwise(1), main
 
 
 def classify_components(components: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import floor_index, floor_origin, plain_floor
@@ -11,9 +11,9 @@ AXES = ("x", "y", "z")
 
 
 def voxelise(points: DataFrame, size: float, flat: bool = False) -> DataFrame:
-    """Cell indices ix, iy (and iz) and origins xx, yy (and zz) of each point."""
+    """Cell indices ix, iy (and iz) and origins xx, yy (and zz) of each point, in place of those of an earlier call."""
     axes = AXES[:2] if flat else AXES
-    return points.withColumns({f"i{a}": floor_index(a, size) for a in axes} | {f"{a}{a}": floor_origin(a, size) for a in axes})
+    return points.drop("ix", "iy", "iz", "xx", "yy", "zz").withColumns({f"i{a}": floor_index(a, size) for a in axes} | {f"{a}{a}": floor_origin(a, size) for a in axes})
 
 
 def downsample_first(points: DataFrame, size: float, keep_all: bool = False) -> DataFrame:
@@ -50,6 +50,32 @@ def cubes(points: DataFrame, size: float) -> DataFrame:
     return out.drop("nx", "ny", *box.columns)
 
 
+def bordered_cubes(points: DataFrame, size: float, border: int = 3, most: float = 4e9) -> DataFrame:
+    """Cell indices cx, cy, cz and the key ``cell`` as :func:`cubes`, with ``border`` empty layers around the cloud, and ``edge``, the cubes' size.
+
+    While eight bytes for each cube of the whole grid are more than ``most``, the size grows by a tenth, ten times at most; a grid that is larger still has three layers.
+    The size follows from the one row of the bounding box, so nothing but that row is shuffled.
+    """
+    edges = [size]
+    for _ in range(10):
+        edges.append(1.1 * edges[-1])
+
+    def many(a: str, edge: Column, layers: Column | int) -> Column:
+        return F.ceil((F.col(f"{a}_max") - F.col(f"{a}_min")) / edge) + 2 * layers + 1
+
+    def fits(edge: float) -> Column:
+        n = [many(a, F.lit(edge), border).cast("double") for a in AXES]
+        return 8 * n[0] * n[1] * n[2] <= most
+
+    box = bbox(points).withColumn("edge", F.coalesce(*[F.when(fits(e), F.lit(e)) for e in edges]))
+    box = box.withColumn("_layers", F.when(F.col("edge").isNull(), 3).otherwise(border)).withColumn("edge", F.coalesce("edge", F.lit(edges[-1])))
+    box = box.withColumns({f"n{a}": many(a, F.col("edge"), F.col("_layers")) for a in AXES[:2]})
+    out = points.crossJoin(F.broadcast(box))  # one row
+    out = out.withColumns({f"c{a}": plain_floor(a, F.col("edge"), F.col(f"{a}_min")) + F.col("_layers") + 1 for a in AXES})
+    out = out.withColumn("cell", F.col("cx") + (F.col("cy") - 1) * F.col("nx") + (F.col("cz") - 1) * F.col("nx") * F.col("ny"))
+    return out.drop("nx", "ny", "_layers", *(f"{a}_{n}" for a in AXES for n in ("min", "max")))
+
+
 def downsample_cubes(points: DataFrame, size: float) -> DataFrame:
     """The point with the smallest pid of each cube."""
     first = F.row_number().over(Window.partitionBy("cell").orderBy("pid"))

@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass, fields
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import argmax, colour, diameter_class, floor_index
-from ..operators import branches, cluster, graph, neighbors, regularize, shape, terrain, voxel
-from ..operators.tables import numbered, stage
+from ..operators import branches, cluster, graph, inference, neighbors, regularize, shape, terrain, voxel
+from ..operators.tables import numbered, resumed, stage
 
 CLASSES = ["pTerrain", "pLeaf", "pCWD", "pWood"]
 #: Patch, ball and points in a ball of the cover sets that part segments into branches.
 PATCH, BALL, BALL_POINTS = 0.1, 0.12, 3
 
 
+@dataclass(frozen=True)
+class Scan:
+    """Parameters of classification."""
+
+    voxel: float = 0.01
+    step: float = 3.0
+    side: float = 6.0
+    at_least: int = 1000
+    at_most: int = 20_000
+    batch: int = 10
+    k: int = 16
+    wood_threshold: float = 0.5
+    cell: float = 0.5
+    ground_height: float = 0.1
+    model: str = ""
+
+
 @dataclass(frozen=True)
 class Stems:
     """Parameters of tree separation."""
@@ -40,6 +56,24 @@ class Stems:
     wood_label: int = 3
 
 
+@dataclass(frozen=True)
+class Leaves:
+    """Parameters of leaf attachment."""
+
+    voxel_size: float = 0.5
+    k: int = 20
+    longest: float = 1.0
+    least_height: float = 1.5
+
+
+def parameters(kind: type, given: Mapping) -> Scan | Stems | Leaves:
+    """The ``kind`` of parameters with what ``given`` names, such as a file's or a command line's content; a name it hasn't got is an error."""
+    unknown = set(given) - {f.name for f in fields(kind)}
+    if unknown:
+        raise ValueError(f"{kind.__name__} has no {', '.join(sorted(unknown))}")
+    return kind(**given)
+
+
 def face_points(voxels: DataFrame, keys: list[str]) -> DataFrame:
     """Six points per voxel: the extremes on each axis, at the medians of the others."""
     ends = voxels.groupBy(*keys).agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max), ("m", F.median))])
@@ -53,26 +87,22 @@ def number_trees(stems: DataFrame) -> DataFrame:
     return ranked.select(*stems.columns, (F.col("tree") + 1).cast("int").alias("tree"), diameter_class("radius").alias("diameter_class"))
 
 
-def classify(points: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], at_least: int = 1000, ground_height: float = 0.1) -> DataFrame:
-    """``points`` (pid, x, y, z) with class probabilities, label and n_z.
+def classify(points: DataFrame, predict: inference.Predictor | None = None, at_least: int = 1000, ground_height: float = 0.1, load: Callable[[], inference.Predictor] | None = None, p: Scan | None = None) -> DataFrame:
+    """``points`` (pid, x, y, z) with class probabilities, label and n_z; those of an earlier run are dropped.
 
-    ``predict`` gets the rows of one tile, centred, at most 20,000 of them, and returns CLASSES for each. Tiles overlap, so a point may be classified
-    several times; labels are voted from the nearest classified points.
+    ``predict`` is called as :func:`inference.infer` says; ``load`` gives such a function instead, once a Python worker. ``p`` stands for the two single parameters and
+    the others. Tiles overlap, so a point may be classified several times; labels are voted from the nearest classified points. A cloud without a tile of more than
+    at_least points has no rows.
     """
-    cloud = voxel.shift(voxel.downsample_first(points, 0.01))
-    tiled = voxel.sample_tiles(voxel.tiles(cloud.select("pid", "x", "y", "z")), at_least)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        local = rows[["x", "y", "z"]] - rows[["local_x", "local_y", "local_z"]].to_numpy()
-        return pd.concat([rows[["pid", "x", "y", "z"]].reset_index(drop=True), predict(local)[CLASSES].reset_index(drop=True)], axis=1)
-
-    schema = "pid long, x double, y double, z double, " + ", ".join(f"{c} double" for c in CLASSES)
-    classified = tiled.groupBy("box_x", "box_y", "box_z").applyInPandas(run, schema)
-    # repeated points stay repeated, each with an id of its own
-    classified = stage(classified.withColumn("pid", F.monotonically_increasing_id()), "classified")
-    voted = neighbors.vote(cloud.select("pid", "x", "y", "z"), classified, CLASSES, 16, "pWood", 0.5)
+    p = p or Scan(at_least=at_least, ground_height=ground_height)
+    cloud = voxel.shift(voxel.downsample_first(points.select("pid", "x", "y", "z"), p.voxel))
+    tiled = voxel.sample_tiles(voxel.tiles(cloud.select("pid", "x", "y", "z"), p.step, p.side), p.at_least, p.at_most)
+    scored = stage(inference.infer(tiled, load or (lambda: predict), CLASSES, p.batch).withColumnRenamed("pid", "_of"), "scored")
+    # repeated points stay repeated, each with a number of its own in the order of tiles
+    classified = numbered(scored, [*inference.TILE, "_of"], "pid").select("pid", "x", "y", "z", *CLASSES)
+    voted = neighbors.vote(cloud.select("pid", "x", "y", "z"), classified, CLASSES, p.k, "pWood", p.wood_threshold)
     back = voxel.shift(cloud.join(voted, "pid"), back=True).select("pid", "x", "y", "z", "label", *CLASSES)
-    return terrain.relabel_ground(terrain.normalise(back, F.col("label") == 0), 0, ground_height)
+    return terrain.relabel_ground(terrain.normalise(back, F.col("label") == 0, p.cell), 0, p.ground_height)
 
 
 def wood_clusters(points: DataFrame, p: Stems = Stems()) -> DataFrame:
@@ -116,13 +146,18 @@ def separate_trees(points: DataFrame, p: Stems = Stems()) -> tuple[DataFrame, Da
     clustered = stage(wood_clusters(points, p), "clustered")
     cylinders = find_stems(clustered, p)
     hulls = stage(shape.convex_hulls(clustered.where("clstr >= 0")), "hulls")
+    return stage(grown_trees(clustered, cylinders, hulls, p), "trees"), cylinders, hulls
+
+
+def grown_trees(clustered: DataFrame, cylinders: DataFrame, hulls: DataFrame, p: Stems = Stems()) -> DataFrame:
+    """The trees of :func:`separate_trees` from its clusters, cylinders and hulls."""
     edges = stage(graph.cluster_edges(hulls, p.k, p.longest), "edges")
     paths = graph.best_path(graph.shortest_paths(edges, cylinders.where("accepted").select("clstr"))).where(F.col("distance") <= p.longest_path)
     named = clustered.where("clstr >= 0").join(paths, "clstr", "left")
     kept = named.groupBy(F.col("t_clstr").alias("_t")).agg(F.count("*").alias("_n")).where(F.col("_n") > p.points_per_tree)
     trees = named.join(kept.select("_t"), F.col("t_clstr").eqNullSafe(F.col("_t")), "left_semi")
     red, green, blue = colour(F.col("t_clstr"))
-    return stage(trees.select("*", red, green, blue), "trees"), cylinders, hulls
+    return trees.select("*", red, green, blue)
 
 
 def numbered_trees(trees: DataFrame, cylinders: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -143,7 +178,7 @@ def attach_leaves(leaves: DataFrame, hulls: DataFrame, paths: DataFrame, voxel_s
     faces = face_points(cells, ["vx"]).select(F.lit(True).alias("leaf"), F.col("vx").alias("clstr"), "x", "y", "z")
     tips = stage(paths.where("is_tip and t_clstr is not null").select("clstr", "t_clstr"), "tips")
     ends = hulls.join(tips, "clstr").where(F.col("n_z") > least_height).select(F.lit(False).alias("leaf"), "clstr", "x", "y", "z")
-    both = stage(faces.unionByName(ends).withColumn("pid", F.monotonically_increasing_id()), "leaf-nodes")
+    both = numbered(stage(faces.unionByName(ends), "leaf-nodes"), ["leaf", "clstr", "x", "y", "z"], "pid")
     near = neighbors.knn(both.where("leaf"), both, 2).select(F.col("dst").alias("pid")).distinct()
     kept = stage(both.where("leaf").unionByName(both.where("not leaf").join(near, "pid", "left_semi")), "leaf-graph")
     entries = kept.where("not leaf").select("clstr").distinct()
@@ -159,6 +194,28 @@ def with_leaves(trees: DataFrame, leaves: DataFrame) -> DataFrame:
     return trees.withColumn("wood", F.lit(1)).unionByName(green_ones, allowMissingColumns=True).dropDuplicates()
 
 
+def trees_of_scan(spark: SparkSession, folder: str, read: Callable[[], DataFrame], load: Callable[[], inference.Predictor], scan: Scan = Scan(), stems: Stems = Stems(), leaves: Leaves = Leaves()) -> DataFrame:
+    """The trees of a scan with their leaves, numbered: classified, separated and completed.
+
+    ``read`` gives the points. Each stage is a table of ``folder`` beside the parameters it depends on, and is read back instead of made while they are equal, so a run
+    that was stopped goes on, and new parameters for the leaves leave the stages before them. A model's name is a parameter, its content isn't: name another one anew.
+    """
+    said = {"scan": asdict(scan)}
+    classified = resumed(spark, folder, "classified", lambda: classify(read(), load=load, p=scan), said)
+    said = said | {"stems": asdict(stems)}
+    clustered = resumed(spark, folder, "clustered", lambda: wood_clusters(classified, stems), said)
+    cylinders = resumed(spark, folder, "cylinders", lambda: find_stems(clustered, stems), said)
+    hulls = resumed(spark, folder, "hulls", lambda: shape.convex_hulls(clustered.where("clstr >= 0")), said)
+    trees = resumed(spark, folder, "trees", lambda: grown_trees(clustered, cylinders, hulls, stems), said)
+
+    def whole() -> DataFrame:
+        own = trees.select("clstr", "t_clstr", "is_tip").distinct()
+        attached = attach_leaves(classified.where("label = 1").select("pid", "x", "y", "z", "n_z"), hulls, own, **asdict(leaves))
+        return numbered_trees(with_leaves(trees, attached), cylinders)
+
+    return resumed(spark, folder, "leaf_on", whole, said | {"leaves": asdict(leaves)})
+
+
 def write_trees(points: DataFrame, path: str, by_diameter: bool = False) -> None:
     """One folder per tree, of :func:`numbered_trees`, within one per diameter class if asked for."""
     folders = (["diameter_class"] if by_diameter else []) + ["tree"]
