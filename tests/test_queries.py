@@ -10,7 +10,7 @@ from silva.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["bbox", "slice_index", "voxel_downsample_first", "cubical_partition_counts", "tile_assign", "join_right_nullsafe", "wood_vote_closed_form", "knn_self", "radius_count", "adjacency_graph", "connected_components", "shortest_paths", "dbscan_2d", "slice_cluster", "linearity", "terrain_normalized_height"]
+SOME = ["bbox", "slice_index", "voxel_downsample_first", "cubical_partition_counts", "tile_assign", "join_right_nullsafe", "wood_vote_closed_form", "knn_self", "radius_count", "adjacency_graph", "connected_components", "shortest_paths", "dbscan_2d", "slice_cluster", "linearity", "terrain_normalized_height", "cubical_border", "group_lists", "distinct_in_order", "branch_rules"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
