@@ -266,7 +266,8 @@ def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength
     A segment of more than ``more_than`` points over ``height`` is covered with sets and followed from its lowest one (``patch``, ``ball`` and ``at_least`` are those of the cover).
     """
     near = stage(neighbors.knn(points, points, k), "near")
-    flat = shape.normals(points, k)
+    # normals are long expressions: written once, or each filter on them would repeat them
+    flat = stage(shape.normals(points, k, neighbors.including_self(near, points, k)), "normals")
     regions = graph.region_growing(points.join(flat, "pid"), "nz", k, threshold, near)
     done = stage(regions.withColumnRenamed("region", "seg_id"), "segments")
     live = done
@@ -277,7 +278,7 @@ def wood_leaf(points: DataFrame, k: int = 10, threshold: float = 0.125, strength
         if large.isEmpty():
             break
         inner = stage(neighbors.knn(large, large, k, keys=["seg_id"]), "inner")
-        own = shape.normals(large, k, inner)
+        own = stage(shape.normals(large, k, inner), "normals")
         again = stage(graph.region_growing(large.join(own, "pid", "left").withColumn("nz", F.coalesce("nz", F.lit(0.0))), "nz", k, threshold, inner), "again")
         parts = large.select("pid", "seg_id").join(again, "pid").groupBy("seg_id").agg(F.countDistinct("region").alias("parts")).where("parts > 1")
         moved = stage(again.join(large.select("pid", "seg_id").join(parts, "seg_id", "left_semi").select("pid"), "pid", "left_semi"), "moved")

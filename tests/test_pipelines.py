@@ -171,3 +171,26 @@ def test_trees_with_leaves_are_written_once_a_row(spark, tmp_path):
     got = sorted((round(r.x, 3), round(r.z, 3), int(r.t_clstr), int(r.wood)) for r in back.collect())
     assert got == [(0.0, 0.0, 5, 1), (0.0, 1.0, 5, 1), (0.1, 1.0, 5, 0)]
     assert back.where("wood = 0").select(F.max("green")).first()[0] >= 0
+
+
+def test_normals_of_the_wood_leaf_run_take_the_neighbours_that_are_known(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    xyz = [*map(tuple, rng.uniform(0, 1, (80, 3)).tolist()), *[(2.0, 2.0, 2.0)] * 9]
+    p = spark.createDataFrame([(i, *v) for i, v in enumerate(xyz)], "pid long, x double, y double, z double")
+    columns = ["src", "dst", "d2", "rank"]
+    got = neighbors.including_self(neighbors.knn(p, p, 4), p, 4).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, neighbors.knn(p, p, 4, with_self=True).select(columns).collect()))
+    searched, written, knn, stage = [], [], neighbors.knn, pipelines.stage
+    monkeypatch.setattr(neighbors, "knn", lambda *a, **k: searched.append(k) or knn(*a, **k))
+    monkeypatch.setattr(pipelines, "stage", lambda df, name: written.append(name) or stage(df, name))
+
+    class Grown(Exception):
+        pass
+
+    def grown(*given):
+        raise Grown
+
+    monkeypatch.setattr(graph, "region_growing", grown)
+    with pytest.raises(Grown):
+        pipelines.wood_leaf(p, 4)
+    assert len(searched) == 1 and "normals" in written
