@@ -221,19 +221,27 @@ def fit_cylinders(points: DataFrame, cluster: str = "clstr", tries: int = 100, a
     # a null cluster is a group like others
     placed = own.join(sizes, own.clstr.eqNullSafe(sizes.clstr)).drop(sizes.clstr)
     small = placed.where(F.col("cnt") <= at_most).select(*own.columns).groupBy("clstr").applyInPandas(run, schema)
-    if sizes.where(F.col("cnt") > at_most).isEmpty():
+    large = sizes.where(F.col("cnt") > at_most).agg(F.sum("cnt")).first()[0]
+    if not large:
         return small
-    return small.unionByName(_large_cylinders(placed.where(F.col("cnt") > at_most), sizes, tries, at_most))
+    # small rows, much work: numbers of partitions that aren't lowered by their size
+    many = max(4 * points.sparkSession.sparkContext.defaultParallelism, large // (8 * at_most))
+    return small.unionByName(_large_cylinders(placed.where(F.col("cnt") > at_most), sizes, tries, at_most, many))
 
 
 #: Of one try: the sampled fit, the best and the tried parameters, then at the best the inliers' count, squared residuals, distances, squared distances, gradient and normal matrix; the damping and whether it goes on.
 _FIRST, _BEST, _TRIED, _SUMS, _DAMP, _LIVE, _STATE = slice(0, 5), slice(5, 10), slice(10, 15), slice(15, 49), 49, 50, 51
 
 
-def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: int, steps: int = 20) -> DataFrame:
-    """:func:`cylinder` of clusters too large for a task: each step of the damped fits of all tries is one grouped sum over parts."""
+def _going(state: list[float]) -> int:
+    """How many tries of a state go on."""
+    return int(sum(state[_LIVE::_STATE]))
+
+
+def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: int, many: int, steps: int = 20) -> DataFrame:
+    """:func:`cylinder` of clusters too large for a task: each step of the damped fits of all tries is one grouped sum over parts, which lie in ``many`` partitions."""
     part = F.pmod(F.xxhash64("pid"), F.ceil(F.col("cnt") / at_most))
-    centred = points.select("clstr", part.alias("part"), "cnt", *[(F.col(a) - F.col(f"m{a}")).alias(a) for a in "xyz"])
+    centred = points.select("clstr", part.alias("part"), "cnt", *[(F.col(a) - F.col(f"m{a}")).alias(a) for a in "xyz"]).repartition(many, "clstr", "part")
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         xyz = rows[["x", "y", "z"]].sort_values(["x", "y", "z"]).to_numpy(dtype=float)
@@ -253,7 +261,7 @@ def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: i
                     own[_FIRST] = own[_BEST] = own[_TRIED] = p
                     own[_DAMP], own[_LIVE] = 1e-3, bool(radius) and np.abs(p[:2]).max() <= 1.05 * radius
                 states.append(state.ravel().tolist())
-            yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states})
+            yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states, "live": [_going(s) for s in states]})
 
     def summed(batches):
         for rows in batches:
@@ -296,13 +304,15 @@ def _large_cylinders(points: DataFrame, sizes: DataFrame, tries: int, at_most: i
                         elif first:
                             own[_SUMS] = 0  # too few inliers: no candidate
                     states.append(state.ravel().tolist())
-                yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states})
+                yield pd.DataFrame({"clstr": rows.clstr, "cnt": rows.cnt, "state": states, "live": [_going(s) for s in states]})
 
         return run
 
-    schema = "clstr long, cnt long, state array<double>"
+    schema = "clstr long, cnt long, state array<double>, live long"
     states = stage(parts.where("part = 0").select("clstr", "cnt", "xyz").mapInPandas(begin, schema), "tries")
     for step in range(steps + 1):
+        if states.where("live > 0").isEmpty():  # all tries have settled
+            break
         met = parts.join(states.select(F.col("clstr").alias("c"), "state"), F.col("clstr").eqNullSafe(F.col("c"))).select("clstr", "xyz", "state")
         each = met.mapInPandas(summed, "clstr long, sums array<double>").select("clstr", F.posexplode("sums").alias("k", "v")).groupBy("clstr", "k").agg(F.sum("v").alias("v"))
         sums = each.groupBy(F.col("clstr").alias("c")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")).select("c", F.transform("s", lambda x: x["v"]).alias("sums"))

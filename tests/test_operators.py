@@ -116,6 +116,22 @@ def test_cylinder_of_a_large_cluster_takes_all_points(spark):
         assert parts[a] == pytest.approx(whole[a], abs=1e-5)
 
 
+def test_parts_of_a_large_cluster_are_many_tasks_and_settled_tries_end_the_rounds(spark, monkeypatch):
+    angle = np.linspace(0, 2 * np.pi, 900)
+    p = cloud(spark, np.stack([5 + 0.1 * np.cos(angle), 2 + 0.1 * np.sin(angle), np.linspace(0, 0.2, 900)], axis=1), clstr=[1] * 900)
+    written, write = [], shape.stage
+
+    def kept(df, name):
+        written.append((name, write(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(shape, "stage", kept)
+    assert shape.fit_cylinders(p, tries=4, at_most=150).first().radius == pytest.approx(0.1, abs=1e-6)
+    parts = [df for name, df in written if name == "parts"][0]
+    assert len(parts.inputFiles()) > 2  # one before, so one task
+    assert sum(name == "tries" for name, _ in written) < 20  # 22 before, whatever the tries did
+
+
 def test_wood_leaf_query_runs_all_rounds(monkeypatch):
     import inspect
 
