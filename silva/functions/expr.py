@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,20 +57,28 @@ def edge_weight(d: Column, mean: Column, mode: float) -> Column:
     return 1 / (share + F.lit(float(mode))) if mode > 0 else F.exp(share / F.lit(float(mode)))
 
 
-def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues of a symmetric 3 x 3 matrix, largest first, in closed form."""
-    off = xy * xy + xz * xz + yz * yz
-    mean = (xx + yy + zz) / 3
-    spread = (xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + 2 * off
-    p = F.sqrt(spread / 6)
-    a, b, c = (F.try_divide(v - mean, p) for v in (xx, yy, zz))
-    d, e, f = (F.try_divide(v, p) for v in (xy, xz, yz))
-    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
-    high = mean + 2 * p * F.cos(angle)
-    low = mean + 2 * p * F.cos(angle + 2 * math.pi / 3)
-    flat = p == 0
-    return F.when(flat, mean).otherwise(high), F.when(flat, mean).otherwise(3 * mean - high - low), F.when(flat, mean).otherwise(low)
+def _with(rows: Column, known: list[str], **more: Callable[[Column], Column]) -> Column:
+    """``rows``, an array of structs with the fields ``known``, and more fields from these: each is worked out once, however often a later one names it."""
+    return F.transform(rows, lambda m: F.struct(*[m[k].alias(k) for k in known], *[f(m).alias(k) for k, f in more.items()]))
+
+
+def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
+    """An array of one struct e1, e2, e3 (for ``inline``): the eigenvalues of a symmetric 3 x 3 matrix, largest first, in closed form.
+
+    Written as one expression each, the steps would repeat those before them, thousands of terms in all, more than Spark can compile.
+    """
+    known = ["xx", "yy", "zz", "xy", "xz", "yz"]
+    rows = F.array(F.struct(*[c.alias(k) for k, c in zip(known, (xx, yy, zz, xy, xz, yz))]))
+    rows = _with(rows, known, mean=lambda m: (m.xx + m.yy + m.zz) / 3, off=lambda m: m.xy * m.xy + m.xz * m.xz + m.yz * m.yz)
+    spread = lambda m: (m.xx - m.mean) * (m.xx - m.mean) + (m.yy - m.mean) * (m.yy - m.mean) + (m.zz - m.mean) * (m.zz - m.mean) + 2 * m.off
+    rows = _with(rows, [*known, "mean", "off"], p=lambda m: F.sqrt(spread(m) / 6))
+    scaled = {n: (lambda m, k=k: F.try_divide(m[k] - m.mean, m.p)) for n, k in zip("abc", known)} | {n: (lambda m, k=k: F.try_divide(m[k], m.p)) for n, k in zip("def", known[3:])}
+    rows = _with(rows, ["mean", "p"], **scaled)
+    half = lambda m: (m.a * (m.b * m.c - m.f * m.f) - m.d * (m.d * m.c - m.f * m.e) + m.e * (m.d * m.f - m.b * m.e)) / 2
+    rows = _with(rows, ["mean", "p"], angle=lambda m: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half(m)))) / 3)
+    rows = _with(rows, ["mean", "p"], high=lambda m: m.mean + 2 * m.p * F.cos(m.angle), low=lambda m: m.mean + 2 * m.p * F.cos(m.angle + 2 * math.pi / 3))
+    ends = {"e1": lambda m: m.high, "e2": lambda m: 3 * m.mean - m.high - m.low, "e3": lambda m: m.low}
+    return _with(rows, [], **{k: (lambda m, f=f: F.when(m.p == 0, m.mean).otherwise(f(m))) for k, f in ends.items()})
 
 
 def wood_vote(linearity: Column, size: Column, thresholds: list[float], sizes: list[int]) -> Column:

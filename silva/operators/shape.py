@@ -27,8 +27,7 @@ def covariances(points: DataFrame, keys: list[str]) -> DataFrame:
 def linearity(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, linearity: the share by which the largest eigenvalue exceeds the second; 0 under five points. Eigenvalues that aren't positive count as 1e-8."""
     c = covariances(points, keys)
-    first, second, _ = eigenvalues(*[F.col(p) for p in PAIRS])
-    c = c.select(*keys, "n", F.inline(F.array(F.struct(first.alias("e1"), second.alias("e2")))))  # computed once, however often named
+    c = c.select(*keys, "n", F.inline(eigenvalues(*[F.col(p) for p in PAIRS])))  # computed once, however often named
     e1, e2 = F.when(F.col("e1") <= 0, 1e-8).otherwise(F.col("e1")), F.when(F.col("e2") <= 0, 1e-8).otherwise(F.col("e2"))
     return c.select(*keys, "n", F.when(F.col("n") < 5, 0.0).otherwise(F.try_divide(e1 - e2, e1)).alias("linearity"))
 
@@ -38,8 +37,7 @@ def normals(points: DataFrame, k: int = 10, neighbours: DataFrame | None = None)
     near = neighbours if neighbours is not None else neighbors.knn(points, points, k, with_self=True)
     there = near.join(points.select(F.col("pid").alias("dst"), "x", "y", "z"), "dst")
     c = covariances(there.withColumnRenamed("src", "pid"), ["pid"])
-    first, second, third = eigenvalues(*[F.col(p) for p in PAIRS])
-    c = c.select("pid", "xx", "yy", "xy", F.inline(F.array(F.struct(first.alias("e1"), second.alias("e2"), third.alias("e3")))))
+    c = c.select("pid", "xx", "yy", "xy", F.inline(eigenvalues(*[F.col(p) for p in PAIRS])))
     minor = (F.col("xx") - F.col("e3")) * (F.col("yy") - F.col("e3")) - F.col("xy") * F.col("xy")
     square = F.try_divide(minor, (F.col("e3") - F.col("e1")) * (F.col("e3") - F.col("e2")))
     return c.select("pid", F.sqrt(F.when(square.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), square)))).alias("nz"))
