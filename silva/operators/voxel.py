@@ -107,10 +107,15 @@ def tiles(points: DataFrame, step: float = 3.0, side: float = 6.0) -> DataFrame:
     return out.drop(*box.columns)
 
 
+def large_tiles(tiled: DataFrame, at_least: int = 1000) -> DataFrame:
+    """box_x, box_y, box_z and box_size, the count of its points, of the tiles of more than ``at_least`` points."""
+    return tiled.groupBy("box_x", "box_y", "box_z").agg(F.count("*").alias("box_size")).where(F.col("box_size") > at_least)
+
+
 def sample_tiles(tiled: DataFrame, at_least: int = 1000, at_most: int = 20_000, seed: int = 0) -> DataFrame:
     """Tiles of more than ``at_least`` points, each with at most ``at_most`` of them by a seeded hash (a sampling operator), centred at their rounded mean."""
     keys = ["box_x", "box_y", "box_z"]
-    sizes = tiled.groupBy(*keys).agg(F.count("*").alias("box_size")).where(F.col("box_size") > at_least)
+    sizes = large_tiles(tiled, at_least)
     order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "pid"), "pid"))
     kept = tiled.join(sizes, keys).withColumn("_n", order).where(F.col("_n") <= at_most).drop("_n")
     middle = kept.groupBy(*keys).agg(*[F.round(F.avg(a)).alias(f"local_{a}") for a in AXES])

@@ -130,7 +130,7 @@ def _tile_assign(spark, d):
 
 @query("tile_min_points", f"{_with(TILES)} SELECT CAST(box_x AS BIGINT) AS box_x, CAST(box_y AS BIGINT) AS box_y, CAST(box_z AS BIGINT) AS box_z, count(*) AS n FROM tiled GROUP BY ALL HAVING count(*) > 100")
 def _tile_min_points(spark, d):
-    return voxel.sample_tiles(voxel.tiles(views.orders(spark, d)), 100).groupBy("box_x", "box_y", "box_z").agg(F.count("*").alias("n"))
+    return voxel.large_tiles(voxel.tiles(views.orders(spark, d)), 100).withColumnRenamed("box_size", "n")
 
 
 @query("tile_corners", f"{_with(_corners('x'), _corners('y'))} SELECT CAST(box_x AS BIGINT) AS box_x, CAST(box_y AS BIGINT) AS box_y FROM xc, yc")
